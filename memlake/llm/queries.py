@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memlake.llm import common, packing, token_counts
+from memlake.llm import common, mixing, packing, quality_rules, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), common.new_path(spark, "token-cache"))
 
@@ -19,10 +24,23 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = common.table(spark, sf_dir, "labels").filter("quality = 1")
+    return quality_rules.quality(common.table(spark, sf_dir, "documents"), trusted)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op4_mixing": op4_mixing,
         "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_simhash": op10_simhash,
     }
 
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass handles at a time; bounds a worker's memory whatever the Arrow batch holds.
@@ -80,7 +81,7 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[
         n = batch.num_rows
         if not n:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
         total = np.concatenate([[0], np.cumsum(sizes)])
         at = 0
         while at < n:
