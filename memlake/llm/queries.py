@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import common, mixing, packing, quality_rules, simhash, suffix_dedup, token_counts
+from memlake.llm import common, mixing, packing, quality_rules, recompression, simhash, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
 
+def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.dedup(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = common.table(spark, sf_dir, "labels").filter("quality = 1")
     return quality_rules.quality(common.table(spark, sf_dir, "documents"), trusted)
@@ -45,6 +50,7 @@ def queries() -> dict[str, Query]:
         "op4_mixing": op4_mixing,
         "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
+        "op8_recompression": op8_recompression,
         "op9_quality_rules": op9_quality_rules,
         "op10_simhash": op10_simhash,
     }
