@@ -77,8 +77,8 @@ def super_windows(symbols: np.ndarray, valid: np.ndarray, first: int, width: int
     ``doc`` and ``unit`` give each position's document and place in it.
     """
     n = len(valid)
-    # the position takes the low bits, so the leftmost of equal symbols is the smallest key
-    bits = U64(max(24, int(len(symbols)).bit_length()))
+    # the position takes the low 32 bits, so the leftmost of symbols with equal high bits is the smallest key
+    bits = U64(32)
     at = np.arange(len(symbols), dtype=U64)
     lowest = words.window_min(((symbols >> bits) << bits) | at, width)[first : first + n]
     anchor = (lowest & ((U64(1) << bits) - U64(1))).astype(np.int64)
@@ -93,6 +93,8 @@ def super_windows(symbols: np.ndarray, valid: np.ndarray, first: int, width: int
 
 
 def _by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
