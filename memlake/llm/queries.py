@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import common, mixing, packing, quality_rules, recompression, simhash, suffix_dedup, token_counts
+from memlake.llm import ann, common, line_dedup, mixing, packing, quality_rules, recompression, simhash, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -29,6 +34,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = recompression.dedup(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -47,9 +56,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op3_line_dedup": op3_line_dedup,
         "op4_mixing": op4_mixing,
         "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
+        "op7_ann": op7_ann,
         "op8_recompression": op8_recompression,
         "op9_quality_rules": op9_quality_rules,
         "op10_simhash": op10_simhash,
