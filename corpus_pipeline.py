@@ -1,8 +1,55 @@
-"""Corpus pipeline: documents to packed training sequences."""
+"""Corpus pipeline: raw documents to packed training sequences, each stage one operator of ``memlake.llm``.
 
-STAGES = []
+A stage reads what its predecessor kept, written as Parquet in between, and all but the last return the columns of
+``documents``. The last returns pieces of packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from memlake.llm import common, line_dedup, mixing, packing, quality_rules, simhash
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the likelihood ratio against trusted ones reject go."""
+    return quality_rules.keep_good(docs, common.table(spark, sf_dir, "labels").filter("quality = 1"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of lines that an earlier document has are deleted from the later one."""
+    return line_dedup.drop_lines(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, on shingles of five words."""
+    return simhash.keep_one(docs, width=5)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are repeated or cut to their target weights."""
+    return mixing.take(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of sequences of at most 4096 ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("simhash near-dedup", near_duplicate_stage),
+    ("mixing sources", mixing_stage),
+    ("packing", packing_stage),
+]
+#: Likelihood ratios, alignment, components and tokens can't be said in SQL; tests hold each against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -155,3 +155,13 @@ def dedup(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHARED_LINE
 
     marked = common.keyed(docs).join(deleted_lines(docs, rare, shared).hint("shuffle_hash"), "row", "left").select("doc_id", "row", "text", "gone")
     return marked.mapInArrow(cut, "doc_id long, row long, kept string, n_lines long, n_removed long, kept_sha256 string")
+
+
+def drop_lines(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHARED_LINES) -> DataFrame:
+    """``docs`` with their columns, without deleted lines (n_chars follows the text); documents left without a word go."""
+    marked = docs.select(F.struct("*").alias("d"), F.xxhash64(F.col("doc_id").cast("long"), F.lit("/"), common.text_or_empty()).alias("row"))
+    joined = marked.join(deleted_lines(docs, rare, shared).hint("shuffle_hash"), "row", "left")
+    left = F.array_join(F.filter(F.split("d.text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    kept = joined.select("d.*", F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(left).alias("text left"), F.col("gone").isNotNull().alias("was cut"))
+    out = {"text": F.col("text left")} | ({"n_chars": F.when(F.col("was cut"), F.length("text left")).otherwise(F.col("n_chars")).cast("long")} if "n_chars" in docs.columns else {})
+    return kept.filter(~F.col("was cut") | F.col("text left").rlike(r"[^\x20\x09-\x0D]")).select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])

@@ -139,3 +139,18 @@ def mix(
     )
     partial = F.greatest(F.col("to1") - F.col("from1"), F.lit(0)) + F.greatest(F.col("to2") - F.col("from2"), F.lit(0))
     return out.withColumn("taken", (F.col("passes") * F.col("size") + partial).cast("long"))
+
+
+def take(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with their columns as the mix takes them: a row for each whole pass over a document, and one with the
+    words of its partial pass (blanks after a word stay with it); n_chars follows the text."""
+    amounts = mix(docs, **options).filter("taken > 0").select("row", "passes", "from1", "to1", "from2", "to2").dropDuplicates(["row"])
+    keyed = docs.select(F.struct("*").alias("d"), F.xxhash64(F.col("doc_id").cast("long"), F.lit("/"), common.text_or_empty()).alias("row"))
+    words = F.regexp_extract_all("d.text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    inside = lambda _, i: ((i >= F.col("from1")) & (i < F.col("to1"))) | ((i >= F.col("from2")) & (i < F.col("to2")))
+    some = (F.col("to1") > F.col("from1")) | (F.col("to2") > F.col("from2"))
+    part = F.when(some, F.array(F.array_join(F.filter(words, inside), ""))).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(F.array_repeat(F.col("d.text"), F.col("passes").cast("int")), part)
+    joined = keyed.join(amounts.hint("shuffle_hash"), "row").select("d", F.explode(texts).alias("taken text"))
+    out = {"text": F.col("taken text")} | ({"n_chars": F.length("taken text").cast("long")} if "n_chars" in docs.columns else {})
+    return joined.select("d.*", "taken text").select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])

@@ -123,26 +123,43 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
     return np.log((good + 1) / (good + 1).sum()) - np.log((raw + 1) / (raw + 1).sum())
 
 
-def score(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """Base counts and the mean log ratio of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+def _judged(part: pa.RecordBatch, ratios: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Base counts and mean log ratio of a slice's documents."""
+    data, offsets = words.text_bytes(part.column("text"))
+    buckets, doc = ngram_buckets(data, offsets)
+    n = np.bincount(doc, minlength=part.num_rows)
+    total = np.bincount(doc, weights=ratios[buckets], minlength=part.num_rows)
+    return base_counts(data, offsets), total / np.maximum(n, 1)
+
+
+def base_failed(n_words, n_repeat_words):
+    """Too few words, or more than half of them repeated; on arrays and on columns."""
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+
+
+def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Base counts, base_failed, llr and kept of every row of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(log_ratios(ngram_counts(docs, trusted)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in words.slices(batches):
-            data, offsets = words.text_bytes(part.column("text"))
-            counts = base_counts(data, offsets)
-            buckets, doc = ngram_buckets(data, offsets)
-            n_docs = part.num_rows
-            n = np.bincount(doc, minlength=n_docs)
-            total = np.bincount(doc, weights=shared.value[buckets], minlength=n_docs)
+            counts, llr = _judged(part, shared.value)
             arrays = [pa.array(np.asarray(x, np.int64)) for x in counts.values()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays, pa.array(total / np.maximum(n, 1))], [x.split()[0] for x in SCORES.split(", ")])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays, pa.array(llr)], [x.split()[0] for x in SCORES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).mapInArrow(judge, SCORES)
+    scores = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).mapInArrow(judge, SCORES)
+    scores = scores.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    return scores.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
-def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Base counts, base_failed, llr and kept of every row of ``docs``."""
-    scores = score(docs, log_ratios(ngram_counts(docs, trusted)))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return scores.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``quality`` keeps; text moves nowhere."""
+    shared = docs.sparkSession.sparkContext.broadcast(log_ratios(ngram_counts(docs, trusted)))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in words.slices(batches):
+            counts, llr = _judged(part, shared.value)
+            good = ~base_failed(counts["n_words"], counts["n_repeat_words"]) & (llr >= threshold)
+            yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)

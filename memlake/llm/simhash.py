@@ -183,3 +183,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_
     grouped = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     return rows.join(grouped.join(smallest, "component").select("fp", "component_id"), "fp")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, one of each group of near-duplicates: the smallest doc_id."""
+    groups = near_duplicates(docs, radius, width)
+    order = F.coalesce("doc_id", F.lit(common.MAX_LONG))
+    # rows without any doc_id in their group have the fingerprint's group all the same
+    first = groups.groupBy(F.coalesce(F.col("component_id"), F.col("fp")).alias("group"), F.col("component_id").isNull().alias("unnamed")).agg(F.min(order).alias("order"))
+    named = groups.select(order.alias("order"), "row", F.coalesce(F.col("component_id"), F.col("fp")).alias("group"), F.col("component_id").isNull().alias("unnamed"))
+    chosen = named.join(first, ["group", "unnamed", "order"]).groupBy("group", "unnamed").agg(F.min("row").alias("row")).select("row")
+    keyed = docs.select(F.struct("*").alias("d"), F.xxhash64(F.col("doc_id").cast("long"), F.lit("/"), common.text_or_empty()).alias("row"))
+    return keyed.join(chosen.hint("shuffle_hash"), "row").dropDuplicates(["row"]).select("d.*")
