@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import ann, common, line_dedup, mixing, packing, quality_rules, recompression, simhash, suffix_dedup, token_counts
+from memlake.llm import ann, common, line_dedup, mixing, packing, quality_rules, recompression, simhash, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "kept_sha256")
@@ -56,6 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_toxicity": op2_toxicity,
         "op3_line_dedup": op3_line_dedup,
         "op4_mixing": op4_mixing,
         "op5_token_counts": op5_token_counts,
