@@ -28,7 +28,7 @@ from memlake.llm import common, words
 
 U64 = np.uint64
 #: Text bytes whose records are sent together, in slices.
-BLOCK_SLICES = 6
+BLOCK_SLICES = 12
 #: Buckets for each shuffle partition, so that partitions come out even.
 SPREAD = 16
 #: A document order for rows without doc_id: after all others.
@@ -199,6 +199,7 @@ def _send_contents(scheme: Scheme, n_buckets: int):
             held: list[list[np.ndarray]] = []
             parts: list[bytes] = []
             sizes: list[np.ndarray] = []
+            digests: list[np.ndarray] = []
             for part in block:
                 flagged = part.column("nths")
                 if not part.num_rows:
@@ -214,6 +215,8 @@ def _send_contents(scheme: Scheme, n_buckets: int):
                 held.append([some.key, doc_ids[some.doc], part.column("row").to_numpy()[some.doc], some.start.astype(np.int32), some.count.astype(np.int16), some.anchor.astype(np.int32)])
                 parts.append(content)
                 sizes.append(size)
+                ends = np.cumsum(size, dtype=np.int64)
+                digests.append(words.byte_hashes(np.frombuffer(content, np.uint8))(ends - size, ends))
             if not held:
                 continue
             key, order, row, start, count, anchor = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -221,7 +224,7 @@ def _send_contents(scheme: Scheme, n_buckets: int):
             data = np.frombuffer(b"".join(parts), np.uint8)
             offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
             # equal super-windows: same anchor symbol, place, number of windows and contents
-            digest = words.byte_hashes(data)(offsets[:-1], offsets[1:]) ^ words.mix(key + count.astype(U64) * U64(131) + (anchor - start).astype(U64))
+            digest = np.concatenate(digests) ^ words.mix(key + count.astype(U64) * U64(131) + (anchor - start).astype(U64))
             by = np.lexsort((start, row, order, digest))
             later = np.zeros(len(by), bool)
             later[1:] = digest[by][1:] == digest[by][:-1]

@@ -107,9 +107,12 @@ def _firsts(width: int, gram: int):
         m = len(keys)
         left = (most - 1) - (anchors - starts)  # column of a string's first window; its anchor is in column most - 1
         strings = np.zeros((m, most - 1 + width), np.uint8)
-        ends = np.cumsum(sizes)
-        within = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-        strings.reshape(-1)[np.repeat(np.arange(m) * strings.shape[1] + left, sizes) + within] = data[np.repeat(offsets, sizes) + within]
+        for at in range(0, m, 8192):  # index arrays are eight times the size of what they gather
+            size = sizes[at : at + 8192]
+            ends = np.cumsum(size)
+            within = np.arange(ends[-1]) - np.repeat(ends - size, size)
+            row = np.arange(len(size)) * strings.shape[1] + left[at : at + 8192]
+            strings[at : at + 8192].reshape(-1)[np.repeat(row, size) + within] = data[np.repeat(offsets[at : at + 8192], size) + within]
         covered = np.zeros((m, most), bool)
         with tempfile.TemporaryDirectory() as folder:
             for column, order, lcp in common_prefix_rounds(strings, folder, most):

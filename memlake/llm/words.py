@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass handles at a time; bounds a worker's memory whatever the Arrow batch holds.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
