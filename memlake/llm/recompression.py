@@ -4,9 +4,9 @@ Recompression rewrites a text in rounds: a maximal run of two equal symbols beco
 symbol falls in the left and whose second falls in the right half of the alphabet becomes one. Names and halves are
 digests of what a symbol stands for, so every task gives equal runs and pairs the same name everywhere and a round needs
 no dictionary to be shuffled. What happens inside a word sequence depends on at most ``MARGIN`` words to either side,
-so equal windows carry the same high-level symbols inside. The smallest of these anchors the window (see ``repeats``):
-symbols that stand only once in the corpus are done with, the shared ones bring their windows together, and a window's
-full parse (words up to the first symbol boundary inside, symbols, words after the last) verifies equality.
+so equal windows carry the same high-level symbols inside. The smallest of these, with the words beside it, anchors the
+window (see ``repeats``): symbols that stand only once in the corpus are done with, the shared ones bring their windows
+together, and a window's full parse (words up to the first symbol boundary inside, symbols, words after the last) verifies equality.
 
 A name is 64 bits. A false match takes two different windows with the same anchor name and the same 64-bit parse.
 
@@ -85,7 +85,11 @@ def _scan(width: int):
         valid = doc[width - 1 :] == doc[: len(place)]
         unit = np.arange(n) - np.searchsorted(doc, doc)
         found = repeats.super_windows(symbols, valid, first, reach, doc, unit)
-        return found, (word_names, names, at, np.searchsorted(doc, np.arange(len(offsets) - 1)))
+        begin = np.searchsorted(doc, np.arange(len(offsets) - 1))
+        # words that lie beside the anchor in all its windows
+        anchor = begin[found.doc] + found.anchor
+        found.context(words.Substrings(word_names)(anchor - MARGIN, anchor + LONGEST + MARGIN))
+        return found, (word_names, names, at, begin)
 
     return scan
 

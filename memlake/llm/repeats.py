@@ -30,7 +30,7 @@ U64 = np.uint64
 #: Text bytes whose records are sent together, in slices.
 BLOCK_SLICES = 12
 #: Buckets for each shuffle partition, so that partitions come out even.
-SPREAD = 16
+SPREAD = 8
 #: A document order for rows without doc_id: after all others.
 _ROWS = "doc_id long, row long, text string, keep boolean"
 
@@ -50,6 +50,10 @@ class SuperWindows:
         first = np.searchsorted(self.doc, self.doc)
         return np.arange(len(self.doc)) - first
 
+    def context(self, hashes: np.ndarray) -> None:
+        """Tells anchors apart by more than their symbol: by what surrounds them in each of their windows."""
+        self.key = words.mix(self.key ^ hashes)
+
     def take(self, which: np.ndarray) -> SuperWindows:
         return SuperWindows(self.key[which], self.doc[which], self.start[which], self.count[which], self.anchor[which])
 
@@ -188,7 +192,7 @@ def _covered_batch(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["row", "start", "n"])
 
 
-def _send_contents(scheme: Scheme, n_buckets: int):
+def _send_contents(scheme: Scheme, n_buckets: int, by_id: bool):
     """The flagged super-windows with their contents, by bucket; of equal ones in a block the first alone.
 
     What the block decides itself (all windows of a later equal super-window are covered) is sent as a covered run.
@@ -232,12 +236,13 @@ def _send_contents(scheme: Scheme, n_buckets: int):
             later[1:] &= same_bytes
             gone = by[later]
             out = []
+            sent = [key, order[:0] if by_id else order, row, start, count, anchor, size]
             for b, (r, s, n) in _by_bucket((row[gone].view(U64) % U64(n_buckets)).astype(np.int64), [row[gone], start[gone], count[gone]]):
                 out.append((b, b"", b"", r.tobytes(), s.tobytes(), n.tobytes(), b"", b"", b""))
             left = np.sort(by[~later])
             spot = (key[left] % U64(n_buckets)).astype(np.int64)
             for b, (which,) in _by_bucket(spot, [left]):
-                out.append((b, *(c[which].tobytes() for c in (key, order, row, start, count, anchor, size)), b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in which)))
+                out.append((b, *(c[which].tobytes() if len(c) else b"" for c in sent), b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in which)))
             yield _batch([x.split()[0] for x in _CONTENTS.split(", ")], out, [pa.int32()] + [pa.binary()] * 8)
 
     return run
@@ -258,7 +263,7 @@ def _equal(data, a, b, size_a, size_b, ask) -> np.ndarray:
     return out
 
 
-def _find_covered(scheme: Scheme):
+def _find_covered(scheme: Scheme, by_id: bool):
     """Runs of covered window starts, by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +281,8 @@ def _find_covered(scheme: Scheme):
         if not sizes or not sum(map(len, sizes)):
             return
         got = {name: np.concatenate(x) for name, x in held.items()}
+        if by_id:
+            got["order"] = got["rows"]
         size, data = np.concatenate(sizes).astype(np.int64), np.concatenate(data)
         offset = np.concatenate([[0], np.cumsum(size)])[:-1]
         # earlier first: by document, then by place; rows of one doc_id but other texts by their key
@@ -301,6 +308,11 @@ def covered_windows(docs: DataFrame, scheme: Scheme) -> DataFrame:
     n = common.partitions(spark)
     n_buckets = n * SPREAD
     rows = common.keyed(docs)
+    # where ids are unique they are the rows' keys, which say the order as well and take half the room
+    shared_ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    by_id = not shared_ids.limit(1).count()
+    if by_id:
+        rows = rows.withColumn("row", F.col("doc_id"))
     order = F.coalesce("doc_id", F.lit(common.MAX_LONG))
     first = rows.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.min(F.struct(order.alias("order"), "row")).alias("first"))
     keepers = first.select(F.col("first.row").alias("row"), F.lit(True).alias("keep"))
@@ -311,8 +323,8 @@ def covered_windows(docs: DataFrame, scheme: Scheme) -> DataFrame:
     flagged = flagged.groupBy("row").agg(F.collect_set("nth").alias("nths"))
 
     asked = texts.join(flagged.hint("shuffle_hash"), "row").filter("keep").select("doc_id", "row", "text", "nths")
-    contents = asked.mapInArrow(_send_contents(scheme, n_buckets), _CONTENTS).repartition(n, "bucket")
-    covered = contents.mapInArrow(_find_covered(scheme), _COVERED).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    contents = asked.mapInArrow(_send_contents(scheme, n_buckets, by_id), _CONTENTS).repartition(n, "bucket")
+    covered = contents.mapInArrow(_find_covered(scheme, by_id), _COVERED).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return texts.join(covered.hint("shuffle_hash"), "row", "left")
 
 
