@@ -22,6 +22,12 @@ SENSITIVE = r"(?i)\b(?:client|customer|private|confidential|medical|health|passp
 # Fixed values end.
 
 
+def ascii_bounds(pattern: str) -> str:
+    r"""The pattern with ``\\b`` at ASCII word bounds, whatever letters stand beside; Java's own bound is by Unicode."""
+    word = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))")
+
+
 def normalize_text(text: Column) -> Column:
     """CRLF to LF, blanks collapsed, at most one empty line between paragraphs, ends trimmed."""
     out = F.regexp_replace(text, "\r\n", "\n")
@@ -50,25 +56,25 @@ def sentences(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, p[1], f"[REDACTED:{p[0]}]"), SECRET_PATTERNS, text)
+    return reduce(lambda t, p: F.regexp_replace(t, ascii_bounds(p[1]), f"[REDACTED:{p[0]}]"), SECRET_PATTERNS, text)
 
 
 def secret_kinds(text: Column) -> Column:
     """Names of the patterns that hit, each looked for in the text that earlier ones have redacted."""
     found, current = [], text
-    for name, pattern in SECRET_PATTERNS:
+    for name, pattern in [(n, ascii_bounds(p)) for n, p in SECRET_PATTERNS]:
         found.append(F.when(current.rlike(pattern), F.lit(name)))
         current = F.regexp_replace(current, pattern, f"[REDACTED:{name}]")
     return F.array_compact(F.array(*found))
 
 
 def privacy_tier(text: Column) -> Column:
-    return F.when(F.size(secret_kinds(text)) > 0, "secret_risk").when(text.rlike(SENSITIVE), "sensitive").otherwise("normal")
+    return F.when(redact(text) != text, "secret_risk").when(text.rlike(ascii_bounds(SENSITIVE)), "sensitive").otherwise("normal")
 
 
 def weighted_rules(text: Column, rules: list[tuple[str, float]], base: float = 0.0) -> Column:
     """Sum of the weights of the patterns that match."""
-    return reduce(lambda s, r: s + F.when(text.rlike(r[0]), r[1]).otherwise(0.0), rules, F.lit(base))
+    return reduce(lambda s, r: s + F.when(text.rlike(ascii_bounds(r[0])), r[1]).otherwise(0.0), rules, F.lit(base))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.functions.scalar import collapse, sentences
+from memlake.functions.scalar import ascii_bounds, collapse, sentences
 
 # Cues and stop words that results must share.
 METADATA_LINE = r"^(?i:Captured|Namespace intent|Source channel)\s*:"
@@ -151,13 +151,13 @@ def topic_segments(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
         close()
         return pd.DataFrame(rows, columns=["conv", "segment", "first_turn", "last_turn", "n_turns", "speakers", "n_terms"])
 
-    ready = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(speaker).alias("speaker"), topic_terms(F.col(text)).alias("terms"), F.col(text).rlike(SURPRISE_CUE).alias("cue"))
+    ready = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(speaker).alias("speaker"), topic_terms(F.col(text)).alias("terms"), F.col(text).rlike(ascii_bounds(SURPRISE_CUE)).alias("cue"))
     out = "conv long, segment int, first_turn long, last_turn long, n_turns int, speakers string, n_terms int"
     return ready.groupBy("conv").applyInPandas(walk, out).withColumnRenamed("conv", conv)
 
 
 def capitalized_names(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"(\b[A-Z][a-z]+\b)"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(ascii_bounds(r"(\b[A-Z][a-z]+\b)")), F.lit(1))
     kept = F.array_except(F.array_distinct(found), F.array(*map(F.lit, NAME_STOP_WORDS)))
     return F.array_distinct(F.transform(kept, F.lower))
 

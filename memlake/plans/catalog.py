@@ -167,11 +167,11 @@ def j6_keepers(spark, d):
     return docs.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
-@query("""SELECT n_name, count(*) AS n FROM (SELECT DISTINCT p.page_id, n.n_name FROM pages p JOIN nation n ON list_contains(regexp_extract_all(lower(p.html), '[a-z]+'), lower(n.n_name))) GROUP BY 1""")
+@query("""WITH a AS (SELECT DISTINCT lang AS alias FROM documents) SELECT alias, count(*) AS n FROM (SELECT DISTINCT p.page_id, alias FROM pages p JOIN a ON list_contains(regexp_extract_all(lower(p.html), '[a-z]+'), alias)) GROUP BY 1""")
 def j7_alias_in_text(spark, d):
     words = read(spark, d, "pages").select("page_id", F.explode(F.array_distinct(scalar.tokens(F.col("html"), "[a-z]+"))).alias("word"))
-    names = read(spark, d, "nation").select("n_name", F.lower("n_name").alias("word"))
-    return words.join(names, "word").groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+    aliases = read(spark, d, "documents").select(F.col("lang").alias("alias"), F.col("lang").alias("word")).distinct()
+    return words.join(aliases, "word").groupBy("alias").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH top AS (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, o_custkey LIMIT 20) SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM top)""")
@@ -202,12 +202,12 @@ def j12_either_side(spark, d):
     return relational.either_side(edges, "a", "b", ids, "id")
 
 
-@query("""WITH s AS (SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '\\?\\s*$')) SELECT c.conv_id, c.turn, min(abs(c.turn - s.turn)) AS distance FROM conversations c JOIN s ON c.conv_id = s.conv_id GROUP BY 1, 2""")
+@query("""WITH s AS (SELECT conv_id, turn FROM conversations WHERE length(text) > 800) SELECT c.conv_id, c.turn, min(abs(c.turn - s.turn)) AS distance FROM conversations c JOIN s ON c.conv_id = s.conv_id GROUP BY 1, 2""")
 def j15_nearest_seed(spark, d):
     from memlake.operators.retrieval import neighbours
 
     c = read(spark, d, "conversations")
-    return neighbours(c.select("conv_id", "turn"), c.filter(F.col("text").rlike(r"\?\s*$")), "conv_id", "turn")
+    return neighbours(c.select("conv_id", "turn"), c.filter(F.length("text") > 800), "conv_id", "turn")
 
 
 # --- aggregations, windows, limits, sets ------------------------------------------------------------------------------
