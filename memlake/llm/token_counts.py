@@ -51,6 +51,8 @@ def count_tokens(docs: DataFrame, cache_dir: str, tokenizer: str = "word_bpe_49k
 
     counted = new.mapInArrow(encode, "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_dir)
-    return digests.join(read_cache(spark, cache_dir, version), "digest").select(
+    # a table of its own, so that Spark can split the join where a digest has very many rows
+    counts = common.stored(read_cache(spark, cache_dir, version), "token-counts")
+    return digests.join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
