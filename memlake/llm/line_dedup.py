@@ -122,6 +122,8 @@ def deleted_lines(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHA
     line = known_rows.select("order", "row", F.explode(F.arrays_zip("lines", "long")).alias("x")).filter("x.long").select("order", "row", F.col("x.lines").alias("line"))
     once = line.groupBy("row", "line").agg(F.count(F.lit(1)).alias("n"), F.first("order").alias("order")).filter("n = 1").select("order", "row", "line")
     shared_lines = once.groupBy("line").agg(F.count(F.lit(1)).alias("documents"), F.min("order").alias("first")).filter("documents > 1")
+    # a table of its own, so that Spark can split the join where very many documents have a line
+    shared_lines = common.stored(shared_lines, "shared-lines")
     votes = once.join(shared_lines, "line").filter("order > first or first = %d" % common.MAX_LONG)
     pairs = votes.groupBy("row", "first").agg(F.count(F.lit(1)).alias("n"), F.min("documents").alias("rarest")).filter((F.col("rarest") <= rare) | (F.col("n") >= shared))
     with_first = pairs.select("row", "first").join(known_rows.select(F.col("order").alias("first"), F.col("row").alias("first_row"), F.col("lines").alias("first_lines")), "first")
