@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
-Links stay in DataFrames; each round is written to the checkpoint folder. A hub's links are not gathered: the
-smallest neighbour is an aggregate with partial sums, and the joins on it can be split by Spark.
+Links stay in DataFrames; what each half of a round finds is written to the shared folder. A hub's links are not
+gathered: the smallest neighbour is an aggregate with partial results, and as it is a table of its own by the time of
+the join, Spark can broadcast it while it is small and split the join where one node has very many links.
 """
 
 from __future__ import annotations
@@ -9,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.llm.common import stored
+
 
 def _with_smallest(pairs: DataFrame) -> DataFrame:
     """(node, other) with the smallest of the node and all its others."""
-    smallest = pairs.groupBy("node").agg(F.min("other").alias("m"))
+    smallest = stored(pairs.groupBy("node").agg(F.min("other").alias("m")), "components-smallest")
     return pairs.join(smallest, "node").select("node", "other", F.least("m", "node").alias("m"))
 
 
@@ -32,14 +35,10 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node that has a link; the component is its smallest node. Links: columns a, b."""
-    spark = links.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        from memlake.llm.common import shared_dir
-
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct().checkpoint()
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
+    edges = stored(edges, "components-links")
     for _ in range(max_rounds):
-        after = _small_star(_large_star(edges)).filter("a != b").distinct().checkpoint()
+        after = stored(_small_star(_large_star(edges)).filter("a != b").distinct(), "components-links")
         # at the fixed point every node is linked to its component's smallest node alone
         state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         done = state(after) == state(edges)
