@@ -53,11 +53,12 @@ def container_of(inner: DataFrame, outer: DataFrame, key: list[str], bucket_days
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str) -> DataFrame:
     """The latest ``value`` at or before each left row's time, in one pass: both sides in one ordered window."""
-    tagged = left.select("*", F.lit(1).alias("side"), F.lit(None).cast(right.schema[value].dataType).alias("seen"), F.col(left_time).alias("at"))
-    events = right.select(F.col(key), F.col(right_time).alias("at"), F.col(value).alias("seen"), F.lit(0).alias("side"))
+    side, seen, at = "as of side", "as of value", "as of time"  # names that no table has
+    tagged = left.select("*", F.lit(1).alias(side), F.lit(None).cast(right.schema[value].dataType).alias(seen), F.col(left_time).alias(at))
+    events = right.select(F.col(key), F.col(right_time).alias(at), F.col(value).alias(seen), F.lit(0).alias(side))
     both = tagged.unionByName(events, allowMissingColumns=True)
-    before = Window.partitionBy(key).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(f"{value}_as_of", F.last("seen", ignorenulls=True).over(before)).filter("side = 1").drop("side", "seen", "at")
+    before = Window.partitionBy(key).orderBy(at, side).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(f"{value}_as_of", F.last(seen, ignorenulls=True).over(before)).filter(F.col(side) == 1).drop(side, seen, at)
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, reference: str) -> DataFrame:
