@@ -44,14 +44,22 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text (null: empty), any more columns, and ``row``, a 64-bit key of (doc_id, text).
+def ids_are_unique(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own; reads the one column."""
+    repeated = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    return not repeated.limit(1).count()
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A long that names a row: its doc_id where these are unique, or else a 64-bit digest of doc_id and text.
 
-    Rows with one doc_id but other texts stay apart; equal rows share a key and so a result.
+    With repeated ids, rows of one doc_id but other texts stay apart, and equal rows share a key and so a result.
     """
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        text_or_empty().alias("text"),
-        *more,
-        F.xxhash64(F.col("doc_id").cast("long"), F.lit("/"), text_or_empty()).alias("row"),
-    )
+    if ids_are_unique(docs):
+        return F.col("doc_id").cast("long")
+    return F.xxhash64(F.col("doc_id").cast("long"), F.lit("/"), text_or_empty())
+
+
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text (null: empty), any more columns, and the row's key."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *more, row_key(docs).alias("row"))

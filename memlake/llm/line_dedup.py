@@ -161,7 +161,7 @@ def dedup(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHARED_LINE
 
 def drop_lines(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHARED_LINES) -> DataFrame:
     """``docs`` with their columns, without deleted lines (n_chars follows the text); documents left without a word go."""
-    marked = docs.select(F.struct("*").alias("d"), F.xxhash64(F.col("doc_id").cast("long"), F.lit("/"), common.text_or_empty()).alias("row"))
+    marked = docs.select(F.struct("*").alias("d"), common.row_key(docs).alias("row"))
     joined = marked.join(deleted_lines(docs, rare, shared).hint("shuffle_hash"), "row", "left")
     left = F.array_join(F.filter(F.split("d.text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
     kept = joined.select("d.*", F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(left).alias("text left"), F.col("gone").isNotNull().alias("was cut"))

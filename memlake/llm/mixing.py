@@ -145,7 +145,7 @@ def take(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with their columns as the mix takes them: a row for each whole pass over a document, and one with the
     words of its partial pass (blanks after a word stay with it); n_chars follows the text."""
     amounts = mix(docs, **options).filter("taken > 0").select("row", "passes", "from1", "to1", "from2", "to2").dropDuplicates(["row"])
-    keyed = docs.select(F.struct("*").alias("d"), F.xxhash64(F.col("doc_id").cast("long"), F.lit("/"), common.text_or_empty()).alias("row"))
+    keyed = docs.select(F.struct("*").alias("d"), common.row_key(docs).alias("row"))
     words = F.regexp_extract_all("d.text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     inside = lambda _, i: ((i >= F.col("from1")) & (i < F.col("to1"))) | ((i >= F.col("from2")) & (i < F.col("to2")))
     some = (F.col("to1") > F.col("from1")) | (F.col("to2") > F.col("from2"))

@@ -308,11 +308,8 @@ def covered_windows(docs: DataFrame, scheme: Scheme) -> DataFrame:
     n = common.partitions(spark)
     n_buckets = n * SPREAD
     rows = common.keyed(docs)
-    # where ids are unique they are the rows' keys, which say the order as well and take half the room
-    shared_ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
-    by_id = not shared_ids.limit(1).count()
-    if by_id:
-        rows = rows.withColumn("row", F.col("doc_id"))
+    # unique ids are the rows' keys, which say the order as well and take half the room
+    by_id = common.ids_are_unique(docs)
     order = F.coalesce("doc_id", F.lit(common.MAX_LONG))
     first = rows.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.min(F.struct(order.alias("order"), "row")).alias("first"))
     keepers = first.select(F.col("first.row").alias("row"), F.lit(True).alias("keep"))

@@ -193,5 +193,5 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS)
     first = groups.groupBy(F.coalesce(F.col("component_id"), F.col("fp")).alias("group"), F.col("component_id").isNull().alias("unnamed")).agg(F.min(order).alias("order"))
     named = groups.select(order.alias("order"), "row", F.coalesce(F.col("component_id"), F.col("fp")).alias("group"), F.col("component_id").isNull().alias("unnamed"))
     chosen = named.join(first, ["group", "unnamed", "order"]).groupBy("group", "unnamed").agg(F.min("row").alias("row")).select("row")
-    keyed = docs.select(F.struct("*").alias("d"), F.xxhash64(F.col("doc_id").cast("long"), F.lit("/"), common.text_or_empty()).alias("row"))
+    keyed = docs.select(F.struct("*").alias("d"), common.row_key(docs).alias("row"))
     return keyed.join(chosen.hint("shuffle_hash"), "row").dropDuplicates(["row"]).select("d.*")
