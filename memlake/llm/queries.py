@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import ann, common, line_dedup, mixing, packing, quality_rules, recompression, simhash, suffix_dedup, token_counts, toxicity
+from memlake.llm import ann, common, line_dedup, mixing, oracles, packing, quality_rules, recompression, simhash, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,4 +73,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
