@@ -40,6 +40,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """Ints that ``repartition(n, key)`` deals to n different partitions, one each: the smallest that hash there."""
+    part = F.pmod(F.hash("key"), F.lit(n))
+    some = spark.range(32 * n + 1000).select(F.col("id").cast("int").alias("key")).groupBy(part.alias("part")).agg(F.min("key").alias("key")).collect()
+    found = {r.part: r.key for r in some}
+    return [found.get(i, i) for i in range(n)]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -56,7 +64,8 @@ def row_key(docs: DataFrame) -> Column:
     With repeated ids, rows of one doc_id but other texts stay apart, and equal rows share a key and so a result.
     """
     if ids_are_unique(docs):
-        return F.col("doc_id").cast("long")
+        # never null, and said so: else Spark filters nulls below some of the joins and can't share their exchange
+        return F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
     return F.xxhash64(F.col("doc_id").cast("long"), F.lit("/"), text_or_empty())
 
 

@@ -29,8 +29,6 @@ from memlake.llm import common, words
 U64 = np.uint64
 #: Text bytes whose records are sent together, in slices.
 BLOCK_SLICES = 12
-#: Buckets for each shuffle partition, so that partitions come out even.
-SPREAD = 8
 #: A document order for rows without doc_id: after all others.
 _ROWS = "doc_id long, row long, text string, keep boolean"
 
@@ -125,7 +123,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]
 _KEYS = "bucket int, decided boolean, keys binary, rows binary, nths binary"
 
 
-def _send_keys(scheme: Scheme, n_buckets: int):
+def _send_keys(scheme: Scheme, buckets: np.ndarray):
     """Anchors of kept documents, by bucket; those that repeat within a block are decided here and sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +144,10 @@ def _send_keys(scheme: Scheme, n_buckets: int):
             again = count[back] > 1
             out = []
             # decided: occurs twice in this block; its key is still sent once, for the sake of other blocks
-            for b, (r, n) in _by_bucket((row[again].view(U64) % U64(n_buckets)).astype(np.int64), [row[again], nth[again]]):
+            for b, (r, n) in _by_bucket(buckets[row[again].view(U64) % U64(len(buckets))], [row[again], nth[again]]):
                 out.append((b, True, b"", r.tobytes(), n.tobytes()))
             answer = np.where(again[first], np.int32(-1), nth[first])
-            for b, (k, r, n) in _by_bucket((key[first] % U64(n_buckets)).astype(np.int64), [key[first], row[first], answer]):
+            for b, (k, r, n) in _by_bucket(buckets[key[first] % U64(len(buckets))], [key[first], row[first], answer]):
                 out.append((b, False, k.tobytes(), r.tobytes(), n.tobytes()))
             yield _batch(["bucket", "decided", "keys", "rows", "nths"], out, [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()])
 
@@ -192,7 +190,7 @@ def _covered_batch(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["row", "start", "n"])
 
 
-def _send_contents(scheme: Scheme, n_buckets: int, by_id: bool):
+def _send_contents(scheme: Scheme, buckets: np.ndarray, by_id: bool):
     """The flagged super-windows with their contents, by bucket; of equal ones in a block the first alone.
 
     What the block decides itself (all windows of a later equal super-window are covered) is sent as a covered run.
@@ -237,10 +235,10 @@ def _send_contents(scheme: Scheme, n_buckets: int, by_id: bool):
             gone = by[later]
             out = []
             sent = [key, order[:0] if by_id else order, row, start, count, anchor, size]
-            for b, (r, s, n) in _by_bucket((row[gone].view(U64) % U64(n_buckets)).astype(np.int64), [row[gone], start[gone], count[gone]]):
+            for b, (r, s, n) in _by_bucket(buckets[row[gone].view(U64) % U64(len(buckets))], [row[gone], start[gone], count[gone]]):
                 out.append((b, b"", b"", r.tobytes(), s.tobytes(), n.tobytes(), b"", b"", b""))
             left = np.sort(by[~later])
-            spot = (key[left] % U64(n_buckets)).astype(np.int64)
+            spot = buckets[key[left] % U64(len(buckets))]
             for b, (which,) in _by_bucket(spot, [left]):
                 out.append((b, *(c[which].tobytes() if len(c) else b"" for c in sent), b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in which)))
             yield _batch([x.split()[0] for x in _CONTENTS.split(", ")], out, [pa.int32()] + [pa.binary()] * 8)
@@ -306,7 +304,7 @@ def covered_windows(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """
     spark = docs.sparkSession
     n = common.partitions(spark)
-    n_buckets = n * SPREAD
+    buckets = np.array(common.even_keys(spark, n), np.int64)
     rows = common.keyed(docs)
     # unique ids are the rows' keys, which say the order as well and take half the room
     by_id = common.ids_are_unique(docs)
@@ -315,12 +313,12 @@ def covered_windows(docs: DataFrame, scheme: Scheme) -> DataFrame:
     keepers = first.select(F.col("first.row").alias("row"), F.lit(True).alias("keep"))
     texts = rows.repartition(n, "row").join(keepers.hint("shuffle_hash"), "row", "left").select("doc_id", "row", "text", F.coalesce("keep", F.lit(False)).alias("keep"))
 
-    sent = texts.mapInArrow(_send_keys(scheme, n_buckets), _KEYS)
+    sent = texts.mapInArrow(_send_keys(scheme, buckets), _KEYS)
     flagged = sent.repartition(n, "bucket").mapInArrow(_repeated_keys, "row long, nth int")
     flagged = flagged.groupBy("row").agg(F.collect_set("nth").alias("nths"))
 
     asked = texts.join(flagged.hint("shuffle_hash"), "row").filter("keep").select("doc_id", "row", "text", "nths")
-    contents = asked.mapInArrow(_send_contents(scheme, n_buckets, by_id), _CONTENTS).repartition(n, "bucket")
+    contents = asked.mapInArrow(_send_contents(scheme, buckets, by_id), _CONTENTS).repartition(n, "bucket")
     covered = contents.mapInArrow(_find_covered(scheme, by_id), _COVERED).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return texts.join(covered.hint("shuffle_hash"), "row", "left")
 
