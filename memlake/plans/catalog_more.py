@@ -36,9 +36,9 @@ def t13_answerable_units(spark, d):
     return extract.answerable_units(read(spark, d, "conversations"), "conv_id", "turn", "role", "text").drop("speaker", "content")
 
 
-@query(r"""WITH i AS (SELECT o_orderkey, 'due ' || strftime(o_orderdate, '%Y-%m-%d') || ' or ' || strftime(o_orderdate + INTERVAL 1 DAY, '%B %-d, %Y') AS note, o_orderdate FROM orders WHERE o_orderkey % 20 = 0) SELECT o_orderkey, strftime(unnest([o_orderdate, o_orderdate + INTERVAL 1 DAY]), '%Y-%m-%d') AS day FROM i""")
+@query(r"""WITH i AS (SELECT o_orderkey, 'due ' || strftime(o_orderdate, '%Y-%m-%d') || ' or ' || strftime(o_orderdate + INTERVAL 1 DAY, '%B %-d, %Y') AS note, o_orderdate FROM orders) SELECT o_orderkey, strftime(unnest([o_orderdate, o_orderdate + INTERVAL 1 DAY]), '%Y-%m-%d') AS day FROM i""")
 def t15_explicit_dates(spark, d):
-    o = read(spark, d, "orders").filter("o_orderkey % 20 = 0")
+    o = read(spark, d, "orders")
     following = F.date_add(F.to_date("o_orderdate"), 1)
     note = F.concat(F.lit("due "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" or "), F.date_format(following, "MMMM d, yyyy"))
     return extract.explicit_dates(o.withColumn("note", note), "o_orderkey", "note").select("o_orderkey", F.date_format("day", "yyyy-MM-dd").alias("day"))
@@ -68,6 +68,14 @@ def t29_canonical_speakers(spark, d):
     return identity.canonical_speakers(read(spark, d, "conversations"), aliases.unionByName(more), "role").select("conv_id", "turn", "speaker", "ambiguous")
 
 
+STATEMENTS = " UNION ".join(f"SELECT doc_id, '{name}' AS family, trim(unnest(regexp_extract_all(text, '{pattern}', 1))) AS statement FROM documents" for name, pattern in extract.STATEMENTS.items())
+
+
+@query(STATEMENTS)
+def t25_statements(spark, d):
+    return extract.statements(read(spark, d, "documents"), "doc_id")
+
+
 @query()
 def m25_packed_units(spark, d):
     return text.pack_sentences(read(spark, d, "documents"), "doc_id")
@@ -88,10 +96,10 @@ def f5_array_predicates(spark, d):
     return t.select("doc_id", F.size("t").alias("n_terms"), F.arrays_overlap("t", F.array(F.lit("license"), F.lit("copyright"))).alias("legal"))
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS s, (o_orderdate + INTERVAL 3 DAY)::DATE AS e FROM orders WHERE o_orderkey % 40 = 0), m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS ms FROM orders) SELECT o_orderkey AS node_id, (SELECT strftime(ms, '%Y-%m') FROM m WHERE ms <= s AND last_day(ms) >= e LIMIT 1) AS parent_id FROM o""")
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS s, (o_orderdate + INTERVAL 3 DAY)::DATE AS e FROM orders), m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS ms FROM orders) SELECT o_orderkey AS node_id, (SELECT strftime(ms, '%Y-%m') FROM m WHERE ms <= s AND last_day(ms) >= e LIMIT 1) AS parent_id FROM o""")
 def j8_interval_containment(spark, d):
     o = read(spark, d, "orders")
-    inner = o.filter("o_orderkey % 40 = 0").select(F.col("o_orderkey").alias("node_id"), F.to_date("o_orderdate").alias("start_day"), F.date_add(F.to_date("o_orderdate"), 3).alias("end_day"), F.lit(1).alias("k"))
+    inner = o.select(F.col("o_orderkey").alias("node_id"), F.to_date("o_orderdate").alias("start_day"), F.date_add(F.to_date("o_orderdate"), 3).alias("end_day"), F.lit(1).alias("k"))
     month = o.select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("start_day")).distinct()
     outer = month.select(F.date_format("start_day", "yyyy-MM").alias("node_id"), "start_day", F.last_day("start_day").alias("end_day"), F.lit(1).alias("k"))
     return relational.container_of(inner, outer, ["k"], 31).select("node_id", "parent_id")
@@ -269,13 +277,13 @@ def m19_recovery_state(spark, d):
     return read(spark, d, "events").select("event_id", state.alias("state"))
 
 
-@query("""WITH c AS (SELECT x.c_custkey AS q, y.c_custkey AS cand, round(1 - levenshtein(x.c_name, y.c_name) / greatest(length(x.c_name), length(y.c_name)), 4) AS nm, (x.c_mktsegment = y.c_mktsegment)::INT AS ks FROM customer x JOIN customer y ON x.c_nationkey = y.c_nationkey AND x.c_custkey <> y.c_custkey WHERE x.c_custkey % 30 = 0), s AS (SELECT *, round(0.42 * nm + 0.18 * ks + 0.16 * 0.5 + 0.10 + 0.08 * 0.5 + 0.06 * 0.5, 4) AS sc FROM c), k AS (SELECT *, (nm >= 0.55 OR sc >= 0.55) AS kept FROM s), r AS (SELECT *, row_number() OVER w AS rn, lead(CASE WHEN kept THEN sc END) OVER w AS nx FROM k WINDOW w AS (PARTITION BY q ORDER BY kept DESC, sc DESC, cand))
+@query("""WITH c AS (SELECT x.c_custkey AS q, y.c_custkey AS cand, round(1 - levenshtein(x.c_name, y.c_name) / greatest(length(x.c_name), length(y.c_name)), 4) AS nm, (x.c_mktsegment = y.c_mktsegment)::INT AS ks FROM customer x JOIN customer y ON x.c_nationkey = y.c_nationkey AND floor(x.c_acctbal / 1000) = floor(y.c_acctbal / 1000) AND x.c_custkey <> y.c_custkey), s AS (SELECT *, round(0.42 * nm + 0.18 * ks + 0.16 * 0.5 + 0.10 + 0.08 * 0.5 + 0.06 * 0.5, 4) AS sc FROM c), k AS (SELECT *, (nm >= 0.55 OR sc >= 0.55) AS kept FROM s), r AS (SELECT *, row_number() OVER w AS rn, lead(CASE WHEN kept THEN sc END) OVER w AS nx FROM k WINDOW w AS (PARTITION BY q ORDER BY kept DESC, sc DESC, cand))
 SELECT q, CASE WHEN kept THEN cand END AS candidate, CASE WHEN NOT kept THEN 'create' WHEN nx IS NOT NULL AND sc - nx < 0.12 THEN 'choose' WHEN sc >= 0.9 AND ks = 1 THEN 'attach' ELSE 'merge_prompt' END AS decision FROM r WHERE rn = 1""")
 def m28_resolution(spark, d):
-    c = read(spark, d, "customer")
-    x = c.filter("c_custkey % 30 = 0").select(F.col("c_custkey").alias("q"), F.col("c_name").alias("n1"), F.col("c_mktsegment").alias("s1"), "c_nationkey")
-    y = c.select(F.col("c_custkey").alias("cand"), F.col("c_name").alias("n2"), F.col("c_mktsegment").alias("s2"), "c_nationkey")
-    pairs = x.join(y, "c_nationkey").filter("q != cand").withColumn("nm", F.round(1 - F.levenshtein("n1", "n2") / F.greatest(F.length("n1"), F.length("n2")), 4)).withColumn("same", F.col("s1") == F.col("s2"))
+    c = read(spark, d, "customer").withColumn("band", F.floor(F.col("c_acctbal") / 1000))
+    x = c.select(F.col("c_custkey").alias("q"), F.col("c_name").alias("n1"), F.col("c_mktsegment").alias("s1"), "c_nationkey", "band")
+    y = c.select(F.col("c_custkey").alias("cand"), F.col("c_name").alias("n2"), F.col("c_mktsegment").alias("s2"), "c_nationkey", "band")
+    pairs = x.join(y, ["c_nationkey", "band"]).filter("q != cand").withColumn("nm", F.round(1 - F.levenshtein("n1", "n2") / F.greatest(F.length("n1"), F.length("n2")), 4)).withColumn("same", F.col("s1") == F.col("s2"))
     half = F.lit(0.5)
     pairs = pairs.withColumn("sc", F.round(identity.candidate_score(F.col("nm"), F.col("same").cast("int"), half, F.lit(1.0), half, half), 4))
     return identity.decide(pairs, "q", "sc", "nm", "same", "cand")
@@ -293,10 +301,10 @@ def k9_profiles(spark, d):
     return readmodels.profile_snapshot(read(spark, d, "events"), "user_id", "event_type", "event_id", "ts", "event_id").withColumn("as_of", stamp("as_of"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS child, CASE WHEN s_suppkey > 0 THEN s_suppkey // 3 END AS parent FROM supplier), c AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e WHERE parent IS NOT NULL AND parent <> child UNION ALL SELECT c.node, e.parent, depth + 1 FROM c JOIN e ON c.ancestor = e.child WHERE depth < 6 AND e.parent IS NOT NULL), p AS (SELECT DISTINCT l_returnflag AS who, l_suppkey % 40 AS place FROM lineitem WHERE l_orderkey % 30 = 0)
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS child, CASE WHEN s_suppkey > 0 THEN s_suppkey // 3 END AS parent FROM supplier), c AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e WHERE parent IS NOT NULL AND parent <> child UNION ALL SELECT c.node, e.parent, depth + 1 FROM c JOIN e ON c.ancestor = e.child WHERE depth < 6 AND e.parent IS NOT NULL), p AS (SELECT DISTINCT l_partkey AS who, l_suppkey AS place FROM lineitem)
 SELECT DISTINCT p.who, p.place FROM p JOIN c ON c.ancestor = p.place JOIN p q ON q.who = p.who AND q.place = c.node""")
 def g3_more_specific(spark, d):
-    places = read(spark, d, "lineitem").filter("l_orderkey % 30 = 0").select(F.col("l_returnflag").alias("who"), (F.col("l_suppkey") % 40).alias("place")).distinct()
+    places = read(spark, d, "lineitem").select(F.col("l_partkey").alias("who"), F.col("l_suppkey").alias("place")).distinct()
     return graph.more_specific(places, graph.climb(_hierarchy(spark, d), "child", "parent"), "who", "place")
 
 

@@ -120,9 +120,9 @@ def m4_typed_lanes(spark, d):
     return lane("purchase", "event_type = 'purchase' and value >= 5").unionByName(lane("media", F.expr("event_type = 'view' and contains(props, '7')")))
 
 
-@query("""SELECT d.doc_id, d.source, l.quality, l.toxic, d.n_chars // 1000 AS thousands FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 10 = 3""")
+@query("""SELECT d.doc_id, d.source, l.quality, l.toxic, d.n_chars // 1000 AS thousands FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def s16_artifact_detail(spark, d):
-    docs = read(spark, d, "documents").filter("doc_id % 10 = 3")
+    docs = read(spark, d, "documents")
     return docs.join(read(spark, d, "labels"), "doc_id", "left").select("doc_id", "source", "quality", "toxic", F.floor(F.col("n_chars") / 1000).alias("thousands"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import scalar
 from memlake.operators import evaluation, graph, identity, lifecycle, relational, retrieval, temporal, text
-from memlake.plans.catalog import NOW, query, read, stamp
+from memlake.plans.catalog import query, read, stamp
 
 # --- texts ------------------------------------------------------------------------------------------------------------
 
@@ -140,11 +140,11 @@ def r2_bm25(spark, d):
     return retrieval.bm25(read(spark, d, "documents"), read(spark, d, "benchmark"), "doc_id", "item_id")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 97 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE query_id <> vec_id)
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE query_id <> vec_id)
 SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10""")
 def r4_exact_neighbours(spark, d):
     e = read(spark, d, "embeddings")
-    asked = e.filter("vec_id % 97 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return retrieval.nearest_vectors(e, asked, "vec_id", "query_id")
 
 
@@ -212,12 +212,11 @@ def g1_redirects(spark, d):
     return graph.resolve_redirects(merges, "node", "target")
 
 
-SUPPLY = "m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 50 = 0), e AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS weight FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2)"
+SUPPLY = "m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), e AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS weight FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2)"
 
 
 def _supply(spark, d):
-    lines = read(spark, d, "lineitem").filter("l_orderkey % 50 = 0")
-    return relational.pairs_within(lines, "l_orderkey", "l_suppkey").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    return relational.pairs_within(read(spark, d, "lineitem"), "l_orderkey", "l_suppkey").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
 @query("""WITH v AS (SELECT a, b, count(*) AS events FROM (SELECT DISTINCT x.l_orderkey, x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey) GROUP BY 1, 2), s AS (SELECT a, b, count(DISTINCT scene) AS scenes FROM (SELECT x.l_partkey AS scene, x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_partkey = y.l_partkey AND x.l_suppkey < y.l_suppkey) GROUP BY 1, 2), r AS (SELECT x.s_suppkey AS a, y.s_suppkey AS b, 1 AS accepted FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey),
@@ -239,10 +238,10 @@ def g5_degrees(spark, d):
     return graph.degrees(_supply(spark, d))
 
 
-@query("""WITH m AS (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0) SELECT x.o_custkey AS a, y.o_custkey AS b, count(*) AS shared FROM m x JOIN m y ON x.l_suppkey = y.l_suppkey AND x.o_custkey < y.o_custkey GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query("""WITH m AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) SELECT x.o_custkey AS a, y.o_custkey AS b, count(*) AS shared FROM m x JOIN m y ON x.l_partkey = y.l_partkey AND x.o_custkey < y.o_custkey GROUP BY 1, 2 HAVING count(*) >= 2""")
 def g6_shared_neighbours(spark, d):
-    o, li = read(spark, d, "orders").filter("o_orderkey % 10 = 0"), read(spark, d, "lineitem")
-    return graph.shared_neighbours(o.join(li, o.o_orderkey == li.l_orderkey).select("o_custkey", "l_suppkey"), "o_custkey", "l_suppkey")
+    o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
+    return graph.shared_neighbours(o.join(li, o.o_orderkey == li.l_orderkey).select("o_custkey", "l_partkey"), "o_custkey", "l_partkey")
 
 
 @query("""WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, floor(value)::BIGINT AS item FROM events), t AS (SELECT DISTINCT user_id, item FROM r WHERE rank <= 6) SELECT x.item AS a, y.item AS b, round(least(2.5, 0.55 + 0.08 * (count(*) - 1)), 4)::DOUBLE AS weight FROM t x JOIN t y ON x.user_id = y.user_id AND x.item < y.item GROUP BY 1, 2""")
@@ -287,13 +286,13 @@ def e3_role_conflicts(spark, d):
     return identity.role_conflicts(read(spark, d, "documents"), "source", "lang")
 
 
-@query("""WITH p AS (SELECT x.c_custkey AS a, y.c_custkey AS b, 1 - levenshtein(x.c_name, y.c_name) / greatest(length(x.c_name), length(y.c_name)) AS lex, (x.c_nationkey = y.c_nationkey)::INT AS shared, x.c_mktsegment = y.c_mktsegment AS pred FROM customer x JOIN customer y ON x.c_nationkey = y.c_nationkey AND x.c_custkey < y.c_custkey AND x.c_acctbal < 1000 AND y.c_acctbal < 1000), s AS (SELECT *, round(least(0.99, 0.68 * lex + least(0.4, 0.16 * shared + CASE WHEN pred THEN 0.08 ELSE 0 END) + 0.05), 4)::DOUBLE AS confidence FROM p)
+@query("""WITH p AS (SELECT x.c_custkey AS a, y.c_custkey AS b, 1 - levenshtein(x.c_name, y.c_name) / greatest(length(x.c_name), length(y.c_name)) AS lex, (x.c_nationkey = y.c_nationkey)::INT AS shared, x.c_mktsegment = y.c_mktsegment AS pred FROM customer x JOIN customer y ON x.c_nationkey = y.c_nationkey AND floor(x.c_acctbal / 1000) = floor(y.c_acctbal / 1000) AND x.c_custkey < y.c_custkey), s AS (SELECT *, round(least(0.99, 0.68 * lex + least(0.4, 0.16 * shared + CASE WHEN pred THEN 0.08 ELSE 0 END) + 0.05), 4)::DOUBLE AS confidence FROM p)
 SELECT a, b, confidence FROM s WHERE (lex >= 0.84 OR (lex >= 0.72 AND shared >= 1) OR (lex >= 0.6 AND shared >= 2)) AND confidence >= 0.72""")
 def e6_identity_conflicts(spark, d):
-    c = read(spark, d, "customer").filter("c_acctbal < 1000")
-    x, y = (c.select(*[F.col(k).alias(f"{k}_{s}") for k in c.columns], F.col("c_nationkey").alias("nation")) for s in ("a", "b"))
+    c = read(spark, d, "customer")
+    x, y = (c.select(*[F.col(k).alias(f"{k}_{s}") for k in c.columns], F.col("c_nationkey").alias("nation"), F.floor(F.col("c_acctbal") / 1000).alias("band")) for s in ("a", "b"))
     lex = 1 - F.levenshtein("c_name_a", "c_name_b") / F.greatest(F.length("c_name_a"), F.length("c_name_b"))
-    pairs = x.join(y, "nation").filter("c_custkey_a < c_custkey_b").withColumns({"lex": lex, "shared": F.lit(1)})
+    pairs = x.join(y, ["nation", "band"]).filter("c_custkey_a < c_custkey_b").withColumns({"lex": lex, "shared": F.lit(1)})
     pairs = pairs.withColumn("confidence", identity.conflict_confidence(F.col("lex"), F.col("shared"), F.col("c_mktsegment_a") == F.col("c_mktsegment_b"), F.lit(0.5)))
     return pairs.filter(identity.is_conflict(F.col("lex"), F.col("shared"), F.col("confidence"))).select(F.col("c_custkey_a").alias("a"), F.col("c_custkey_b").alias("b"), "confidence")
 
@@ -306,6 +305,8 @@ def e8_alias_ledger(spark, d):
 
 # --- lifecycle --------------------------------------------------------------------------------------------------------
 
+LATER = "2024-04-01 00:00:00"
+
 
 @query("""WITH c AS (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT * FROM c WHERE rn = 1 OR event_type IS DISTINCT FROM before)
 SELECT user_id, event_type, row_number() OVER w AS version, strftime(ts, '%Y-%m-%d %H:%M:%S') AS valid_from, strftime(lead(ts) OVER w, '%Y-%m-%d %H:%M:%S') AS valid_until FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
@@ -328,12 +329,11 @@ def k3_supersession(spark, d):
     return out.select("user_id", "event_id", "event_type", stamp("valid_until").alias("valid_until"), "status")
 
 
-@query(f"""WITH u AS (SELECT user_id, max(ts) AS last_used, round(avg(value) / 10, 4) AS score, count(*) AS uses, bool_or(event_type = 'error') AS closed FROM events WHERE event_id % 7 = 0 GROUP BY 1), i AS (SELECT *, greatest(0, epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_used)) / 3600000000.0 AS idle FROM u), a AS (SELECT *, (closed OR idle >= 2880 OR score <= 0.1) AS arch FROM i), h AS (SELECT *, (NOT arch AND (score >= 0.8 OR uses >= 10 OR idle < 720)) AS hot FROM a)
-SELECT user_id, CASE WHEN arch THEN 'cold' WHEN hot THEN 'hot' ELSE 'warm' END AS tier, CASE WHEN arch THEN 0.1 WHEN hot THEN score ELSE greatest(0.1, score * 0.5) END::DOUBLE AS next_score FROM h""")
+@query(f"""WITH u AS (SELECT user_id, event_type, max(ts) AS last_used, round(avg(value) / 10, 4) AS score, count(*) AS uses, bool_or(event_type = 'error') AS closed FROM events GROUP BY 1, 2), i AS (SELECT *, greatest(0, epoch_us(TIMESTAMP '{LATER}') - epoch_us(last_used)) / 3600000000.0 AS idle FROM u), a AS (SELECT *, (closed OR idle >= 2880 OR score <= 0.1) AS arch FROM i), h AS (SELECT *, (NOT arch AND (score >= 0.8 OR uses >= 10 OR idle < 720)) AS hot FROM a)
+SELECT user_id, event_type, CASE WHEN arch THEN 'cold' WHEN hot THEN 'hot' ELSE 'warm' END AS tier, CASE WHEN arch THEN 0.1 WHEN hot THEN score ELSE greatest(0.1, score * 0.5) END::DOUBLE AS next_score FROM h""")
 def k4_decay(spark, d):
-    e = read(spark, d, "events").filter("event_id % 7 = 0")
-    u = e.groupBy("user_id").agg(F.max("ts").alias("last_used"), F.round(F.avg("value") / 10, 4).alias("score"), F.count(F.lit(1)).alias("uses"), F.bool_or(F.col("event_type") == "error").alias("closed"))
-    return lifecycle.decayed(u, F.lit(NOW).cast("timestamp_ntz"), "last_used", "score", "uses", ~F.col("closed")).select("user_id", "tier", "next_score")
+    u = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("last_used"), F.round(F.avg("value") / 10, 4).alias("score"), F.count(F.lit(1)).alias("uses"), F.bool_or(F.col("event_type") == "error").alias("closed"))
+    return lifecycle.decayed(u, F.lit(LATER).cast("timestamp_ntz"), "last_used", "score", "uses", ~F.col("closed")).select("user_id", "event_type", "tier", "next_score")
 
 
 NODES = " UNION ".join(
@@ -394,8 +394,8 @@ def m6_dominant(spark, d):
     return evaluation.dominant(read(spark, d, "events"), "user_id", "event_type")
 
 
-@query("""WITH s AS (SELECT event_id, user_id, value, CASE event_type WHEN 'purchase' THEN 'owned' WHEN 'view' THEN 'mixed' WHEN 'error' THEN 'foreign' ELSE 'no_signal' END AS status FROM events WHERE event_id % 9 = 0), o AS (SELECT user_id, bool_or(status = 'owned') AS o FROM s GROUP BY 1) SELECT event_id, status, round(value + CASE status WHEN 'owned' THEN 2.2 WHEN 'mixed' THEN -1.5 WHEN 'foreign' THEN -2.25 ELSE -0.65 END, 4) AS isolated_score FROM s JOIN o USING (user_id) WHERE NOT (o AND status IN ('foreign', 'mixed'))""")
+@query("""WITH s AS (SELECT event_id, user_id || ':' || strftime(ts, '%Y-%m-%d') AS scope, value, CASE event_type WHEN 'purchase' THEN 'owned' WHEN 'view' THEN 'mixed' WHEN 'error' THEN 'foreign' ELSE 'no_signal' END AS status FROM events), o AS (SELECT scope, bool_or(status = 'owned') AS o FROM s GROUP BY 1) SELECT event_id, status, round(value + CASE status WHEN 'owned' THEN 2.2 WHEN 'mixed' THEN -1.5 WHEN 'foreign' THEN -2.25 ELSE -0.65 END, 4) AS isolated_score FROM s JOIN o USING (scope) WHERE NOT (o AND status IN ('foreign', 'mixed'))""")
 def m15_isolation(spark, d):
-    e = read(spark, d, "events").filter("event_id % 9 = 0")
+    e = read(spark, d, "events").withColumn("scope", F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")))
     kind = F.when(F.col("event_type") == "purchase", "owned").when(F.col("event_type") == "view", "mixed").when(F.col("event_type") == "error", "foreign").otherwise("no_signal")
-    return evaluation.isolation(e.withColumn("status", kind), "user_id", "status", "value").select("event_id", "status", "isolated_score")
+    return evaluation.isolation(e.withColumn("status", kind), "scope", "status", "value").select("event_id", "status", "isolated_score")
