@@ -329,10 +329,10 @@ def k3_supersession(spark, d):
     return out.select("user_id", "event_id", "event_type", stamp("valid_until").alias("valid_until"), "status")
 
 
-@query(f"""WITH u AS (SELECT user_id, event_type, max(ts) AS last_used, round(avg(value) / 10, 4) AS score, count(*) AS uses, bool_or(event_type = 'error') AS closed FROM events GROUP BY 1, 2), i AS (SELECT *, greatest(0, epoch_us(TIMESTAMP '{LATER}') - epoch_us(last_used)) / 3600000000.0 AS idle FROM u), a AS (SELECT *, (closed OR idle >= 2880 OR score <= 0.1) AS arch FROM i), h AS (SELECT *, (NOT arch AND (score >= 0.8 OR uses >= 10 OR idle < 720)) AS hot FROM a)
+@query(f"""WITH u AS (SELECT user_id, event_type, max(ts) AS last_used, round(quantile_disc(value, 0.5) / 10, 4) AS score, count(*) AS uses, bool_or(event_type = 'error') AS closed FROM events GROUP BY 1, 2), i AS (SELECT *, greatest(0, epoch_us(TIMESTAMP '{LATER}') - epoch_us(last_used)) / 3600000000.0 AS idle FROM u), a AS (SELECT *, (closed OR idle >= 2880 OR score <= 0.1) AS arch FROM i), h AS (SELECT *, (NOT arch AND (score >= 0.8 OR uses >= 10 OR idle < 720)) AS hot FROM a)
 SELECT user_id, event_type, CASE WHEN arch THEN 'cold' WHEN hot THEN 'hot' ELSE 'warm' END AS tier, CASE WHEN arch THEN 0.1 WHEN hot THEN score ELSE greatest(0.1, score * 0.5) END::DOUBLE AS next_score FROM h""")
 def k4_decay(spark, d):
-    u = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("last_used"), F.round(F.avg("value") / 10, 4).alias("score"), F.count(F.lit(1)).alias("uses"), F.bool_or(F.col("event_type") == "error").alias("closed"))
+    u = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("last_used"), F.round(F.expr("percentile_disc(0.5) within group (order by value)") / 10, 4).alias("score"), F.count(F.lit(1)).alias("uses"), F.bool_or(F.col("event_type") == "error").alias("closed"))
     return lifecycle.decayed(u, F.lit(LATER).cast("timestamp_ntz"), "last_used", "score", "uses", ~F.col("closed")).select("user_id", "event_type", "tier", "next_score")
 
 
