@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import common, line_dedup, mixing, packing, quality_rules, simhash
+from memlake.llm import common, line_dedup, mixing, packing, quality_rules, similar
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, on shingles of five words."""
-    return simhash.keep_one(docs, width=5)
+    """One document of each group of near-duplicates stays: similarity 0.8 or more on shingles of five words."""
+    return similar.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
