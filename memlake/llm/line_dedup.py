@@ -7,6 +7,9 @@ lines, not with the square of a group. Pairs are aligned by patience diff (uniqu
 sequence, then the gaps), and common blocks that hold a long enough line are deleted from the later document.
 Decisions are made on the input, not on what is left.
 
+The query and the pipeline ask for the whole job (``whole``): every voter pairs a document with its first holder,
+however common it is. The default keeps the two bounds above.
+
 Only line digests are shuffled until the end, when deleted lines return to their text by row.
 
 Defined cases: a null or empty text has no lines to delete and stays as it is (null becomes empty); a line is compared
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import common
@@ -100,22 +103,89 @@ def common_blocks(first: list[int], later: list[int], long_enough: list[bool]) -
     return gone
 
 
+def whole_blocks(first: list[int], later: list[int], words: list[int]) -> list[int]:
+    """Places in ``later`` of common blocks."""
+    return common_blocks(first, later, [n >= LINE_WORDS for n in words])
+
+
+def line_words(text: str) -> list[int]:
+    """Words of each \\n-split line."""
+    return [len(line.split()) for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """order (doc_id, null: last), row, lines and long (whether each line is long enough) of every distinct row."""
+    """order (doc_id, null: last), row, lines, long (whether each line is long enough) and words of every distinct row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [line_digests(t.as_py()) for t in batch.column("text")]
             lines, long = ([x[i] for x in found] for i in (0, 1))
-            arrays = [batch.column("order"), batch.column("row"), pa.array(lines, pa.list_(pa.int64())), pa.array(long, pa.list_(pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["order", "row", "lines", "long"])
+            words = [line_words(t.as_py()) for t in batch.column("text")]
+            arrays = [batch.column("order"), batch.column("row"), pa.array(lines, pa.list_(pa.int64())), pa.array(long, pa.list_(pa.bool_())), pa.array(words, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["order", "row", "lines", "long", "words"])
 
     rows = common.keyed(docs).select(F.coalesce("doc_id", F.lit(common.MAX_LONG)).alias("order"), "row", "text")
-    return rows.mapInArrow(each, "order long, row long, lines array<long>, long array<boolean>")
+    return rows.mapInArrow(each, "order long, row long, lines array<long>, long array<boolean>, words array<int>")
+
+
+def voters(lines: list[int], words: list[int]) -> np.ndarray:
+    """Digests by which a document meets others: its distinct long enough lines that occur once."""
+    count = Counter(x for x, n in zip(lines, words, strict=True) if n >= LINE_WORDS)
+    return np.array([x for x, n in count.items() if n == 1], np.int64)
+
+
+def votes(known_rows: DataFrame) -> DataFrame:
+    """order, row and line of every voter."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [voters(x.as_py(), y.as_py()) for x, y in zip(batch.column("lines"), batch.column("words"), strict=True)]
+            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
+            line = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("order").take(pa.array(at)), batch.column("row").take(pa.array(at)), pa.array(line)], ["order", "row", "line"])
+
+    return known_rows.select("order", "row", "lines", "words").mapInArrow(each, "order long, row long, line long")
+
+
+def earlier(first: str) -> Column:
+    """Whether the document of the struct ``first`` (order, row) comes before that of ``order`` and ``row``."""
+    return F.expr(f"{first}.order < order or (order = {common.MAX_LONG} and {first}.order = order and {first}.row < row)")
+
+
+def whole_pairs(known_rows: DataFrame) -> DataFrame:
+    """row and first_row of all pairs to align: a document and the first one of each of its voters, however common."""
+    cast = common.stored(votes(known_rows), "line-votes")
+    shared_lines = cast.groupBy("line").agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct("order", "row")).alias("first")).filter("documents > 1")
+    # a table of its own, so that Spark can split the join where very many documents have a line
+    shared_lines = common.stored(shared_lines, "shared-lines")
+    met = cast.join(shared_lines, "line")
+    return met.filter(earlier("first")).select("row", F.col("first.row").alias("first_row")).distinct()
+
+
+def whole_deleted_lines(docs: DataFrame) -> DataFrame:
+    """row and ``gone`` of the rows that lose any line, without a bound on how common a shared line is."""
+    known = common.stored(profiles(docs), "line-profiles").dropDuplicates(["row"])
+    known = common.stored(known, "line-rows")
+    pairs = common.stored(whole_pairs(known), "line-pairs")
+    first = known.select(F.col("row").alias("first_row"), F.col("lines").alias("first_lines"))
+    both = pairs.join(first, "first_row").join(known.select("row", "lines", "words"), "row").select("row", "first_lines", "lines", "words")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # lists become Python objects a few pairs at a time
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                gone = [whole_blocks(*x) for x in zip(*(part.column(c).to_pylist() for c in ("first_lines", "lines", "words")), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
+
+    found = both.mapInArrow(align, "row long, gone array<int>").select("row", F.explode("gone").alias("place"))
+    return found.groupBy("row").agg(F.collect_set("place").alias("gone"))
 
 
-def deleted_lines(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHARED_LINES) -> DataFrame:
+def deleted_lines(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHARED_LINES, whole: bool = False) -> DataFrame:
     """row and ``gone`` (places of deleted lines) of the rows that lose any."""
+    if whole:
+        return whole_deleted_lines(docs)
     known = common.stored(profiles(docs), "line-profiles")
     known_rows = known.dropDuplicates(["row"])
     # lines that occur once in their document
@@ -141,7 +211,7 @@ def deleted_lines(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHA
     return found.groupBy("row").agg(F.collect_set("place").alias("gone"))
 
 
-def dedup(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHARED_LINES) -> DataFrame:
+def dedup(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHARED_LINES, whole: bool = False) -> DataFrame:
     """doc_id, row, kept (the lines that stay, joined by \\n), n_lines, n_removed, kept_sha256 of every row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,14 +225,14 @@ def dedup(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHARED_LINE
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, [pa.string(), pa.int64(), pa.int64(), pa.string()], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *columns], ["doc_id", "row", "kept", "n_lines", "n_removed", "kept_sha256"])
 
-    marked = common.keyed(docs).join(deleted_lines(docs, rare, shared).hint("shuffle_hash"), "row", "left").select("doc_id", "row", "text", "gone")
+    marked = common.keyed(docs).join(deleted_lines(docs, rare, shared, whole).hint("shuffle_hash"), "row", "left").select("doc_id", "row", "text", "gone")
     return marked.mapInArrow(cut, "doc_id long, row long, kept string, n_lines long, n_removed long, kept_sha256 string")
 
 
-def drop_lines(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHARED_LINES) -> DataFrame:
+def drop_lines(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHARED_LINES, whole: bool = False) -> DataFrame:
     """``docs`` with their columns, without deleted lines (n_chars follows the text); documents left without a word go."""
     marked = docs.select(F.struct("*").alias("d"), common.row_key(docs).alias("row"))
-    joined = marked.join(deleted_lines(docs, rare, shared).hint("shuffle_hash"), "row", "left")
+    joined = marked.join(deleted_lines(docs, rare, shared, whole).hint("shuffle_hash"), "row", "left")
     left = F.array_join(F.filter(F.split("d.text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
     kept = joined.select("d.*", F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(left).alias("text left"), F.col("gone").isNotNull().alias("was cut"))
     out = {"text": F.col("text left")} | ({"n_chars": F.when(F.col("was cut"), F.length("text left")).otherwise(F.col("n_chars")).cast("long")} if "n_chars" in docs.columns else {})

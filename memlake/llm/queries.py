@@ -22,7 +22,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(common.table(spark, sf_dir, "documents"))
+    found = line_dedup.dedup(common.table(spark, sf_dir, "documents"), whole=True)
     return found.select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
