@@ -4,11 +4,13 @@ Every long enough line that occurs once in its document votes for the pair of th
 document at hand. A pair is aligned when they share a rare line (one of few documents), or several lines, however
 common: so a group of thousands of near copies is found as well, each through its first document, and pairs grow with
 lines, not with the square of a group. Pairs are aligned by patience diff (unique common lines, longest increasing
-sequence, then the gaps), and common blocks that hold a long enough line are deleted from the later document.
+sequence, then the gaps; a longest common subsequence where no line is unique), and common blocks that hold a long enough line are deleted from the later document.
 Decisions are made on the input, not on what is left.
 
 The query and the pipeline ask for the whole job (``whole``): every voter pairs a document with its first holder,
-however common it is. The default keeps the two bounds above.
+however common it is. Voters are runs of lines that hold five words in all (a long line alone, or short ones together;
+a line without blanks is one word), whatever their count in the document, and a common block of as many words is deleted,
+also where it comes twice or in another order. The default keeps the two bounds above and unique long lines.
 
 Only line digests are shuffled until the end, when deleted lines return to their text by row.
 
@@ -32,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import common
+from memlake.llm.words import Substrings, mix
 
 #: Words of a line that may bring documents together, or make a common block worth deleting.
 LINE_WORDS = 5
@@ -47,6 +50,33 @@ def line_digests(text: str, words: int = LINE_WORDS) -> tuple[list[int], list[bo
     return values.tolist(), [len(line.split()) >= words for line in lines]
 
 
+def longest_common(a: list[int], b: list[int], gap: tuple[int, int, int, int]) -> list[tuple[int, int]]:
+    """Aligned positions of a longest common subsequence inside a gap, by bit-parallel rows."""
+    a0, a1, b0, b1 = gap
+    shared = set(a[a0:a1]) & set(b[b0:b1])
+    left, right = ([k for k in range(s, e) if x[k] in shared] for x, s, e in ((a, a0, a1), (b, b0, b1)))
+    where: dict[int, int] = {}
+    for j, k in enumerate(right):
+        where[b[k]] = where.get(b[k], 0) | 1 << j
+    row = full = (1 << len(right)) - 1
+    rows = []
+    for k in left:
+        match = row & where[a[k]]
+        row = ((row + match) | (row - match)) & full
+        rows.append(row)
+    out = []
+    i, j = len(left) - 1, len(right) - 1
+    while i >= 0 and j >= 0:
+        if a[left[i]] == b[right[j]]:
+            out.append((left[i], right[j]))
+            i, j = i - 1, j - 1
+        elif rows[i] >> j & 1:
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned positions of two sequences, increasing in both, by patience diff."""
     out: list[tuple[int, int]] = []
@@ -79,6 +109,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             chain.append(unique[n])
             n = before[n]
         if not chain:
+            out += longest_common(a, b, (a0, a1, b0, b1))
             continue
         chain.reverse()
         for (i, j), (next_i, next_j) in zip(chain, [*chain[1:], (a1, b1)], strict=True):
@@ -88,24 +119,69 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(first: list[int], later: list[int], long_enough: list[bool]) -> list[int]:
-    """Places in ``later`` of aligned blocks that hold a long enough line."""
-    gone: list[int] = []
+def blocks(first: list[int], later: list[int]) -> Iterator[list[int]]:
+    """Places in ``later`` of each aligned block."""
     block: list[int] = []
     last = (-2, -2)
     for i, j in [*patience(first, later), (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
-            if any(long_enough[x] for x in block):
-                gone += block
+            yield block
             block = []
         block.append(j)
         last = (i, j)
-    return gone
+
+
+def common_blocks(first: list[int], later: list[int], long_enough: list[bool]) -> list[int]:
+    """Places in ``later`` of aligned blocks that hold a long enough line."""
+    return [x for block in blocks(first, later) if any(long_enough[x] for x in block) for x in block]
+
+
+def runs(words: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the shortest run of lines from each line with words that holds LINE_WORDS words in all."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    start = np.flatnonzero(words)
+    end = np.searchsorted(total, total[start] + LINE_WORDS)
+    return start[end < len(total)], end[end < len(total)]
+
+
+def run_digests(lines: list[int], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return Substrings(mix(np.array(lines, np.int64).view(np.uint64)))(start, end).view(np.int64)
 
 
 def whole_blocks(first: list[int], later: list[int], words: list[int]) -> list[int]:
-    """Places in ``later`` of common blocks."""
-    return common_blocks(first, later, [n >= LINE_WORDS for n in words])
+    """Places in ``later`` of the lines that stand in a block common with ``first`` of LINE_WORDS words in all.
+
+    What one alignment finds is taken out, and the rest aligned again, for blocks that come twice or in another order.
+    Where alignment finds no more, a common run that is left is extended to its block.
+    """
+    rest: list = list(later)
+    gone: set[int] = set()
+    start, end = (x.tolist() for x in runs(words))
+    first_at: dict[tuple, int] = {}
+    lengths = {e - s for s, e in zip(start, end, strict=True)}
+    for n in lengths:
+        for i in range(len(first) - n + 1):
+            first_at.setdefault(tuple(first[i : i + n]), i)
+    todo = [(s, e) for s, e in zip(start, end, strict=True) if tuple(later[s:e]) in first_at]
+    aligned = bool(todo)
+    while todo:
+        found = [x for block in blocks(first, rest) if sum(words[x] for x in block) >= LINE_WORDS for x in block] if aligned else []
+        aligned = bool(found)
+        if not found:
+            s, e = todo[0]
+            i, j = first_at[tuple(later[s:e])] + e - s, e
+            while i < len(first) and j < len(rest) and first[i] == rest[j]:
+                i, j = i + 1, j + 1
+            found = list(range(s, j))
+            i, j = first_at[tuple(later[s:e])] - 1, s - 1
+            while i >= 0 and j >= 0 and first[i] == rest[j]:
+                found.append(j)
+                i, j = i - 1, j - 1
+        gone.update(found)
+        for x in found:
+            rest[x] = (x,)  # equal to no line
+        todo = [(s, e) for s, e in todo if not gone.issuperset(range(s, e))]
+    return sorted(gone)
 
 
 def line_words(text: str) -> list[int]:
@@ -129,9 +205,9 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def voters(lines: list[int], words: list[int]) -> np.ndarray:
-    """Digests by which a document meets others: its distinct long enough lines that occur once."""
-    count = Counter(x for x, n in zip(lines, words, strict=True) if n >= LINE_WORDS)
-    return np.array([x for x, n in count.items() if n == 1], np.int64)
+    """Digests by which a document meets others: its distinct runs (``runs``), whatever their count in it."""
+    start, end = runs(words)
+    return np.unique(run_digests(lines, start, end))
 
 
 def votes(known_rows: DataFrame) -> DataFrame:
