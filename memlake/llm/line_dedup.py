@@ -10,7 +10,8 @@ Decisions are made on the input, not on what is left.
 The query and the pipeline ask for the whole job (``whole``): every voter pairs a document with its first holder,
 however common it is. Voters are runs of lines that hold five words in all (a long line alone, or short ones together;
 a line without blanks is one word), whatever their count in the document, and a common block of as many words is deleted,
-also where it comes twice or in another order. The default keeps the two bounds above and unique long lines.
+also where it comes twice or in another order. Windows of 2, 4, 8... lines vote as well, so that a document meets the first
+holder of more than a line, and a run of few documents pairs each with all before it. The default keeps the two bounds above and unique long lines.
 
 Only line digests are shuffled until the end, when deleted lines return to their text by row.
 
@@ -204,23 +205,35 @@ def profiles(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(each, "order long, row long, lines array<long>, long array<boolean>, words array<int>")
 
 
-def voters(lines: list[int], words: list[int]) -> np.ndarray:
-    """Digests by which a document meets others: its distinct runs (``runs``), whatever their count in it."""
+def voters(lines: list[int], words: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests by which a document meets others, and whether each is a shortest run (``runs``).
+
+    The others are windows of 2, 4, 8... lines from the same starts: the lines around a run say which of its many
+    holders have more of its block.
+    """
     start, end = runs(words)
-    return np.unique(run_digests(lines, start, end))
+    found = [np.unique(run_digests(lines, start, end))]
+    size = 2
+    while size <= len(lines):
+        longer = (end - start < size) & (start + size <= len(lines))
+        found.append(np.unique(run_digests(lines, start[longer], start[longer] + size)))
+        size *= 2
+    return np.concatenate(found), np.repeat([True, False], [len(found[0]), sum(map(len, found[1:]))])
 
 
 def votes(known_rows: DataFrame) -> DataFrame:
-    """order, row and line of every voter."""
+    """order, row, line and base (see ``voters``) of every voter."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [voters(x.as_py(), y.as_py()) for x, y in zip(batch.column("lines"), batch.column("words"), strict=True)]
-            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
-            line = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("order").take(pa.array(at)), batch.column("row").take(pa.array(at)), pa.array(line)], ["order", "row", "line"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                found = [voters(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column("lines"), batch.column("words"), strict=True)]
+                at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x, _ in found]))
+                line, base = (pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column("order").take(at), batch.column("row").take(at), line, base], ["order", "row", "line", "base"])
 
-    return known_rows.select("order", "row", "lines", "words").mapInArrow(each, "order long, row long, line long")
+    return known_rows.select("order", "row", "lines", "words").mapInArrow(each, "order long, row long, line long, base boolean")
 
 
 def earlier(first: str) -> Column:
@@ -229,13 +242,19 @@ def earlier(first: str) -> Column:
 
 
 def whole_pairs(known_rows: DataFrame) -> DataFrame:
-    """row and first_row of all pairs to align: a document and the first one of each of its voters, however common."""
+    """row and first_row of all pairs to align: a document with the first one of each of its voters, however common, and
+    with every earlier one of its rare runs."""
     cast = common.stored(votes(known_rows), "line-votes")
     shared_lines = cast.groupBy("line").agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct("order", "row")).alias("first")).filter("documents > 1")
     # a table of its own, so that Spark can split the join where very many documents have a line
     shared_lines = common.stored(shared_lines, "shared-lines")
-    met = cast.join(shared_lines, "line")
-    return met.filter(earlier("first")).select("row", F.col("first.row").alias("first_row")).distinct()
+    met = common.stored(cast.join(shared_lines, "line"), "line-met")
+    with_first = met.filter(earlier("first")).select("row", F.col("first.row").alias("first_row"))
+    # with two holders the other one is the first
+    few = met.filter(F.col("base") & (F.col("documents") > 2) & (F.col("documents") <= RARE_DOCUMENTS))
+    others = few.select("line", F.struct("order", "row").alias("other"))
+    with_all = few.join(others, "line").filter(earlier("other")).select("row", F.col("other.row").alias("first_row"))
+    return with_first.union(with_all).distinct()
 
 
 def whole_deleted_lines(docs: DataFrame) -> DataFrame:

@@ -52,3 +52,16 @@ def test_blocks_in_any_order_equal_brute_force():
 def test_alignment_without_unique_lines():
     found = line_dedup.patience([9, 1, 1, 2, 2, 8], [7, 1, 1, 2, 2, 6])
     assert found == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_later_holders_of_a_line_count(spark):
+    line, other = "a long line of more than five words", "and another line of as many words"
+    block = f"title\n{line}\nfoot"
+    rows = [(1, f"{own(1)}\n{line}\n{own(11)}"), (2, f"{own(2)}\n{block}"), (3, f"{own(3)}\n{block}")]
+    # the same with so many holders of the line that it is common
+    rows += [(i, f"{own(i)}\n{other}\n{own(1000 + i)}") for i in range(100, 120)]
+    rows += [(i, f"{own(i)}\nhead\n{other}\nend") for i in (200, 201)]
+    got = kept(spark, rows)
+    assert got[2] == f"{own(2)}\ntitle\nfoot" and got[3] == own(3)
+    assert got[119] == f"{own(119)}\n{own(1119)}"
+    assert got[200] == f"{own(200)}\nhead\nend" and got[201] == own(201)
