@@ -17,6 +17,8 @@ RRF_K = 60
 MMR_LAMBDA = 0.68
 BM25_K1, BM25_B = 1.2, 0.75
 # Fixed values end.
+# Queries and rows that meet in one task, and queries scored at a time.
+QUERY_BLOCK, ROW_BLOCK, SCORED = 4096, 8192, 256
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -41,31 +43,39 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: st
 
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str = "embedding", k: int = 10) -> DataFrame:
-    """Exact cosine neighbours of a small, stated query set against all rows, which stay where they are.
+    """Exact cosine neighbours of every query among all rows, however many there are of either.
 
-    Each task scores its rows against the queries (their number is checked) and sends its k best of each.
+    Queries and rows are dealt to numbered blocks by a digest, every block of queries meets every block of rows in a
+    group of its own, and the k best of each query and block are merged.
     """
-    asked = queries.select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("qv"))
-    n = asked.count()
-    if n > 10_000:
-        raise ValueError("for so many queries use an index")
-    shared = vectors.sparkSession.sparkContext.broadcast([(r.q, r.qv) for r in asked.collect()])
-    ids = np.array([q for q, _ in shared.value])
-
-    def score(batches):
-        matrix = np.array([v for _, v in shared.value], float)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        for pdf in batches:
-            own = np.stack(pdf["v"].to_numpy()).astype(float)
-            own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
-            # rounded before ranking, so that ties are ties in whatever order sums were taken
-            sims = np.round(own @ matrix.T, 6)
-            for j, q in enumerate(ids):
-                best = np.lexsort((pdf["id"].to_numpy(), -sims[:, j]))[: k + 1]
-                yield pd.DataFrame({"q": q, "id": pdf["id"].to_numpy()[best], "score": sims[best, j]})
-
+    asked = queries.select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v"))
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    found = rows.mapInPandas(score, "q long, id long, score double").filter("q != id")
+    n_asked, n_rows = (max(1, -(-df.count() // size)) for df, size in ((asked, QUERY_BLOCK), (rows, ROW_BLOCK)))
+    block = lambda name, n: F.pmod(F.xxhash64(name, "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.select("q", "v", block("q", n_asked).alias("qb"), every(n_rows).alias("rb"))
+    rows = rows.select("id", "v", block("id", n_rows).alias("rb"), every(n_asked).alias("qb"))
+
+    def unit(column):
+        own = np.stack(column.to_numpy()).astype(float)
+        return own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
+
+    def score(theirs, ours):
+        out = [pd.DataFrame({"q": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(theirs) and len(ours):
+            matrix, own, ids, asking = unit(theirs["v"]), unit(ours["v"]), ours["id"].to_numpy(), theirs["q"].to_numpy()
+            for at in range(0, len(asking), SCORED):
+                # rounded before ranking, so that ties are ties in whatever order sums were taken
+                sims = np.round(matrix[at : at + SCORED] @ own.T, 6)
+                for q, line in zip(asking[at : at + SCORED], sims, strict=True):
+                    other = np.flatnonzero(ids != q)
+                    if len(other) > k:
+                        other = other[line[other] >= np.partition(line[other], -k)[-k]]
+                    best = other[np.lexsort((ids[other], -line[other]))[:k]]
+                    out.append(pd.DataFrame({"q": q, "id": ids[best], "score": line[best]}))
+        return pd.concat(out, ignore_index=True)
+
+    found = asked.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInPandas(score, "q long, id long, score double")
     best = top_per_group(found, ["q"], [F.desc("score"), F.asc("id")], k, "rank")
     return best.select(F.col("q").alias(query_key), F.col("id").alias(key), "score", "rank")
 
