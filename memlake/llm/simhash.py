@@ -2,11 +2,10 @@
 
 Fingerprints of distinct value are the nodes, so exact copies of any number are one node. Two fingerprints that differ
 in at most ``radius`` bits agree on at least two of ``radius + 2`` blocks, so each pair of blocks is a bucket key and no
-link is lost. Inside a bucket fingerprints are stored vertically, a machine word holding one bit of 64 of them; a
-fingerprint is compared to all not yet reached ones with carry-save counters over the planes, and the walk over planes
-ends when every lane has passed the radius. Only a spanning forest of each bucket is emitted (a member once reached is
-never compared again), so a tight group of any size gives less than one link a member. Components then follow from
-alternating star rounds.
+link is lost; a large bucket is dealt again by further blocks. Inside a bucket, of whatever size, fingerprints are
+stored vertically, a machine word holding one bit of 64 of them (see ``bitplanes``): distances are carry-save counters over the
+planes, and words are left once every lane has passed the radius. Only links that span a bucket's components are
+emitted, so a tight group of any size gives about one link a member. Components then follow from alternating star rounds.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; texts of fewer words than a shingle
 are one shingle; rows that repeat share a component; a null doc_id is its own row, takes the component of its
@@ -22,10 +21,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import common
+from memlake.llm.bitplanes import Comparison, spanning_links
 from memlake.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -33,8 +33,8 @@ RADIUS = 4
 SEED = 42
 #: Shingles whose bits are counted in one numpy pass.
 PASS = 1 << 16
-#: Members of a bucket from which comparison is bit-sliced; below, a plain popcount of the few pairs is as fast.
-SLICED_FROM = 64
+#: Members of a bucket from which it is dealt again by more bits, and how often that is done at most.
+LIMIT, FINEST = 2048, 4
 
 
 def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
@@ -67,111 +67,64 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     return common.keyed(docs).select("doc_id", "row", "text").mapInArrow(each, "doc_id long, row long, fp long")
 
 
-class BitPlanes:
-    """Fingerprints stored vertically: plane b holds bit b of all, 64 to a machine word."""
-
-    def __init__(self, values: np.ndarray):
-        n = -(-len(values) // 64) * 64
-        bits = np.zeros((n, 64), np.uint8)
-        bits[: len(values)] = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        self.planes = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
-        self.lanes = np.zeros(n // 64, np.uint64)
-        self.lanes[: len(values) // 64] = ~np.uint64(0)
-        if len(values) % 64:
-            self.lanes[len(values) // 64] = np.uint64((1 << (len(values) % 64)) - 1)
-
-    def within(self, value: int, radius: int, lanes: np.ndarray) -> np.ndarray:
-        """Of the lanes (a bit each), those whose fingerprint differs from ``value`` in at most ``radius`` bits.
-
-        Carry-save counting: ``ones``, ``twos``, ``fours`` hold a lane's number of differing bits so far; a lane that
-        overflows past the radius is dropped, and blocks without lanes leave the comparison.
-        """
-        block = np.flatnonzero(lanes)
-        alive = lanes[block]
-        digits = [np.zeros(len(block), np.uint64) for _ in range((radius + 1).bit_length())]
-        # so many planes at most between two looks, else a counter of a lane within the radius could wrap
-        pause = (1 << len(digits)) - 1 - radius
-        for b in range(64):
-            plane = self.planes[b, block]
-            carry = ~plane if value >> b & 1 else plane
-            for i, digit in enumerate(digits):
-                digits[i], carry = digit ^ carry, digit & carry
-            if b % pause == pause - 1 or b == 63:
-                # lanes above the radius: compare the counter's digits from the top
-                over, equal = np.zeros(len(block), np.uint64), np.full(len(block), ~np.uint64(0))
-                for i in reversed(range(len(digits))):
-                    if radius >> i & 1:
-                        equal &= digits[i]
-                    else:
-                        over |= equal & digits[i]
-                        equal &= ~digits[i]
-                alive &= ~over
-                keep = alive != 0
-                if not keep.all():
-                    block, alive, digits = block[keep], alive[keep], [d[keep] for d in digits]
-                    if not len(block):
-                        break
-        out = np.zeros(len(lanes), np.uint64)
-        out[block] = alive
-        return out
-
-
-def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (of positions) that span each component of one bucket's distinct fingerprints."""
-    n, links = len(values), []
-    if n < SLICED_FROM:
-        left = np.arange(n)
-        while len(left):
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                at = queue.pop()
-                near = np.bitwise_count(values[left] ^ values[at]) <= radius
-                queue.extend(left[near])
-                links.extend((int(at), int(x)) for x in left[near])
-                left = left[~near]
-        return links
-    planes = BitPlanes(values)
-    left = planes.lanes.copy()
-    clear = lambda i: left.__setitem__(i // 64, left[i // 64] & ~np.uint64(1 << (i % 64)))
-    for root in range(n):
-        if not int(left[root // 64]) >> (root % 64) & 1:
-            continue
-        clear(root)
-        queue = [root]
-        while queue:
-            at = queue.pop()
-            found = planes.within(int(values[at]), radius, left)
-            if found.any():
-                left &= ~found
-                near = np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little"))
-                links.extend((at, int(x)) for x in near)
-                queue.extend(near.tolist())
-    return links
-
-
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def block_masks(free: int, n_blocks: int, agreed: int) -> list[int]:
+    """Masks of every ``agreed`` of ``n_blocks`` blocks into which the bits of ``free`` are cut."""
+    bits = [b for b in range(64) if free >> b & 1]
+    edges = [round(i * len(bits) / n_blocks) for i in range(n_blocks + 1)]
+    blocks = [sum(1 << b for b in bits[s:e]) for s, e in zip(edges, edges[1:], strict=False)]
+    return [sum(some) for some in combinations(blocks, agreed)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def keyed_by(masks: list[int]) -> Column:
+    """A bucket (mask, key) for each mask: the fingerprint's bits there."""
+    return F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m in masks])
+
+
+def split_buckets(entries: DataFrame, radius: int, limit: int = LIMIT) -> Iterator[DataFrame]:
+    """The same entries (mask, key, fp) in buckets of at most ``limit`` members.
+
+    A larger bucket is dealt again by radius + 1 blocks of the bits that its mask leaves, of which two fingerprints
+    within the radius agree on one at least, and so on. After FINEST times 17 bits or fewer are left, which bounds a
+    bucket whatever the table.
+    """
+    masks = block_masks((1 << 64) - 1, radius + 2, 2)
+    for level in range(FINEST + 1):
+        sizes = entries.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        large = common.stored(sizes.filter(F.col("n") > limit), "simhash-large") if level < FINEST else None
+        if large is None or not large.limit(1).count():
+            yield entries
+            return
+        yield entries.join(large, ["mask", "key"], "left_anti")
+        finer = {m: [m | more for more in block_masks(~m & ((1 << 64) - 1), radius + 1, 1)] for m in masks}
+        by_mask = F.create_map(*[x for m, some in finer.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(f)) for f in some]))])
+        entries = entries.join(large, ["mask", "key"], "left_semi").select("fp", F.explode(by_mask[F.col("mask")]).alias("mask"))
+        entries = common.stored(entries.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), "simhash-entries")
+        masks = sorted({f for some in finer.values() for f in some})
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that keep every component together."""
-    n_blocks = radius + 2
-    edges = [round(i * 64 / n_blocks) for i in range(n_blocks + 1)]
-    parts = [F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) for i in range(n_blocks)]
-    keys = F.array(*[F.xxhash64(F.lit(100 * i + j), parts[i], parts[j]) for i, j in combinations(range(n_blocks), 2)])
-    buckets = distinct.select("fp", F.explode(keys).alias("bucket"))
-    # buckets of one member need no comparison; a bucket is one array, as its members are distinct fingerprints
-    buckets = buckets.groupBy("bucket").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("fps")
             offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
-            a, b = [], []
-            for s, e in zip(offsets[:-1], offsets[1:], strict=True):
-                own = np.sort(values[s:e])
-                for x, y in forest(own.view(np.uint64), radius):
-                    a.append(own[x])
-                    b.append(own[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            values = values[offsets[0] : offsets[-1]]
+            for a, b in spanning_links(np.diff(offsets), lambda at: Comparison((values[at].view(np.uint8).reshape(-1, 8), 1, radius))):  # noqa: B023
+                yield pa.RecordBatch.from_arrays([pa.array(values[a]), pa.array(values[b])], ["a", "b"])
 
-    return buckets.mapInArrow(compare, "a long, b long")
+    entries = distinct.select("fp", F.explode(keyed_by(block_masks((1 << 64) - 1, radius + 2, 2))).alias("x")).select("x.mask", "x.key", "fp")
+    found = None
+    for part in split_buckets(entries, radius, limit):
+        # a bucket is one array: its members are distinct fingerprints, and their number is bounded
+        buckets = part.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+        some = buckets.mapInArrow(compare, "a long, b long")
+        found = some if found is None else found.union(some)
+    return found
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -194,4 +147,4 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS)
     named = groups.select(order.alias("order"), "row", F.coalesce(F.col("component_id"), F.col("fp")).alias("group"), F.col("component_id").isNull().alias("unnamed"))
     chosen = named.join(first, ["group", "unnamed", "order"]).groupBy("group", "unnamed").agg(F.min("row").alias("row")).select("row")
     keyed = docs.select(F.struct("*").alias("d"), common.row_key(docs).alias("row"))
-    return keyed.join(chosen.hint("shuffle_hash"), "row").dropDuplicates(["row"]).select("d.*")
+    return keyed.join(chosen, "row").dropDuplicates(["row"]).select("d.*")

@@ -2,10 +2,11 @@
 
 Operator 10 links SimHash fingerprints at a few bits. At similarity 0.8 these differ in about 10 of 64 bits, where no
 blocks of a fingerprint are both selective and surely equal, so candidates meet in bands of minimum hashes instead
-(BANDS keys of BAND_ROWS hashes). Inside a bucket the fingerprints are compared bit-sliced (``simhash.forest``) at a
-radius that no pair of that similarity passes but by chance of about a millionth, and each link is confirmed with exact
-shingle sets. As a spanning link may fail where another pair of its bucket would not, buckets whose members have not
-all come together then give every pair of members that are still apart.
+(BANDS keys of BAND_ROWS hashes). Inside a bucket, as in operator 10, bit planes are compared with carry-save counters:
+first the SimHash fingerprints at a radius that hardly a pair of that similarity passes, then codes of four bits of each of
+MINIMA minimum hashes, which tell 0.8 from 0.7. Links that span what is close are confirmed with exact shingle sets; as
+such a link may fail where another pair of its bucket would not, buckets whose members have not all come together then
+give every close pair of members that are still apart. A bucket of more than LIMIT nodes is compared in blocks.
 
 The nodes are distinct shingle sets, so exact copies of any number are one node. Defined cases are those of
 ``simhash``; texts without a word have equal (empty) sets.
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import common, simhash, words
+from memlake.llm.bitplanes import Comparison, all_pairs, spanning_links
 from memlake.llm.components import components
 
 WIDTH = 5
@@ -29,13 +31,19 @@ WIDTH = 5
 SHARED, OF = 4, 5
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 25 = 5e-5.
 BANDS, BAND_ROWS = 25, 5
-RADIUS = 24
+#: Minimum hashes of a code; the bands use the first of them.
+MINIMA = 250
+#: Most differing SimHash bits, and most differing digits of the codes. At similarity 0.8 about 10 of 64 bits and 47 of 250 digits
+#: differ, with standard deviations of 3 and 6.2; at 0.7 it is 70 digits.
+RADIUS, DIGITS = 24, 65
+#: Nodes of a bucket that are compared together.
+LIMIT = 2048
 #: Shingles whose permutations are in memory at a time.
-PASS = 4096
+PASS = 2048
 
 _rng = np.random.default_rng(simhash.SEED)
-_FLIP = _rng.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64)
-_ODD = _rng.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
+_FLIP = _rng.integers(0, 1 << 64, MINIMA, np.uint64)
+_ODD = _rng.integers(0, 1 << 64, MINIMA, np.uint64) | np.uint64(1)
 _FOLD = _rng.integers(0, 1 << 64, BAND_ROWS, np.uint64) | np.uint64(1)
 
 
@@ -62,34 +70,48 @@ def simhash_of(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
 
 
-def band_keys(distinct: np.ndarray) -> np.ndarray:
-    """A key for each band of minimum hashes of a shingle set."""
-    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+def minima(distinct: np.ndarray) -> np.ndarray:
+    """The least value of a shingle set under each permutation."""
+    least = np.full(MINIMA, ~np.uint64(0))
     for at in range(0, len(distinct), PASS):
         np.minimum(least, ((distinct[at : at + PASS, None] ^ _FLIP) * _ODD).min(axis=0), out=least)
-    return words.mix(words.mix(least.reshape(BANDS, BAND_ROWS) * _FOLD).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band of minimum hashes."""
+    bands = least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
+    return words.mix(words.mix(bands * _FOLD).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+
+
+def digits(least: np.ndarray) -> bytes:
+    """Four bits of each minimum, two to a byte."""
+    four = (words.mix(least) >> np.uint64(60)).astype(np.uint8)
+    return (four[0::2] | four[1::2] << 4).tobytes()
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """order (doc_id, null: last), row, node (digest of the shingle set), fp, n (shingles), bands and the sorted set."""
+    """order (doc_id, null: last), row, node (digest of the shingle set), fp, n (shingles), code, bands and the sorted set."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches):
-            node, fp, n, bands, sets = [], [], [], [], []
+            node, fp, n, code, bands, sets = [], [], [], [], [], []
             for t in batch.column("text"):
                 hashes = shingle_hashes(t.as_py())
                 own = np.unique(hashes)
+                least = minima(own)
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), simhash.SEED))
                 fp.append(simhash_of(hashes)[0])
                 n.append(len(own))
-                bands.append(band_keys(own).view(np.int64))
+                code.append(digits(least))
+                bands.append(band_keys(least).view(np.int64))
                 sets.append(own.view(np.int64))
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            arrays = [batch.column("order"), batch.column("row"), longs(node), longs(fp), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["order", "row", "node", "fp", "n", "bands", "shingles"])
+            arrays = [batch.column("order"), batch.column("row"), longs(node), longs(fp), pa.array(n, pa.int64()), pa.array(code, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["order", "row", "node", "fp", "n", "code", "bands", "shingles"])
 
     rows = common.keyed(docs).select(F.coalesce("doc_id", F.lit(common.MAX_LONG)).alias("order"), "row", "text")
-    return rows.mapInArrow(each, "order long, row long, node long, fp long, n long, bands array<long>, shingles array<long>")
+    return rows.mapInArrow(each, "order long, row long, node long, fp long, n long, code binary, bands array<long>, shingles array<long>")
 
 
 def alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -97,34 +119,28 @@ def alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return OF * np.minimum(n, m) >= SHARED * np.maximum(n, m)
 
 
-def spanning(fp: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of pairs of one bucket: a spanning forest of its fingerprints at the radius."""
-    found = np.array(simhash.forest(fp, RADIUS), np.int64).reshape(-1, 2)
-    found = found[alike(n[found[:, 0]], n[found[:, 1]])]
-    yield found[:, 0], found[:, 1]
-
-
-def still_apart(fp: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all pairs of one bucket whose labels differ and whose fingerprints and sizes allow the similarity."""
-    for i in range(len(fp) - 1):
-        j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= RADIUS) & alike(n[i + 1 :], n[i]))
-        yield np.full(len(j), i), j
+def candidates(buckets: DataFrame, apart: bool) -> DataFrame:
+    """Distinct pairs a < b of nodes of a bucket's ``members`` (node, fp, n, code, label) whose codes are close.
 
-
-def candidates(buckets: DataFrame, choose) -> DataFrame:
-    """Distinct pairs a < b of nodes that ``choose`` takes from each bucket's ``members`` (node, fp, n, label)."""
+    Links enough to span what is close, or (``apart``) all close pairs whose labels differ.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("members")
             offsets, values = column.offsets.to_numpy(), column.values
+            values = values.slice(offsets[0], offsets[-1] - offsets[0])
             node, fp, n, label = (values.field(k).to_numpy(zero_copy_only=False) for k in ("node", "fp", "n", "label"))
-            for s, e in zip(offsets[:-1], offsets[1:], strict=True):
-                at = s + np.argsort(node[s:e])
-                for i, j in choose(fp[at].view(np.uint64), n[at], label[at]):
-                    if len(i):
-                        a, b = node[at][i], node[at][j]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            code = np.frombuffer(b"".join(values.field("code").to_pylist()), np.uint8).reshape(len(node), -1)
+            tests = lambda at: Comparison((fp[at].view(np.uint8).reshape(-1, 8), 1, RADIUS), (code[at], 4, DIGITS))  # noqa: E731, B023
+            if apart:
+                found = ((s + a, s + b) for s, e in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0], strict=True) for a, b in all_pairs(e - s, tests(np.arange(s, e)), label[s:e]))
+            else:
+                found = spanning_links(np.diff(offsets), tests)
+            for a, b in found:
+                own = alike(n[a], n[b])
+                a, b = node[a[own]], node[b[own]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return buckets.select("members").mapInArrow(each, "a long, b long").distinct()
 
@@ -145,27 +161,41 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def in_blocks(entries: DataFrame, limit: int) -> DataFrame:
+    """Entries (bucket, node) of buckets with more than one node, as (bucket, block, node) with at most two times ``limit``
+    nodes in a block: a larger bucket's nodes are dealt by hash, and each two of its deals are a block."""
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = common.stored(sizes.select("bucket", F.ceil(F.col("n") / limit).cast("int").alias("deals")), "similar-sizes")
+    deal = F.pmod(F.xxhash64("node", F.lit(3)), "deals").cast("int")
+    met = entries.join(sizes, "bucket").withColumn("deal", deal).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("deals") - 1))))
+    # the deals themselves come with the others wherever there are others
+    met = met.filter("deals = 1 or other != deal")
+    return met.select("bucket", F.concat_ws("/", F.least("deal", "other"), F.greatest("deal", "other")).alias("block"), "node")
+
+
+def groups(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """order, row and group (the smallest node reachable by pairs of the similarity) of every row of ``docs``."""
     known = common.stored(profiles(docs), "similar-profiles")
-    nodes = known.groupBy("node").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    member = F.struct("node", "fp", "n", F.col("node").alias("label")).alias("member")
-    buckets = nodes.select(F.explode("bands").alias("bucket"), member, "row").groupBy("bucket").agg(F.collect_list("member").alias("members")).filter(F.size("members") > 1)
-    # members that share many bands are one bucket
-    buckets = common.stored(buckets.select(F.array_sort("members").alias("members")).groupBy("members").agg(F.count(F.lit(1)).alias("bands")), "similar-buckets")
-    met = buckets.select(F.explode("members.node").alias("node")).distinct()
+    nodes = known.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
+    entries = common.stored(nodes.select(F.explode("bands").alias("bucket"), "node"), "similar-entries")
+    members = in_blocks(entries, limit).groupBy("bucket", "block").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    # nodes that share many bands are one bucket
+    members = members.groupBy("nodes").agg(F.count(F.lit(1)).alias("bands")).select(F.monotonically_increasing_id().alias("bucket"), "nodes")
+    members = common.stored(members.select("bucket", F.explode("nodes").alias("node")), "similar-members")
+    met = members.select("node").distinct()
     chosen = known.groupBy("node").agg(F.min("row").alias("row")).join(met, "node", "left_semi")
-    sets = common.stored(known.select("node", "row", "shingles").join(chosen.hint("shuffle_hash"), ["node", "row"]).select("node", "shingles"), "similar-sets")
+    sets = common.stored(known.join(chosen, ["node", "row"]).dropDuplicates(["node"]).select("node", "fp", "n", "code", "shingles"), "similar-sets")
+    # rows of their own, so that Spark can split a large bucket's join
+    members = common.stored(members.join(sets.select("node", "fp", "n", "code"), "node"), "similar-members")
+    member = F.struct("node", "fp", "n", "code", "label")
 
-    tried = common.stored(candidates(buckets, spanning), "similar-pairs")
+    alone = members.withColumn("label", F.col("node")).groupBy("bucket").agg(F.collect_list(member).alias("members"))
+    tried = common.stored(candidates(alone, False), "similar-pairs")
     links = common.stored(confirmed(tried, sets), "similar-links")
     label = components(links)
-    spread = buckets.select(F.monotonically_increasing_id().alias("bucket"), "members")
-    # rows of their own, so that Spark can split a large bucket's join
-    spread = common.stored(spread.select("bucket", F.explode("members").alias("member")).select("bucket", "member.node", "member.fp", "member.n"), "similar-members")
-    labelled = spread.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.collect_list(F.struct("node", "fp", "n", "label")).alias("members")).filter("low < high")
-    more = common.stored(candidates(mixed, still_apart).join(tried, ["a", "b"], "left_anti"), "similar-pairs")
+    labelled = members.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.collect_list(member).alias("members")).filter("low < high")
+    more = common.stored(candidates(mixed, True).join(tried, ["a", "b"], "left_anti"), "similar-pairs")
     label = components(links.union(confirmed(more, sets)))
     return known.select("order", "row", "node").join(label, "node", "left").select("order", "row", F.coalesce("component", "node").alias("group"))
 
@@ -174,4 +204,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, one of each group of near-duplicates: the smallest doc_id."""
     chosen = groups(docs).groupBy("group").agg(F.min(F.struct("order", "row")).alias("x")).select("x.row")
     keyed = docs.select(F.struct("*").alias("d"), common.row_key(docs).alias("row"))
-    return keyed.join(chosen.hint("shuffle_hash"), "row").dropDuplicates(["row"]).select("d.*")
+    return keyed.join(chosen, "row").dropDuplicates(["row"]).select("d.*")

@@ -498,22 +498,6 @@ def test_simhash_equals_brute_force(spark, docs):
     assert simhash.fingerprint("A b  C d") == spark_hash
 
 
-@pytest.mark.parametrize("n", [10, 63, 64, 65, 700])
-def test_forest_keeps_components(n):
-    rng = np.random.default_rng(n)
-    base = rng.integers(0, 1 << 63, max(2, n // 20), dtype=np.uint64)
-    values = set()
-    while len(values) < n:
-        x = int(base[rng.integers(len(base))])
-        for k in rng.integers(0, 64, rng.integers(0, 4)):
-            x ^= 1 << int(k)
-        values.add(x)
-    v = np.array(sorted(values), np.uint64)
-    found = simhash.forest(v, 4)
-    near = np.argwhere(np.triu(np.bitwise_count(v[:, None] ^ v[None, :]) <= 4, 1))
-    assert union_find(range(n), found) == union_find(range(n), near.tolist()) and len(found) < n
-
-
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(1, 2), (2, 1), (3, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
