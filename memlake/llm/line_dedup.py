@@ -42,6 +42,8 @@ LINE_WORDS = 5
 #: Documents with a line for it to count as rare, and lines that bring two documents together without a rare one.
 RARE_DOCUMENTS = 10
 SHARED_LINES = 3
+#: Pairs of one earlier document that are aligned together, about.
+PART = 128
 
 
 def line_digests(text: str, words: int = LINE_WORDS) -> tuple[list[int], list[bool]]:
@@ -261,17 +263,29 @@ def whole_deleted_lines(docs: DataFrame) -> DataFrame:
     """row and ``gone`` of the rows that lose any line, without a bound on how common a shared line is."""
     known = common.stored(profiles(docs), "line-profiles").dropDuplicates(["row"])
     known = common.stored(known, "line-rows")
-    pairs = common.stored(whole_pairs(known), "line-pairs")
-    first = known.select(F.col("row").alias("first_row"), F.col("lines").alias("first_lines"))
-    both = pairs.join(first, "first_row").join(known.select("row", "lines", "words"), "row").select("row", "first_lines", "lines", "words")
+    return aligned(common.stored(whole_pairs(known), "line-pairs"), known, "words", whole_blocks)
+
+
+def aligned(pairs: DataFrame, known: DataFrame, weigh: str, blocks_of) -> DataFrame:
+    """row and ``gone`` of the later documents (row) of pairs with an earlier one (first_row).
+
+    The lines of an earlier document go to its pairs once for each PART of them, however many there are.
+    """
+    counts = pairs.groupBy("first_row").agg(F.count(F.lit(1)).alias("n"))
+    parts = common.stored(counts.select("first_row", F.ceil(F.col("n") / PART).alias("parts")), "line-parts")
+    dealt = pairs.join(parts, "first_row").withColumn("part", F.pmod(F.xxhash64("row", F.lit(9)), "parts"))
+    dealt = dealt.join(known.select("row", "lines", weigh), "row")
+    later = dealt.groupBy("first_row", "part").agg(F.collect_list(F.struct("row", "lines", weigh)).alias("later"))
+    both = later.join(known.select(F.col("row").alias("first_row"), F.col("lines").alias("first_lines")), "first_row").select("first_lines", "later")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # lists become Python objects a few pairs at a time
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                gone = [whole_blocks(*x) for x in zip(*(part.column(c).to_pylist() for c in ("first_lines", "lines", "words")), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
+            for first, several in zip(batch.column("first_lines"), batch.column("later"), strict=True):
+                first, several = first.as_py(), several.values
+                for at in range(0, len(several), 64):  # lists become Python objects a few documents at a time
+                    some = several.slice(at, 64).to_pylist()
+                    gone = [blocks_of(first, x["lines"], x[weigh]) for x in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([x["row"] for x in some], pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
 
     found = both.mapInArrow(align, "row long, gone array<int>").select("row", F.explode("gone").alias("place"))
     return found.groupBy("row").agg(F.collect_set("place").alias("gone"))
@@ -286,24 +300,12 @@ def deleted_lines(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHA
     # lines that occur once in their document
     line = known_rows.select("order", "row", F.explode(F.arrays_zip("lines", "long")).alias("x")).filter("x.long").select("order", "row", F.col("x.lines").alias("line"))
     once = line.groupBy("row", "line").agg(F.count(F.lit(1)).alias("n"), F.first("order").alias("order")).filter("n = 1").select("order", "row", "line")
-    shared_lines = once.groupBy("line").agg(F.count(F.lit(1)).alias("documents"), F.min("order").alias("first")).filter("documents > 1")
+    shared_lines = once.groupBy("line").agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct("order", "row")).alias("first")).filter("documents > 1")
     # a table of its own, so that Spark can split the join where very many documents have a line
     shared_lines = common.stored(shared_lines, "shared-lines")
-    votes = once.join(shared_lines, "line").filter("order > first or first = %d" % common.MAX_LONG)
-    pairs = votes.groupBy("row", "first").agg(F.count(F.lit(1)).alias("n"), F.min("documents").alias("rarest")).filter((F.col("rarest") <= rare) | (F.col("n") >= shared))
-    with_first = pairs.select("row", "first").join(known_rows.select(F.col("order").alias("first"), F.col("row").alias("first_row"), F.col("lines").alias("first_lines")), "first")
-    both = with_first.filter("row != first_row").join(known_rows.select("row", "order", "lines", "long"), "row").filter("order > first or first_row < row").select("row", "first_lines", "lines", "long")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # lists become Python objects a few pairs at a time
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                gone = [common_blocks(*x) for x in zip(*(part.column(c).to_pylist() for c in ("first_lines", "lines", "long")), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
-
-    found = both.mapInArrow(align, "row long, gone array<int>").select("row", F.explode("gone").alias("place"))
-    return found.groupBy("row").agg(F.collect_set("place").alias("gone"))
+    votes = once.join(shared_lines, "line").filter(earlier("first")).withColumn("first_row", F.col("first.row"))
+    pairs = votes.groupBy("row", "first_row").agg(F.count(F.lit(1)).alias("n"), F.min("documents").alias("rarest")).filter((F.col("rarest") <= rare) | (F.col("n") >= shared))
+    return aligned(common.stored(pairs.select("row", "first_row"), "line-pairs"), known_rows, "long", common_blocks)
 
 
 def dedup(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHARED_LINES, whole: bool = False) -> DataFrame:
@@ -328,7 +330,9 @@ def drop_lines(docs: DataFrame, rare: int = RARE_DOCUMENTS, shared: int = SHARED
     """``docs`` with their columns, without deleted lines (n_chars follows the text); documents left without a word go."""
     marked = docs.select(F.struct("*").alias("d"), common.row_key(docs).alias("row"))
     joined = marked.join(deleted_lines(docs, rare, shared, whole).hint("shuffle_hash"), "row", "left")
-    left = F.array_join(F.filter(F.split("d.text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    lines = F.split("d.text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     kept = joined.select("d.*", F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(left).alias("text left"), F.col("gone").isNotNull().alias("was cut"))
     out = {"text": F.col("text left")} | ({"n_chars": F.when(F.col("was cut"), F.length("text left")).otherwise(F.col("n_chars")).cast("long")} if "n_chars" in docs.columns else {})
     return kept.filter(~F.col("was cut") | F.col("text left").rlike(r"[^\x20\x09-\x0D]")).select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
