@@ -106,7 +106,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 4096
         windows, offsets = best_fit_decreasing(pdf["length"].tolist(), size)
         return pdf.drop(columns="group").assign(sequence_id=np.asarray(windows, np.int64) + (int(group[0]) << 32), offset=np.asarray(offsets, np.int64))
 
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # a piece's place in the table tells equal pieces apart, so that repeated rows are dealt to all groups
+    dealt = cut.withColumn("place", F.monotonically_increasing_id()).withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "place"), F.lit(groups))).drop("place")
     return dealt.groupBy("group").applyInPandas(place, f"{PIECE}, sequence_id long, offset long").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
