@@ -26,6 +26,8 @@ from memlake.llm import common, words
 BUCKET_BITS = 16
 #: Bytes in an n-gram.
 NGRAM = 4
+#: Ids of trusted documents that are broadcast at most (8 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Mean log ratio per n-gram, in nats, under which a document is unlike the trusted ones.
 THRESHOLD = -0.5
 SCORES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
@@ -40,46 +42,40 @@ def per_document(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document index) of every \\n-split line; each document has one at least."""
-    breaks = np.flatnonzero(data == 10)
-    start = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
-    doc = np.searchsorted(offsets, breaks, "right") - 1
-    end = np.sort(np.concatenate([offsets[1:], breaks]), kind="stable")
-    n_lines = np.bincount(doc, minlength=len(offsets) - 1) + 1
-    return start, end, np.repeat(np.arange(len(offsets) - 1), n_lines)
+def repeated_lines(text: bytes) -> int:
+    """Lines with a word that equal an earlier line."""
+    lines = [line for line in text.split(b"\n") if line.strip()]
+    return len(lines) - len(set(lines))
+
+
+def repeated_words(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each word lies in a three-word window that its document has twice or more; words are numbers of classes."""
+    covered = np.zeros(len(word) + 2, bool)
+    at = np.flatnonzero(doc[2:] == doc[:-2])
+    if len(at):
+        parts = np.stack([doc[at], word[at], word[at + 1], word[at + 2]], axis=1)
+        keys = words.mix(words.mix(words.mix(words.mix(parts[:, 0].astype(np.uint64)) + parts[:, 1].astype(np.uint64)) + parts[:, 2].astype(np.uint64)) + parts[:, 3].astype(np.uint64))
+        window = words.classes(keys, lambda i, first: (parts[i] == parts[first]).all(axis=1))
+        if window is None:
+            window = np.unique(parts, axis=0, return_inverse=True)[1].reshape(-1)
+        again = at[np.bincount(window)[window] > 1]
+        for i in range(3):
+            covered[again + i] = True
+    return covered[: len(word)]
 
 
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The base counts of each document of a slice."""
+    """The base counts of each document of a slice; equal lines and windows are told by their bytes, not by hashes."""
     n_docs = len(offsets) - 1
     start, end, doc = words.word_bounds(data, offsets)
-    hashes = words.byte_hashes(data)
     at = words.spans_per_document(doc, n_docs)
-    space = words._SPACE[data]
-    # repeated lines: lines with a word, less the distinct ones among them
-    l_start, l_end, l_doc = line_bounds(data, offsets)
-    with_word = np.searchsorted(start, l_start) < np.searchsorted(start, l_end)
-    l_start, l_end, l_doc = l_start[with_word], l_end[with_word], l_doc[with_word]
-    keys = hashes(l_start, l_end) ^ words.mix(l_doc.astype(np.uint64))
-    _, first = np.unique(keys, return_index=True)
-    n_lines = np.bincount(l_doc, minlength=n_docs) - np.bincount(l_doc[first], minlength=n_docs)
-    # repeated three-word windows
-    covered = np.zeros(len(start) + 3, bool)
-    if len(start) >= 3:
-        own = doc[2:] == doc[:-2]
-        word = words.Substrings(hashes(start, end))
-        keys = (word.all_of(3) ^ words.mix(doc[:-2].astype(np.uint64)))[own]
-        _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-        again = np.flatnonzero(own)[count[back] > 1]
-        for i in range(3):
-            covered[again + i] = True
+    whole = data.tobytes()
     return {
         "n_words": np.diff(at),
-        "word_chars": per_document(~space & ((data & 0xC0) != 0x80), offsets),
+        "word_chars": per_document(~words._SPACE[data] & ((data & 0xC0) != 0x80), offsets),
         "n_symbols": per_document(_SYMBOL[data], offsets),
-        "n_dup_lines": n_lines,
-        "n_repeat_words": per_document(covered[: len(start)], at),
+        "n_dup_lines": np.array([repeated_lines(whole[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64),
+        "n_repeat_words": per_document(repeated_words(words.word_classes(data, start, end), doc), at),
     }
 
 
@@ -94,23 +90,25 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def ngram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """bucket, n_raw, n_trusted over all documents; ``trusted`` has the doc_id of trusted ones."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    marked = marked.join(ids.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    """bucket, n_raw, n_trusted over all documents; ``trusted`` has the doc_id of trusted ones.
+
+    The raw corpus is counted where it lies. Trusted texts are found by their ids, sent to all tasks where these are few.
+    """
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 << BUCKET_BITS, np.int64)
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
         for part in words.slices(batches):
-            buckets, doc = ngram_buckets(*words.text_bytes(part.column("text")))
-            of_trusted = part.column("trusted").to_numpy(zero_copy_only=False)[doc]
-            raw += np.bincount(buckets, minlength=1 << BUCKET_BITS)
-            good += np.bincount(buckets[of_trusted], minlength=1 << BUCKET_BITS)
-        found = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found, raw[found], good[found])], ["bucket", "n_raw", "n_trusted"])
-
-    counted = marked.mapInArrow(count, "bucket long, n_raw long, n_trusted long")
-    return counted.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_trusted").alias("n_trusted"))
+            total += np.bincount(ngram_buckets(*words.text_bytes(part.column("text")))[0], minlength=1 << BUCKET_BITS)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "n"])
+
+    good = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    counted = [df.select("text").mapInArrow(count, "bucket long, n long").select("bucket", *[F.col("n") if i == k else F.lit(0).cast("long") for k in (0, 1)]) for i, df in enumerate((texts, good))]
+    both = counted[0].union(counted[1]).toDF("bucket", "n_raw", "n_trusted")
+    return both.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_trusted").alias("n_trusted"))
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:

@@ -74,7 +74,7 @@ def _scan(width: int):
         if n < width:
             none = np.zeros(0, np.int64)
             return repeats.SuperWindows(none.astype(U64), none, none, none, none), None
-        word_names = words.byte_hashes(data)(start, end)
+        word_names = words.long_names(data, start, end)
         run_names, run_at = merge_runs(word_names, doc)
         names, pair_at = merge_pairs(run_names, doc[run_at])
         at = run_at[pair_at]  # word where each symbol begins

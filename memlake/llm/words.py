@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass handles at a time; bounds a worker's memory whatever the Arrow batch holds.
@@ -117,6 +118,42 @@ def window_min(keys: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def classes(keys: np.ndarray, same) -> np.ndarray | None:
+    """A number for each class of equal keys, or None where ``same(i, first)`` (of each item and the first of its class)
+    finds that equal keys stand for different things."""
+    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    return back if same(np.arange(len(keys)), first[back]).all() else None
+
+
+def word_classes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each distinct word of a slice; hashes bring words together, their bytes decide."""
+    size = end - start
+
+    def same(i: np.ndarray, first: np.ndarray) -> np.ndarray:
+        if (size[i] != size[first]).any():
+            return np.zeros(1, bool)
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return data[np.repeat(start, size) + within] == data[np.repeat(start[first], size) + within]
+
+    found = classes(byte_hashes(data)(start, end), same)
+    if found is None:
+        whole, known = data.tobytes(), {}
+        found = np.array([known.setdefault(whole[s:e], len(known)) for s, e in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+    return found
+
+
+def long_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit names of words: equal words have equal names in every task.
+
+    The polynomial modulo 2**64 names words of up to 64 bytes; as there are longer strings on which it collides whatever
+    its base, XXH3 names these.
+    """
+    out = byte_hashes(data)(start, end)
+    for i in np.flatnonzero(end - start > 64).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), 11)
+    return out
+
+
 def spans_per_document(doc: np.ndarray, n_docs: int) -> np.ndarray:
     """Offsets of each document's items in arrays that are ordered by document."""
     return np.searchsorted(doc, np.arange(n_docs + 1))
