@@ -179,33 +179,46 @@ def _spanning_of_block(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.nd
         label = _relabel(label, a[some], b[some])
 
 
+def _batches(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Buckets of more than one member: those of at most 64 together, about BATCH lanes at a time, others alone."""
+    small = np.flatnonzero((sizes <= 64) & (sizes > 1))
+    if len(small):
+        total = np.cumsum(sizes[small])
+        yield from np.split(small, np.flatnonzero(np.diff(total // BATCH)) + 1)
+    yield from np.flatnonzero(sizes > 64).reshape(-1, 1)
+
+
+def _positions(buckets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the members of these buckets, and the bucket of each."""
+    starts = np.cumsum(sizes) - sizes
+    return np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in buckets]), np.repeat(buckets, sizes[buckets])
+
+
 def spanning_links(sizes: np.ndarray, tests) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (a, b) of links between members of one bucket, enough to keep every component of each bucket together.
 
     Buckets of ``sizes`` members stand side by side; ``tests(positions)`` gives the Comparison of these members.
     """
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    bucket = np.repeat(np.arange(len(sizes)), sizes)
-    small = np.flatnonzero((sizes <= 64) & (sizes > 1))
-    total = np.cumsum(sizes[small])
-    for group in np.split(small, np.flatnonzero(np.diff(total // BATCH)) + 1) if len(small) else []:
-        at = np.concatenate([np.arange(starts[i], ends[i]) for i in group])
-        a, b = _spanning(*_small(tests(at), bucket[at]), len(at))
-        yield at[a], at[b]
-    for i in np.flatnonzero(sizes > 64):
-        at = np.arange(starts[i], ends[i])
-        for a, b in _large(tests(at)):
+    for buckets in _batches(sizes):
+        at, bucket = _positions(buckets, sizes)
+        for a, b in _large(tests(at)) if len(buckets) == 1 and len(at) > 64 else [_spanning(*_small(tests(at), bucket), len(at))]:
             yield at[a], at[b]
 
 
-def all_pairs(n: int, comparison: Comparison, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions a < b of all pairs of one bucket whose labels differ, 64 codes at a time."""
-    planes = comparison.tests[0][0]
-    for at in range(0, n, 64):
-        query = np.arange(at, min(n, at + 64))
-        words = planes.lanes(np.arange(n) > at)
+def close_pairs(sizes: np.ndarray, tests, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b) of all close pairs of one bucket whose labels differ, 64 codes or a batch of buckets at a time."""
+    for buckets in _batches(sizes):
+        at, bucket = _positions(buckets, sizes)
+        own, comparison = label[at], tests(at)
+        for a, b in _all(comparison) if len(buckets) == 1 and len(at) > 64 else [_small(comparison, bucket)]:
+            differ = own[a] != own[b]
+            yield at[a[differ]], at[b[differ]]
+
+
+def _all(comparison: Comparison) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for at in range(0, comparison.n, 64):
+        query = np.arange(at, min(comparison.n, at + 64))
+        words = comparison.tests[0][0].lanes(np.arange(comparison.n) > at)
         word = np.flatnonzero(words)
         a, b = comparison.pairs(np.repeat(query, len(word)), np.tile(word, len(query)), np.tile(words[word], len(query)))
-        own = (b > a) & (label[a] != label[np.minimum(b, n - 1)])
-        yield a[own], b[own]
+        yield a[b > a], b[b > a]

@@ -3,10 +3,11 @@
 Operator 10 links SimHash fingerprints at a few bits. At similarity 0.8 these differ in about 10 of 64 bits, where no
 blocks of a fingerprint are both selective and surely equal, so candidates meet in bands of minimum hashes instead
 (BANDS keys of BAND_ROWS hashes). Inside a bucket, as in operator 10, bit planes are compared with carry-save counters:
-first the SimHash fingerprints at a radius that hardly a pair of that similarity passes, then codes of four bits of each of
-MINIMA minimum hashes, which tell 0.8 from 0.7. Links that span what is close are confirmed with exact shingle sets; as
-such a link may fail where another pair of its bucket would not, buckets whose members have not all come together then
-give every close pair of members that are still apart. A bucket of more than LIMIT nodes is compared in blocks.
+first the SimHash fingerprints at a radius within which hardly a pair of that similarity fails to be, then codes of four bits
+of each of MINIMA minimum hashes, which tell 0.8 from 0.7. Links that span what is close are confirmed with exact shingle
+sets. As such a link may fail where another pair of its bucket would not, buckets whose members have not all come together
+then get their members' sets, and every close pair that is still apart is compared there; only what joins two groups
+leaves the task, so a group gives links in proportion to its members. A bucket of more than LIMIT nodes is compared in blocks.
 
 The nodes are distinct shingle sets, so exact copies of any number are one node. Defined cases are those of
 ``simhash``; texts without a word have equal (empty) sets.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import common, simhash, words
-from memlake.llm.bitplanes import Comparison, all_pairs, spanning_links
+from memlake.llm.bitplanes import Comparison, close_pairs, spanning_links
 from memlake.llm.components import components
 
 WIDTH = 5
@@ -119,42 +120,76 @@ def alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return OF * np.minimum(n, m) >= SHARED * np.maximum(n, m)
 
 
-def candidates(buckets: DataFrame, apart: bool) -> DataFrame:
-    """Distinct pairs a < b of nodes of a bucket's ``members`` (node, fp, n, code, label) whose codes are close.
+def _members(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray], object]:
+    """Sizes of the buckets of a batch, columns of their members, and what compares members at given positions."""
+    column = batch.column("members")
+    offsets = column.offsets.to_numpy()
+    values = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+    of = {k: values.field(k).to_numpy(zero_copy_only=False) for k in ("node", "fp", "n", "label")}
+    code = np.frombuffer(b"".join(values.field("code").to_pylist()), np.uint8).reshape(len(values), -1)
+    return np.diff(offsets), of | {"values": values}, lambda at: Comparison((of["fp"][at].view(np.uint8).reshape(-1, 8), 1, RADIUS), (code[at], 4, DIGITS))
 
-    Links enough to span what is close, or (``apart``) all close pairs whose labels differ.
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def candidates(buckets: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of nodes of a bucket's ``members`` (node, fp, n, code, label): links enough to span what is close."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, of, tests = _members(batch)
+            for a, b in spanning_links(sizes, tests):
+                own = alike(of["n"][a], of["n"][b])
+                yield _pairs(of["node"][a[own]], of["node"][b[own]])
+
+    return buckets.select("members").mapInArrow(each, "a long, b long").distinct()
+
+
+def joining(buckets: DataFrame) -> DataFrame:
+    """Pairs a < b, similar enough, that join what is still apart in a bucket: its ``members`` have their ``shingles`` too.
+
+    Close pairs of different labels are compared where they are; only those that join two labels are given out.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("members")
-            offsets, values = column.offsets.to_numpy(), column.values
-            values = values.slice(offsets[0], offsets[-1] - offsets[0])
-            node, fp, n, label = (values.field(k).to_numpy(zero_copy_only=False) for k in ("node", "fp", "n", "label"))
-            code = np.frombuffer(b"".join(values.field("code").to_pylist()), np.uint8).reshape(len(node), -1)
-            tests = lambda at: Comparison((fp[at].view(np.uint8).reshape(-1, 8), 1, RADIUS), (code[at], 4, DIGITS))  # noqa: E731, B023
-            if apart:
-                found = ((s + a, s + b) for s, e in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0], strict=True) for a, b in all_pairs(e - s, tests(np.arange(s, e)), label[s:e]))
-            else:
-                found = spanning_links(np.diff(offsets), tests)
-            for a, b in found:
-                own = alike(n[a], n[b])
-                a, b = node[a[own]], node[b[own]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            sizes, of, tests = _members(batch)
+            sets, bucket = of["values"].field("shingles"), np.repeat(np.arange(len(sizes)), sizes)
+            joined: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def root(x: tuple[int, int]) -> tuple[int, int]:
+                while x in joined:  # noqa: B023
+                    x = joined[x]  # noqa: B023
+                return x
+
+            found = []
+            for a, b in close_pairs(sizes, tests, of["label"]):
+                own = alike(of["n"][a], of["n"][b])
+                for x, y in zip(a[own].tolist(), b[own].tolist(), strict=True):
+                    i, j = root((int(bucket[x]), int(of["label"][x]))), root((int(bucket[y]), int(of["label"][y])))
+                    if i != j and similar_sets(sets[x].values.to_numpy(), sets[y].values.to_numpy()):
+                        joined[max(i, j)] = min(i, j)
+                        found.append((x, y))
+            if found:
+                x, y = np.array(found).T
+                yield _pairs(of["node"][x], of["node"][y])
 
     return buckets.select("members").mapInArrow(each, "a long, b long").distinct()
 
 
+def similar_sets(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return OF * both >= SHARED * (len(x) + len(y) - both)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose shingle sets are similar enough."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(OF * both >= SHARED * (len(x) + len(y) - both))
+            keep = [similar_sets(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     first, second = (sets.select(F.col("node").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
@@ -187,16 +222,17 @@ def groups(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     sets = common.stored(known.join(chosen, ["node", "row"]).dropDuplicates(["node"]).select("node", "fp", "n", "code", "shingles"), "similar-sets")
     # rows of their own, so that Spark can split a large bucket's join
     members = common.stored(members.join(sets.select("node", "fp", "n", "code"), "node"), "similar-members")
-    member = F.struct("node", "fp", "n", "code", "label")
-
-    alone = members.withColumn("label", F.col("node")).groupBy("bucket").agg(F.collect_list(member).alias("members"))
-    tried = common.stored(candidates(alone, False), "similar-pairs")
-    links = common.stored(confirmed(tried, sets), "similar-links")
+    # as many partitions as the session has, though their rows are few: the work is in comparing them
+    even = lambda df: df.repartition(common.partitions(docs.sparkSession), "bucket").groupBy("bucket")
+    alone = even(members.withColumn("label", F.col("node"))).agg(F.collect_list(F.struct("node", "fp", "n", "code", "label")).alias("members"))
+    links = common.stored(confirmed(common.stored(candidates(alone), "similar-pairs"), sets), "similar-links")
     label = components(links)
-    labelled = members.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.collect_list(member).alias("members")).filter("low < high")
-    more = common.stored(candidates(mixed, True).join(tried, ["a", "b"], "left_anti"), "similar-pairs")
-    label = components(links.union(confirmed(more, sets)))
+    labelled = members.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    labelled = common.stored(labelled, "similar-labelled")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+    apart = labelled.join(mixed, "bucket", "left_semi").join(sets.select("node", "shingles"), "node")
+    apart = even(apart).agg(F.collect_list(F.struct("node", "fp", "n", "code", "label", "shingles")).alias("members"))
+    label = components(links.union(joining(apart)))
     return known.select("order", "row", "node").join(label, "node", "left").select("order", "row", F.coalesce("component", "node").alias("group"))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from memlake.llm import simhash
-from memlake.llm.bitplanes import Comparison, all_pairs, spanning_links
+from memlake.llm.bitplanes import Comparison, close_pairs as close, spanning_links
 
 
 def labels(n, pairs):
@@ -54,14 +54,15 @@ def test_spanning_links_equal_brute_force(sizes, flips, centres):
     assert len(a) <= 3 * len(values)
 
 
-def test_digits_and_all_pairs():
+@pytest.mark.parametrize("sizes", [[150], [60, 20, 1, 69]])
+def test_digits_and_close_pairs(sizes):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 256, (1, 20), np.uint8)
     codes = np.where(rng.random((150, 20)) < 0.2, rng.integers(0, 256, (150, 20), np.uint8), base)
     four = np.stack([codes & 15, codes >> 4], axis=2).reshape(150, 40)
-    label = rng.integers(0, 3, 150)
-    got = {(int(x), int(y)) for a, b in all_pairs(150, Comparison((codes, 4, 12)), label) for x, y in zip(a, b, strict=True)}
-    assert got == {(i, j) for i in range(150) for j in range(i + 1, 150) if (four[i] != four[j]).sum() <= 12 and label[i] != label[j]}
+    label, bucket = rng.integers(0, 3, 150), np.repeat(np.arange(len(sizes)), sizes)
+    got = {(int(x), int(y)) for a, b in close(np.array(sizes), lambda at: Comparison((codes[at], 4, 12)), label) for x, y in zip(a, b, strict=True)}
+    assert got == {(i, j) for i in range(150) for j in range(i + 1, 150) if (four[i] != four[j]).sum() <= 12 and label[i] != label[j] and bucket[i] == bucket[j]}
     assert got
 
 
