@@ -11,7 +11,7 @@ vector that a third of the table holds is no hot list. Scores are computed exact
 original vectors of whatever the lists offer.
 
 Defined cases: null or zero vectors, vectors with null or non-finite components, a null vec_id, and vectors of another
-length than the first of the sample (in hash order) take no part; repeated rows are one; with fewer than k other
+length than most have (the shorter of two as frequent) take no part; repeated rows are one; with fewer than k other
 vectors a query returns them all; an empty table gives no rows; other columns are ignored.
 """
 
@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors that the centroids are fitted on; the index holds every vector.
-SAMPLE = 16_384
-#: Vectors a list should have, most lists, vectors of a part of a list.
-LIST_VECTORS, MAX_LISTS, PART_VECTORS = 256, 1024, 4096
+from memlake.llm import common
+
+#: Vectors that the centroids are fitted on, at least and for each list; the index holds every vector.
+SAMPLE, LIST_SAMPLE = 16_384, 16
+#: Vectors a list should have, most lists (the graph is in every worker's memory), vectors of a part of a list.
+LIST_VECTORS, MAX_LISTS, PART_VECTORS = 256, 16_384, 4096
 NEIGHBOURS = 24
 
 
@@ -73,9 +75,8 @@ class CentroidGraph:
         """(centroids, squared distances) of the ``beam`` best found for each unit vector, nearest first."""
         n, k = len(vectors), len(self.centroids)
         beam = min(beam, k)
-        seen, expanded = np.zeros((n, k), bool), np.zeros((n, k), bool)
+        expanded = np.zeros((n, k), bool)
         score = np.full((n, k), -np.inf)
-        seen[:, self.entries] = True
         score[:, self.entries] = vectors @ self.centroids[self.entries].T
         active = np.arange(n)
         while len(active):
@@ -90,7 +91,6 @@ class CentroidGraph:
             next_ones = self.links[best]
             dots = np.einsum("nd,nld->nl", vectors[active], self.centroids[next_ones])
             score[active[:, None], next_ones] = dots
-            seen[active[:, None], next_ones] = True
         order = np.argsort(-score, axis=1, kind="stable")[:, :beam]
         return order, 2 - 2 * np.take_along_axis(score, order, axis=1)
 
@@ -141,21 +141,23 @@ def nearest(
     least_probes: int = 12,
     most_probes: int = 64,
     sample_size: int = SAMPLE,
+    list_vectors: int = LIST_VECTORS,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows found for every row that ``is_query`` holds for."""
     spark = vectors.sparkSession
     named = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"), is_query.alias("asks"))
     named = named.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))).withColumn("asks", F.coalesce("asks", F.lit(False)))
-    sample = named.orderBy(F.xxhash64("vec_id", F.lit(11))).limit(sample_size).select("v").collect()
-    result = "query_id long, rank int, vec_id long, score double"
-    if not sample:
-        return spark.createDataFrame([], result)
-    length = len(sample[0].v)
-    named = named.filter(F.size("v") == length)
-    points = _unit(np.array([r.v for r in sample if len(r.v) == length], np.float64))
-    lists = min(MAX_LISTS, max(1, named.count() // LIST_VECTORS))
+    lengths = named.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), "length").first()
+    if lengths is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    named = named.filter(F.size("v") == lengths["length"])
+    lists = min(MAX_LISTS, max(1, lengths["count"] // list_vectors))
+    sample = named.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id", "v").limit(max(sample_size, LIST_SAMPLE * lists)).select("v").collect()
+    points = _unit(np.array([r.v for r in sample], np.float64))
     graph = CentroidGraph(balanced_centroids(points, lists))
     shared = spark.sparkContext.broadcast(graph)
+    # vectors that are searched together: their scores of all centroids are in memory
+    rows = max(64, (1 << 20) // len(graph.centroids))
 
     # equal vectors: the smallest ids are all that can be among the nearest
     own = Window.partitionBy("v").orderBy("vec_id")
@@ -165,24 +167,24 @@ def nearest(
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 order, distance = shared.value.search(_unit(_matrix(part.column("v"))), 2 * most_replicas)
                 row, col = np.nonzero(_replicas(shared.value, order, distance, replica_ratio, most_replicas))
                 yield pa.RecordBatch.from_arrays([pa.array(order[row, col].astype(np.int32)), *[part.column(c).take(pa.array(row)) for c in ("first", "ids", "v")]], ["list", "first", "ids", "v"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 order, distance = shared.value.search(_unit(_matrix(part.column("v"))), most_probes)
                 near = distance <= np.maximum(distance[:, :1], 1e-12) * probe_ratio**2
                 near[:, :least_probes] = True
                 row, col = np.nonzero(near)
                 yield pa.RecordBatch.from_arrays([pa.array(order[row, col].astype(np.int32)), *[part.column(c).take(pa.array(row)) for c in ("first", "v")]], ["list", "first", "v"])
 
-    posted = entries.select("first", "ids", "v").mapInArrow(assign, "list int, first long, ids array<long>, v array<double>")
-    sizes = entries.select("first", "ids", "v").mapInArrow(assign, "list int, first long, ids array<long>, v array<double>").groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART_VECTORS).cast("int").alias("parts"))
+    posted = common.stored(entries.select("first", "ids", "v").mapInArrow(assign, "list int, first long, ids array<long>, v array<double>"), "ann-posted")
+    sizes = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART_VECTORS).cast("int").alias("parts"))
     # at most MAX_LISTS rows
     parts = F.broadcast(spark.createDataFrame(sizes.collect(), "list int, parts int"))
     posted = posted.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("first"), "parts").cast("int")).select("list", "part", "first", "ids", "v")
