@@ -156,7 +156,10 @@ def labelled(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...], sample:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.filter(fold(F.col("doc_id")).isin(*folds)).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
-    return _texts(docs).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    found = _texts(docs).join(F.broadcast(some), "doc_id")
+    # of rows with one id the same one in every run: the one of the smallest digest
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.sha2(F.col("text").cast("binary"), 256), "text", "toxic")).alias("x"))
+    return one.select("doc_id", "x.text", "x.toxic")
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
@@ -219,8 +222,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
         held = trees.transform(calibrate).select("toxic", chance.alias("raw"))
         if held.select("toxic").distinct().count() == 2:
             isotonic = IsotonicRegression(labelCol="toxic", featuresCol="raw", predictionCol="calibrated").fit(held)
-            # the raw score decides between documents of one calibrated step
-            scored = isotonic.transform(scored.drop("prediction")).withColumn("score", 0.999 * F.col("calibrated") + 0.001 * raw)
+            # the raw score decides between documents of one calibrated step, and moves none across the threshold
+            mixed = 0.999 * F.col("calibrated") + 0.001 * raw
+            sided = F.when(F.col("calibrated") >= 0.5, F.greatest(F.lit(0.5), mixed)).otherwise(F.least(F.lit(0.499999), mixed))
+            scored = isotonic.transform(scored.drop("prediction")).withColumn("score", sided)
         else:
             scored = scored.withColumn("score", raw)
     scored = scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score"))
