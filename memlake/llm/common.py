@@ -15,12 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a local session (tests) gets a folder of this machine; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not folder and context._jsc.sc().getCheckpointDir().isDefined():
+        folder = context._jsc.sc().getCheckpointDir().get()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "/tmp/memlake-shared"
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -40,6 +47,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(docs: DataFrame, target: int) -> int:
+    """Shuffle partitions, more where the texts would else exceed ``target`` bytes in one."""
+    total = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-total // target))
+
+
 def even_keys(spark: SparkSession, n: int) -> list[int]:
     """Ints that ``repartition(n, key)`` deals to n different partitions, one each: the smallest that hash there."""
     part = F.pmod(F.hash("key"), F.lit(n))
