@@ -6,9 +6,7 @@ digests of what a symbol stands for, so every task gives equal runs and pairs th
 no dictionary to be shuffled. What happens inside a word sequence depends on at most ``MARGIN`` words to either side,
 so equal windows carry the same high-level symbols inside. The smallest of these, with the words beside it, anchors the
 window (see ``repeats``): symbols that stand only once in the corpus are done with, the shared ones bring their windows
-together, and a window's full parse (words up to the first symbol boundary inside, symbols, words after the last) verifies equality.
-
-A name is 64 bits. A false match takes two different windows with the same anchor name and the same 64-bit parse.
+together, and the windows' words verify what names say, so no chance of names is in the result.
 
 Longer runs stay single words, as a window inside one can't see where it ends. Defined cases: a null or empty text has
 no words; texts under 20 words stay whole; a row that repeats another (same doc_id and text) is the same document and
@@ -89,57 +87,73 @@ def _scan(width: int):
         # words that lie beside the anchor in all its windows
         anchor = begin[found.doc] + found.anchor
         found.context(words.Substrings(word_names)(anchor - MARGIN, anchor + LONGEST + MARGIN))
-        return found, (word_names, names, at, begin)
+        return found, (data, start, end, begin)
 
     return scan
 
 
-def parses(scan, window: np.ndarray, width: int) -> np.ndarray:
-    """The verifying parse of windows given by their first word: its fringe words and the symbols between, as a name."""
-    word_names, names, at, _ = scan
-    first, last = np.searchsorted(at, window + MARGIN), np.searchsorted(at, window + width - MARGIN, "right") - 1
-    word, symbol = words.Substrings(word_names), words.Substrings(names)
-    left, right = at[first], at[last]
-    inner = words.mix(symbol(first, last) + (left - window).astype(U64))
-    return words.mix(words.mix(word(window, left) ^ inner) + word(right, window + width))
-
-
 def _contents(width: int):
     def contents(scan, some: repeats.SuperWindows, which) -> tuple[bytes, np.ndarray]:
+        """The words of each super-window, a blank after each."""
         if scan is None or not len(some.key):
             return b"", np.zeros(len(some.key), np.int64)
-        begin = scan[3][some.doc] + some.start
-        ends = np.cumsum(some.count)
-        window = np.arange(ends[-1]) + np.repeat(begin - (ends - some.count), some.count)
-        return parses(scan, window, width).tobytes(), 8 * some.count
+        data, start, end, begin = scan
+        first = begin[some.doc] + some.start
+        n_words = some.count + width - 1
+        total = np.cumsum(n_words)
+        word = np.arange(total[-1]) + np.repeat(first - (total - n_words), n_words)
+        size = end[word] - start[word] + 1
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1]) + np.repeat(start[word] - (ends - size), size)
+        out = data[np.minimum(place, len(data) - 1)]
+        out[ends - 1] = 32
+        return out.tobytes(), np.diff(np.concatenate([[0], ends])[np.concatenate([[0], total])])
 
     return contents
 
 
-def _firsts(keys, starts, counts, anchors, data, offsets, sizes) -> np.ndarray:
-    """Super-windows come in document order; of equal windows the first one stays.
-
-    Within a document an earlier anchor has the earlier windows, so the order of entries is that of starts.
-    """
-    most = int(counts.max())
-    ends = np.cumsum(sizes)
-    within = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-    parse = data[np.repeat(offsets, sizes) + within].view(U64)
-    n_before = np.cumsum(counts) - counts
-    entry = np.repeat(np.arange(len(keys)), counts)
-    nth = np.arange(len(parse)) - n_before[entry]
-    # a class: anchor name, its place in the window, parse
-    kind = words.mix(parse + words.mix(keys[entry] ^ (anchors[entry] - starts[entry] - nth).astype(U64)))
-    order = np.argsort(kind, kind="stable")
-    later = np.zeros(len(parse), bool)
-    later[order[1:]] = kind[order[1:]] == kind[order[:-1]]
-    covered = np.zeros((len(keys), most), bool)
-    covered[entry[later], nth[later]] = True
-    return covered
+def _firsts(width: int):
+    def firsts(keys, starts, counts, anchors, data, offsets, sizes) -> np.ndarray:
+        """Super-windows come in document order; of equal windows the first one stays. Names bring windows together, their
+        words decide.
+
+        Within a document an earlier anchor has the earlier windows, so the order of entries is that of starts.
+        """
+        ends = np.cumsum(sizes)
+        within = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+        data = data[np.repeat(offsets, sizes) + within]
+        start, end, _ = words.word_bounds(data, np.array([0, len(data)]))
+        names = words.Substrings(words.long_names(data, start, end))
+        n_words = counts + width - 1
+        entry = np.repeat(np.arange(len(keys)), counts)
+        nth = np.arange(len(entry)) - (np.cumsum(counts) - counts)[entry]
+        window = (np.cumsum(n_words) - n_words)[entry] + nth
+        # a class: anchor name, its place in the window, words
+        kind = words.mix(names(window, window + width) + words.mix(keys[entry] ^ (anchors[entry] - starts[entry] - nth).astype(U64)))
+        order = np.argsort(kind, kind="stable")
+        new = np.ones(len(kind), bool)
+        new[1:] = kind[order[1:]] != kind[order[:-1]]
+        first = np.empty(len(kind), np.int64)
+        first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        later = first != np.arange(len(kind))
+        begin, size = start[window], end[window + width - 1] - start[window]
+        equal = repeats._equal(data, begin, begin[first], size, size[first], later)
+        wrong = np.flatnonzero(later & ~equal)
+        if len(wrong):  # other words of the same name: told apart by the words themselves
+            text = data.tobytes()
+            seen: dict[tuple, int] = {}
+            for i in np.flatnonzero(np.isin(kind, kind[wrong])).tolist():
+                equal[i] = seen.setdefault((int(kind[i]), text[begin[i] : begin[i] + size[i]]), i) != i
+            later = later & ~np.isin(kind, kind[wrong]) | equal
+        covered = np.zeros((len(keys), int(counts.max())), bool)
+        covered[entry[later], nth[later]] = True
+        return covered
+
+    return firsts
 
 
 def scheme(width: int = WIDTH) -> repeats.Scheme:
-    return repeats.Scheme(_scan(width), _contents(width), _firsts)
+    return repeats.Scheme(_scan(width), _contents(width), _firsts(width))
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:

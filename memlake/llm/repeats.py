@@ -29,6 +29,8 @@ from memlake.llm import common, words
 U64 = np.uint64
 #: Text bytes whose records are sent together, in slices.
 BLOCK_SLICES = 12
+#: Text bytes for which there is a bucket; what meets in a bucket is up to three times as much, in one worker's memory.
+TEXT_OF_BUCKET = 64 << 20
 #: A document order for rows without doc_id: after all others.
 _ROWS = "doc_id long, row long, text string, keep boolean"
 
@@ -303,7 +305,7 @@ def covered_windows(docs: DataFrame, scheme: Scheme) -> DataFrame:
     ``keep`` is false for a later exact copy, all of whose windows are covered.
     """
     spark = docs.sparkSession
-    n = common.partitions(spark)
+    n = common.partitions_for(docs, TEXT_OF_BUCKET)
     buckets = np.array(common.even_keys(spark, n), np.int64)
     rows = common.keyed(docs)
     # unique ids are the rows' keys, which say the order as well and take half the room
