@@ -55,8 +55,22 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(found, lambda s: F.trim(F.regexp_replace(s, r"[\n\r\t]", " "))), lambda s: F.length(s) > 0)
 
 
+def may_hold_secret(text: Column) -> Column:
+    """False only where no secret pattern can match: plain substrings first, patterns without bounds where these are common."""
+    lower = F.lower(text)
+    some = lambda *words: reduce(lambda x, y: x | y, [F.contains(text, F.lit(w)) for w in words])
+    named = some("=", ":") & (F.contains(lower, F.lit("session")) | F.contains(lower, F.lit("cookie")) | F.contains(lower, F.lit("sid")) | F.contains(lower, F.lit("token")) | F.contains(lower, F.lit("secret")))
+    return (
+        some("PRIVATE KEY", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "://", "eyJ")
+        | (F.contains(text, F.lit("=")) & some("API_KEY", "TOKEN", "SECRET", "PASSWORD", "COOKIE", "DATABASE_URL"))
+        | (named & text.rlike(r"(?i)(?:session|cookie|sid|secret|token)\s*[:=]"))
+    )
+
+
 def redact(text: Column) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, ascii_bounds(p[1]), f"[REDACTED:{p[0]}]"), SECRET_PATTERNS, text)
+    """The text with each secret replaced; most texts hold no sign of one and pass as they are."""
+    replaced = reduce(lambda t, p: F.regexp_replace(t, ascii_bounds(p[1]), f"[REDACTED:{p[0]}]"), SECRET_PATTERNS, text)
+    return F.when(may_hold_secret(text), replaced).otherwise(text)
 
 
 def secret_kinds(text: Column) -> Column:
@@ -118,3 +132,13 @@ def season(ts: Column) -> Column:
 def day_part(ts: Column) -> Column:
     hour = F.hour(ts)
     return F.when(hour < 6, "night").when(hour < 12, "morning").when(hour < 18, "afternoon").otherwise("evening")
+
+
+# Questions that name no subject, and words of time and place that add nothing to them.
+LOW_INFORMATION = r"(?i)\b(?:what\s+happened|what\s+did\s+.+\s+do|where\s+did\s+.+\s+go)\b"
+# Fixed values end.
+
+
+def low_information(text: Column, significant_terms: Column) -> Column:
+    """Whether a question asks what happened without a significant term."""
+    return (F.size(significant_terms) == 0) & text.rlike(ascii_bounds(LOW_INFORMATION))

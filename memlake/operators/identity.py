@@ -22,7 +22,8 @@ def candidates(asked: DataFrame, entities: DataFrame, aliases: DataFrame) -> Dat
     by_key = with_key.join(entities.select("id", name_key(F.col("name")).alias("key"), "verified"), "key").select("name", "id", "verified", F.lit(1).alias("kind"))
     by_alias = with_key.join(aliases.select("id", name_key(F.col("alias")).alias("key")).join(entities.select("id", "verified"), "id"), "key").select("name", "id", "verified", F.lit(2).alias("kind"))
     found = exact.unionByName(by_key).unionByName(by_alias).groupBy("name", "id").agg(F.min("kind").alias("kind"), F.max("verified").alias("verified"))
-    return top_per_group(found, ["name"], [F.asc("kind"), F.desc("verified"), F.asc("id")], 1_000_000, "rank")
+    by = Window.partitionBy("name").orderBy(F.asc("kind"), F.desc("verified"), F.asc("id"))
+    return found.withColumn("rank", F.row_number().over(by))
 
 
 def similar_names(names: DataFrame, key: str, name: str, most: int = 1) -> DataFrame:
@@ -90,3 +91,32 @@ def canonical_speakers(turns: DataFrame, aliases: DataFrame, speaker: str) -> Da
     known = aliases.groupBy(F.lower("alias").alias("key")).agg(F.countDistinct("canonical").alias("n"), F.min("canonical").alias("canonical"))
     joined = turns.withColumn("key", F.lower(F.trim(speaker))).join(known, "key", "left")
     return joined.withColumns({"speaker": F.when(F.col("n") == 1, F.col("canonical")).otherwise(F.col("key")), "ambiguous": F.coalesce(F.col("n") > 1, F.lit(False))}).drop("key", "n", "canonical")
+
+
+def correction_targets(corrections: DataFrame, entities: DataFrame, aliases: DataFrame, scope: str, limit: int = 12) -> DataFrame:
+    """scope, id, score: entities that a correction (source, canonical) of their scope may mean, best first.
+
+    Names and aliases (``key``) meet a correction by equal key or by a shared word of three letters or more, never all by
+    all. Own names score 100 (canonical) or 95 (source), verified aliases 98 or 96, others 80 or 75; shared words alone
+    give 35 for a name, 45 for a verified alias and 25 for another.
+    """
+    names = entities.select(scope, "id", "key", F.lit("name").alias("kind")).union(aliases.select(scope, "id", "key", F.when(F.col("verified"), "verified").otherwise("alias")))
+    long_words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: F.length(w) >= 3)
+    asked = corrections.select(scope, "source", "canonical", F.array_distinct(F.concat(long_words(F.col("source")), long_words(F.col("canonical")))).alias("words"))
+    by_word = asked.select(scope, "source", "canonical", F.explode("words").alias("meet"))
+    by_name = asked.select(scope, "source", "canonical", F.explode(F.array("source", "canonical")).alias("meet"))
+    met_words = names.select("*", F.explode(F.array_distinct(F.split("key", r"\s+"))).alias("meet")).join(by_word, [scope, "meet"])
+    met_names = names.select("*", F.col("key").alias("meet")).join(by_name, [scope, "meet"])
+    own, verified = F.col("kind") == "name", F.col("kind") == "verified"
+    pick = lambda name, sure, other: F.when(own, name).when(verified, sure).otherwise(other)
+    score = F.when(F.col("key") == F.col("canonical"), pick(100, 98, 80)).when(F.col("key") == F.col("source"), pick(95, 96, 75)).otherwise(pick(35, 45, 25))
+    scored = met_words.unionByName(met_names).groupBy(scope, "id").agg(F.max(score).alias("score"))
+    return top_per_group(scored, [scope], [F.desc("score"), F.asc("id")], limit)
+
+
+def keepers_of_copies(rows: DataFrame, group: list[Column], priority: list[Column], key: str) -> DataFrame:
+    """(keeper_id, duplicate_id): of each group the first row by priority, and every other one, by one aggregate."""
+    named = rows.select(*[c.alias(f"group {i}") for i, c in enumerate(group)], F.struct(*[c.alias(f"p{i}") for i, c in enumerate(priority)], F.col(key).alias("id")).alias("own"))
+    columns = [f"group {i}" for i in range(len(group))]
+    first = named.groupBy(*columns).agg(F.min("own").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return named.join(first, columns).filter("own.id != keeper.id").select(F.col("keeper.id").alias("keeper_id"), F.col("own.id").alias("duplicate_id"))

@@ -82,3 +82,28 @@ def backoff_minutes(attempts: Column, cap: int = 60) -> Column:
 def coverage(rows: DataFrame, group: str, has: Column) -> DataFrame:
     found = rows.groupBy(group).agg(F.count(F.lit(1)).alias("total"), F.count_if(has).alias("covered"))
     return found.withColumn("ratio", F.round(F.col("covered") / F.col("total"), 4))
+
+
+def upsert(stored: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
+    """Both tables with each key once. For a key in both, a column's rule decides: ``greatest``, ``least``, ``sum``,
+    ``keep`` (the stored value, unless null) or ``replace`` (the new one, unless null)."""
+    both = stored.select(*keys, *[F.col(c).alias(f"stored {c}") for c in rules]).join(new.select(*keys, *[F.col(c).alias(f"new {c}") for c in rules]), keys, "full_outer")
+
+    def merged(column: str, rule: str) -> Column:
+        was, now = F.col(f"stored {column}"), F.col(f"new {column}")
+        each = {"greatest": lambda: F.greatest(was, now), "least": lambda: F.least(was, now), "sum": lambda: F.coalesce(was + now, was, now), "keep": lambda: F.coalesce(was, now), "replace": lambda: F.coalesce(now, was)}
+        return each[rule]().alias(column)
+
+    return both.select(*keys, *[merged(c, r) for c, r in rules.items()])
+
+
+def replaced_scopes(stored: DataFrame, rebuilt: DataFrame, scope: str, scopes: DataFrame) -> DataFrame:
+    """The stored rows with all rows of these scopes (tenants, namespaces) deleted and the rebuilt ones in their place."""
+    gone = scopes.select(scope).distinct()
+    return stored.join(gone, scope, "left_anti").unionByName(rebuilt.join(gone, scope, "left_semi"))
+
+
+def rebuild_from_outbox(outbox: DataFrame, facts: DataFrame, stored: DataFrame, scope: str, build) -> DataFrame:
+    """``stored`` with the scopes that the outbox names rebuilt by ``build`` from their facts alone."""
+    touched = outbox.select(scope).distinct()
+    return replaced_scopes(stored, build(facts.join(touched, scope, "left_semi")), scope, touched)

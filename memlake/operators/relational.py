@@ -91,3 +91,16 @@ def snapshot_changes(before: DataFrame, after: DataFrame, key: str, state: str)
     both = before.select(key, F.col(state).alias("was")).join(after.select(key, F.col(state).alias("now")), key, "full_outer")
     change = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "deleted").when(F.col("was") != F.col("now"), "changed").otherwise("same")
     return both.select(key, change.alias("change"))
+
+
+def ranked_with_total(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first rows in a global order with their place and how many rows there are; only ``limit`` rows meet in one task."""
+    total = df.agg(F.count(F.lit(1)).alias("total_count"))
+    top = df.orderBy(*order).limit(limit)
+    # one row of totals, and a window over the few rows that are left
+    return top.withColumn("rank_order", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(total))
+
+
+def best_scored(df: DataFrame, score: str, at: str, kind: str, key: str, limit: int) -> DataFrame:
+    """The best rows: by score, then the later ones, then kind and key as text."""
+    return df.orderBy(F.desc(score), F.desc_nulls_last(at), F.concat_ws(":", kind, F.col(key).cast("string"))).limit(limit)

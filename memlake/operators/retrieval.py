@@ -9,13 +9,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.functions.scalar import dot, tokens
+from memlake.functions.scalar import dot, overlap_share, tokens
 from memlake.operators.relational import top_per_group
 
 # Rank constant, trade-off and pool of the fused ranking; BM25's usual constants.
 RRF_K = 60
 MMR_LAMBDA = 0.68
 BM25_K1, BM25_B = 1.2, 0.75
+# Words that a question's overlap with a candidate does not count.
+POOL_STOP_WORDS = (
+    "what", "which", "does", "did", "when", "year", "month", "date", "why", "who", "is", "are", "the", "his", "her", "their", "its", "start", "started",
+)
 # Fixed values end.
 # Queries and rows that meet in one task, and queries scored at a time.
 QUERY_BLOCK, ROW_BLOCK, SCORED = 4096, 8192, 256
@@ -142,3 +146,81 @@ def evidence(rows: DataFrame, keys: list[str], text: str, order: list[Column], w
 
 def ranked_window(df: DataFrame, query_key: str, order: list[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(*order)))
+
+
+def alternatives(asked: DataFrame, query_key: str, query_text: str) -> DataFrame:
+    """query, alternative, must (terms), phrases and nots of web-style queries: ``"a phrase" word or other -without``."""
+    alternative = asked.select(query_key, F.posexplode(F.split(F.lower(query_text), r"\s+or\s+")).alias("alternative", "said"))
+    plain = F.regexp_replace("said", r'"[^"]*"', " ")
+    phrases = F.transform(F.regexp_extract_all("said", F.lit(r'"([^"]+)"'), F.lit(1)), lambda p: tokens(p))
+    own = alternative.withColumns({
+        "phrases": phrases,
+        "nots": F.regexp_extract_all(plain, F.lit(r"(?:^|\s)-([a-z0-9]+)"), F.lit(1)),
+        "must": F.array_distinct(F.concat(tokens(F.regexp_replace(plain, r"(^|\s)-[a-z0-9]+", " ")), F.flatten(phrases))),
+    })
+    return own.select(query_key, "alternative", "must", "phrases", "nots").filter(F.size("must") > 0)
+
+
+def lexical_search(units: DataFrame, asked: DataFrame, key: str, query_key: str, text: str = "text", query_text: str = "text", owner: str | None = None, hints: str | None = None, k: int = 10) -> DataFrame:
+    """The k best units of each web-style query: those with all terms and phrases of one of its alternatives and none
+    of its excluded terms, and (``owner``) those owned by one of the query's ``hints``; score is the share of matched
+    tokens in the unit, the best alternative's.
+
+    Terms meet postings in an equi-join; texts are read again only for what has all terms of an alternative with a phrase.
+    """
+    wanted = alternatives(asked, query_key, query_text)
+    terms = wanted.select(F.explode("must").alias("term")).union(wanted.select(F.explode("nots"))).distinct()
+    posted = postings(units, key, text).join(terms, "term", "left_semi")
+    needed = wanted.select(query_key, "alternative", F.size("must").alias("n"), F.explode("must").alias("term"))
+    met = needed.join(posted, "term").groupBy(query_key, "alternative", key).agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("found"), F.sum("tf").alias("tf"), F.first("dl").alias("dl")).filter("found = n")
+    without = wanted.select(query_key, "alternative", F.explode("nots").alias("term")).join(posted, "term").select(query_key, "alternative", key).distinct()
+    met = met.join(without, [query_key, "alternative", key], "left_anti")
+    phrased = wanted.filter(F.size("phrases") > 0).select(query_key, "alternative", "phrases")
+    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    read_again = met.join(phrased, [query_key, "alternative"]).join(units.select(key, F.col(text).alias("unit text")), key)
+    read_again = read_again.withColumn("whole", spaced(tokens(F.col("unit text")))).filter(F.forall("phrases", lambda p: F.contains(F.col("whole"), spaced(p))))
+    hits = met.join(phrased, [query_key, "alternative"], "left_anti").select(query_key, key, "tf", "dl").union(read_again.select(query_key, key, "tf", "dl"))
+    scored = hits.select(query_key, key, F.round(F.col("tf") / F.col("dl"), 9).alias("score"))
+    if owner:
+        hinted = asked.select(query_key, F.explode(hints).alias("hint")).select(query_key, F.lower("hint").alias("hint")).distinct()
+        owned = hinted.join(units.select(key, F.lower(owner).alias("hint")), "hint").select(query_key, key, F.lit(0.0).alias("score"))
+        scored = scored.unionByName(owned)
+    best = scored.groupBy(query_key, key).agg(F.max("score").alias("score"))
+    return top_per_group(best, [query_key], [F.desc("score"), F.asc(key)], k, "rank")
+
+
+def with_fallback(primary: DataFrame, fallback: DataFrame, query_key: str) -> DataFrame:
+    """The primary provider's rows, and the fallback's for queries that the primary finds nothing for."""
+    missed = fallback.join(primary.select(query_key).distinct(), query_key, "left_anti")
+    return primary.withColumn("provider", F.lit("primary")).unionByName(missed.withColumn("provider", F.lit("fallback")))
+
+
+def question_overlap(question: Column, candidate: Column) -> Column:
+    """Share of a question's distinct words, stop words left out, that the candidate has."""
+    words = lambda c: F.filter(tokens(c, "[a-z0-9+]+"), lambda t: F.length(t) > 1)
+    return overlap_share(F.array_except(words(question), F.array(*map(F.lit, POOL_STOP_WORDS))), words(candidate))
+
+
+def pool_fusion(pool: DataFrame, query_key: str, key: str, structured: str, lexical: str, priority: str, position: str) -> DataFrame:
+    """A pool with fused score, relevance and place: candidates ranked by structure, by lexical overlap and by source
+    priority (ties in the order they came), fused by reciprocal ranks; relevance adds structure and overlap."""
+    by = lambda c: F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc(c), F.asc(position)))
+    ranked = pool.withColumns({f"{c} rank": by(c) for c in (structured, lexical, priority)})
+    fused = F.round(sum((1 / (RRF_K + F.col(f"{c} rank")) for c in (structured, lexical, priority)), F.lit(0.0)), 9)
+    out = ranked.withColumn("fused", fused).withColumn("relevance", F.round(F.col("fused") + F.col(structured) + F.col(lexical), 9)).drop(*[f"{c} rank" for c in (structured, lexical, priority)])
+    return ranked_window(out, query_key, [F.desc("fused"), F.desc(structured), F.asc(position)]).withColumnRenamed("rank", "place")
+
+
+def summary_read(nodes: DataFrame, edges: DataFrame, windows: DataFrame, asked: DataFrame, query_key: str, limit: int = 5) -> DataFrame:
+    """Summary nodes for each query's ``terms``, most terms contained first, then upper ones, and the source windows below.
+
+    nodes: node_id, depth, summary. edges: parent_id, child_id. windows: node_id (a leaf's), window_id. Terms meet
+    summaries by their words; a node of the graph's top is read through its children.
+    """
+    words = nodes.select("node_id", "depth", F.explode(F.array_distinct(tokens(F.col("summary")))).alias("term"))
+    counted = asked.select(query_key, F.explode(F.array_distinct("terms")).alias("term")).join(words, "term").groupBy(query_key, "node_id", "depth").agg(F.count(F.lit(1)).alias("match_count"))
+    best = top_per_group(counted, [query_key], [F.desc("match_count"), F.asc("depth"), F.asc("node_id")], limit, "rank")
+    leaves = best.select("node_id").distinct().join(edges, F.col("node_id") == F.col("parent_id")).select("node_id", F.col("child_id").alias("leaf"))
+    leaves = leaves.union(best.select("node_id", F.col("node_id").alias("leaf")).distinct())
+    below = leaves.join(windows.select(F.col("node_id").alias("leaf"), "window_id"), "leaf").groupBy("node_id").agg(F.count(F.lit(1)).alias("n_windows"), F.min("window_id").alias("first_window"))
+    return best.join(below, "node_id", "left").select(query_key, "node_id", "depth", "match_count", "rank", F.coalesce("n_windows", F.lit(0)).alias("n_windows"), "first_window")

@@ -73,6 +73,91 @@ def oversized_parts(docs: DataFrame, key: str, text: str = "text", most: int = 1
     return docs.select(key, F.trim(F.coalesce(F.col(text), F.lit(""))).alias("t")).mapInPandas(cut, f"{key} {kind}, part int, char_start int, char_end int")
 
 
+BLANKS = " \t\n\r\f\v"
+
+
+def _spans(docs: DataFrame, key: str, text: str, name: str, cut) -> DataFrame:
+    """A row for each span that ``cut`` finds in a text; a cursor decides each cut, so it runs in Arrow batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, i, s, e) for k, t in zip(pdf[key], pdf["t"], strict=True) for i, (s, e) in enumerate(cut(t))]
+            yield pd.DataFrame(rows, columns=[key, name, "char_start", "char_end"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    clean = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    return docs.select(key, clean.alias("t")).mapInPandas(run, f"{key} {kind}, {name} int, char_start int, char_end int")
+
+
+def cut_budget(text: str, most: int, soft: float = 0.45) -> list[tuple[int, int]]:
+    """Spans of at most ``most`` characters, ended at the last blank line, line or sentence end beyond ``soft`` of them."""
+    spans, at, n = [], 0, len(text)
+    while at < n:
+        end = min(n, at + most)
+        if end < n:
+            # a mark may begin at the limit itself
+            mark = max(text.rfind(m, at, end + len(m)) for m in ("\n\n", "\n", ". "))
+            if mark > at + int(most * soft):
+                end = mark + (text[mark] == ".")
+        piece = text[at:end]
+        if piece.strip(BLANKS):
+            spans.append((end - len(piece.lstrip(BLANKS)), at + len(piece.rstrip(BLANKS))))
+        at = max(end, at + 1)
+    return spans or [(0, 0)]
+
+
+def budget_parts(docs: DataFrame, key: str, text: str = "text", most: int = 4200) -> DataFrame:
+    """Parts of texts within a character budget, with their spans (see ``cut_budget``); a text without any has (0, 0)."""
+    return _spans(docs, key, text, "part", lambda t: cut_budget(t, most))
+
+
+def cut_lines(text: str, most: int = 3000) -> list[tuple[int, int]]:
+    """Spans of whole lines, closed before they pass ``most`` characters with their line ends; the last only if not blank."""
+    spans, start, at = [], 0, 0
+    for line in text.split("\n"):
+        end = at + len(line) + 1
+        if at > start and end - start > most:
+            spans.append((start, at))
+            start = at
+        at = end
+    if text[start:].strip(BLANKS):
+        spans.append((start, len(text)))
+    return spans or [(0, 0)]
+
+
+def line_records(docs: DataFrame, key: str, text: str = "text", most: int = 3000) -> DataFrame:
+    """Records of whole lines with their spans (see ``cut_lines``)."""
+    return _spans(docs, key, text, "record", lambda t: cut_lines(t, most))
+
+
+def calendar_lines(text: Column) -> Column:
+    """A calendar export as an array of sentences, one for each event that says what it is."""
+
+    def line(event: Column) -> Column:
+        field = lambda name: F.nullif(F.trim(F.regexp_extract(event, rf"(?im)^{name}(?:;[^:\n]*)?:([^\r\n]+)", 1)), F.lit(""))
+        start = F.regexp_replace(field("DTSTART"), r"^(\d{4})(\d{2})(\d{2}).*$", "$1-$2-$3")
+        said = F.format_string("Calendar event: %s on %s.", F.coalesce(field("SUMMARY"), F.lit("Untitled event")), F.coalesce(start, F.lit("an unknown date")))
+        more = [F.concat(F.lit(f"{label}: "), field(name), F.lit(".")) for label, name in (("Details", "DESCRIPTION"), ("Location", "LOCATION"))]
+        return F.when(field("SUMMARY").isNotNull() | field("DESCRIPTION").isNotNull(), F.concat_ws(" ", said, *more))
+
+    events = F.split(text, "(?i)BEGIN:VEVENT")
+    return F.array_compact(F.transform(F.slice(events, 2, F.greatest(F.lit(0), F.size(events) - 1)), line))
+
+
+def task_sentences(text: Column) -> Column:
+    """A task list export (JSON) as an array of sentences, one for each task with a title."""
+    tasks = F.from_json(text, "tasks array<struct<title string, status string, project string, due string>>").tasks
+    tasks = F.filter(F.coalesce(tasks, F.array()), lambda t: F.length(F.trim(t.title)) > 0)
+
+    def line(t: Column) -> Column:
+        status = F.coalesce(F.trim(t.status), F.lit("open"))
+        done = F.when(status.rlike("(?i)^(?:done|completed|closed)$"), "I completed").otherwise("I need to")
+        more = [F.when(F.length(F.trim(t[name])) > 0, F.concat(F.lit(f"{name.capitalize()}: "), F.trim(t[name]), F.lit("."))) for name in ("project", "due")]
+        return F.concat_ws(" ", F.concat(done, F.lit(" "), F.trim(t.title), F.lit(".")), F.concat(F.lit("Status: "), status, F.lit(".")), *more)
+
+    return F.transform(tasks, line)
+
+
 def pack_sentences(docs: DataFrame, key: str, text: str = "text", most: int = 1800, enough: float = 0.72) -> DataFrame:
     """Greedy units of consecutive sentences: closed at ``enough`` of ``most`` characters or before passing it."""
 

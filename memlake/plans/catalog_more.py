@@ -338,10 +338,12 @@ def e10_inbox_counts(spark, d):
     return r.groupBy(F.floor(F.col("n") / 3).alias("bucket")).agg(F.count(F.lit(1)).alias("users"), F.round(F.avg("n"), 4).alias("mean"))
 
 
-@query("""WITH t AS (SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON x.source = y.source AND x.lang = y.lang AND x.doc_id < y.doc_id AND x.n_chars = y.n_chars) SELECT a, b FROM t""")
+@query("""WITH r AS (SELECT d.doc_id, first_value(d.doc_id) OVER w AS keeper_id, row_number() OVER w AS nth FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WINDOW w AS (PARTITION BY d.source, d.lang, d.text ORDER BY CASE WHEN l.doc_id IS NOT NULL THEN 0 ELSE 1 END, d.doc_id)) SELECT keeper_id, doc_id AS duplicate_id FROM r WHERE nth > 1""")
 def e9_near_duplicates(spark, d):
-    docs = read(spark, d, "documents").withColumn("key", F.concat_ws("|", "source", "lang", F.col("n_chars").cast("string")))
-    return relational.pairs_within(docs, "key", "doc_id").select("a", "b")
+    labelled = read(spark, d, "labels").select("doc_id").distinct().withColumn("labelled", F.lit(True))
+    docs = read(spark, d, "documents").join(labelled, "doc_id", "left")
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    return identity.keepers_of_copies(docs, [F.col("source"), F.col("lang"), digest], [F.when(F.col("labelled"), 0).otherwise(1)], "doc_id")
 
 
 @query("""SELECT label, count(*) AS n, round(avg(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS mean_square FROM embeddings GROUP BY 1""")

@@ -55,3 +55,17 @@ def page_parts(docs: DataFrame, key: str, text: str) -> DataFrame:
     parts = F.when(F.contains(F.col(text), F.lit("\f")), F.split(F.col(text), "\f")).otherwise(F.split(F.col(text), r"(?m)^--- page \d+ ---$"))
     trimmed = F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: F.length(p) > 0)
     return docs.select(key, F.posexplode(trimmed).alias("page", "page_text"))
+
+
+def reconciled(files: DataFrame, ledger: DataFrame, path: str, checksum: str, readable: Column, extensions: tuple[str, ...]) -> DataFrame:
+    """path and outcome of each scanned file: ignored (extension), failed (unreadable), unchanged (path and checksum are in
+    the ledger) or ingested."""
+    known = ledger.select(path, checksum).distinct().withColumn("known", F.lit(True))
+    extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)(?:\?.*)?$", 1))
+    outcome = F.when(~extension.isin(*extensions), "ignored").when(~readable, "failed").when(F.col("known"), "unchanged").otherwise("ingested")
+    return files.join(known, [path, checksum], "left").select(path, checksum, outcome.alias("outcome"))
+
+
+def rewrite_scopes(df: DataFrame, scope: str, path: str) -> None:
+    """Deletes and rewrites, in a table that is partitioned by scope, the partitions of the scopes that ``df`` has rows of."""
+    df.repartition(scope).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(scope).parquet(path)
