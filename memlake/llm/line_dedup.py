@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import common
-from memlake.llm.words import Substrings, mix
+from memlake.llm.words import Substrings, mix, slices
 
 #: Words of a line that may bring documents together, or make a common block worth deleting.
 LINE_WORDS = 5
@@ -139,7 +139,7 @@ def common_blocks(first: list[int], later: list[int], long_enough: list[bool]) -
     return [x for block in blocks(first, later) if any(long_enough[x] for x in block) for x in block]
 
 
-def runs(words: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def runs(words: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) of the shortest run of lines from each line with words that holds LINE_WORDS words in all."""
     total = np.concatenate([[0], np.cumsum(words)])
     start = np.flatnonzero(words)
@@ -147,7 +147,7 @@ def runs(words: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return start[end < len(total)], end[end < len(total)]
 
 
-def run_digests(lines: list[int], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def run_digests(lines: list[int] | np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return Substrings(mix(np.array(lines, np.int64).view(np.uint64)))(start, end).view(np.int64)
 
 
@@ -187,55 +187,75 @@ def whole_blocks(first: list[int], later: list[int], words: list[int]) -> list[i
     return sorted(gone)
 
 
-def line_words(text: str) -> list[int]:
-    """Words of each \\n-split line."""
-    return [len(line.split()) for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
+def base_runs(lines: np.ndarray, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(digests, offsets) of the distinct shortest runs (``runs``) of each of several documents."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    start = np.flatnonzero(words)
+    end = np.searchsorted(total, total[start] + LINE_WORDS)
+    doc = np.searchsorted(offsets, start, "right") - 1
+    inside = end <= offsets[doc + 1]
+    start, end, doc = start[inside], end[inside], doc[inside]
+    digest = run_digests(lines, start, end)
+    order = np.lexsort((digest, doc))
+    digest, doc = digest[order], doc[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (digest[1:] != digest[:-1]) | (doc[1:] != doc[:-1])
+    return digest[new], np.searchsorted(doc[new], np.arange(len(offsets)))
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """order (doc_id, null: last), row, lines, long (whether each line is long enough) and words of every distinct row."""
+    """order (doc_id, null: last), row, lines, long (whether each line is long enough), words and base (digests of the
+    shortest runs) of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [line_digests(t.as_py()) for t in batch.column("text")]
-            lines, long = ([x[i] for x in found] for i in (0, 1))
-            words = [line_words(t.as_py()) for t in batch.column("text")]
-            arrays = [batch.column("order"), batch.column("row"), pa.array(lines, pa.list_(pa.int64())), pa.array(long, pa.list_(pa.bool_())), pa.array(words, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["order", "row", "lines", "long", "words"])
+        for batch in slices(batches):
+            own = [[line.strip() for line in t.as_py().encode("utf-8", "surrogatepass").split(b"\n")] for t in batch.column("text")]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            flat = [line for x in own for line in x]
+            lines = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat)).view(np.int64)
+            words = np.fromiter((len(line.split()) for line in flat), np.int32, len(flat))
+            base, at = base_runs(lines, words, offsets)
+            lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(x)) for o, x in ((offsets, lines), (offsets, words >= LINE_WORDS), (offsets, words), (at, base))]
+            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("row"), *lists], ["order", "row", "lines", "long", "words", "base"])
 
     rows = common.keyed(docs).select(F.coalesce("doc_id", F.lit(common.MAX_LONG)).alias("order"), "row", "text")
-    return rows.mapInArrow(each, "order long, row long, lines array<long>, long array<boolean>, words array<int>")
+    return rows.mapInArrow(each, "order long, row long, lines array<long>, long array<boolean>, words array<int>, base array<long>")
 
 
-def voters(lines: list[int], words: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Digests by which a document meets others, and whether each is a shortest run (``runs``).
-
-    The others are windows of 2, 4, 8... lines from the same starts: the lines around a run say which of its many
-    holders have more of its block.
-    """
+def windows(lines: np.ndarray, words: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Digests of windows of 2, 4, 8... lines from where a shared run starts: the lines around a run say which of its many
+    holders have more of its block. A window can't be shared where the run that it starts with is not."""
     start, end = runs(words)
-    found = [np.unique(run_digests(lines, start, end))]
+    met = np.isin(run_digests(lines, start, end), shared)
+    start, end = start[met], end[met]
+    found = [np.zeros(0, np.int64)]
     size = 2
     while size <= len(lines):
         longer = (end - start < size) & (start + size <= len(lines))
         found.append(np.unique(run_digests(lines, start[longer], start[longer] + size)))
         size *= 2
-    return np.concatenate(found), np.repeat([True, False], [len(found[0]), sum(map(len, found[1:]))])
+    return np.concatenate(found)
 
 
-def votes(known_rows: DataFrame) -> DataFrame:
-    """order, row, line and base (see ``voters``) of every voter."""
+def window_votes(rows: DataFrame) -> DataFrame:
+    """order, row and line (digest) of the windows of rows with their ``shared`` runs."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                found = [voters(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column("lines"), batch.column("words"), strict=True)]
-                at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x, _ in found]))
-                line, base = (pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([batch.column("order").take(at), batch.column("row").take(at), line, base], ["order", "row", "line", "base"])
+                found = [windows(*(x.values.to_numpy() for x in own)) for own in zip(*(batch.column(c) for c in ("lines", "words", "shared")), strict=True)]
+                at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([batch.column("order").take(at), batch.column("row").take(at), pa.array(np.concatenate(found))], ["order", "row", "line"])
+
+    return rows.select("order", "row", "lines", "words", "shared").mapInArrow(each, "order long, row long, line long")
 
-    return known_rows.select("order", "row", "lines", "words").mapInArrow(each, "order long, row long, line long, base boolean")
+
+def met_lines(cast: DataFrame) -> DataFrame:
+    """The votes (order, row, line) of lines with more than one document, with how many and the first of them."""
+    shared_lines = cast.groupBy("line").agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct("order", "row")).alias("first")).filter("documents > 1")
+    # a table of its own, so that Spark can split the join where very many documents have a line
+    return cast.join(common.stored(shared_lines, "shared-lines"), "line")
 
 
 def earlier(first: str) -> Column:
@@ -246,14 +266,12 @@ def earlier(first: str) -> Column:
 def whole_pairs(known_rows: DataFrame) -> DataFrame:
     """row and first_row of all pairs to align: a document with the first one of each of its voters, however common, and
     with every earlier one of its rare runs."""
-    cast = common.stored(votes(known_rows), "line-votes")
-    shared_lines = cast.groupBy("line").agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct("order", "row")).alias("first")).filter("documents > 1")
-    # a table of its own, so that Spark can split the join where very many documents have a line
-    shared_lines = common.stored(shared_lines, "shared-lines")
-    met = common.stored(cast.join(shared_lines, "line"), "line-met")
-    with_first = met.filter(earlier("first")).select("row", F.col("first.row").alias("first_row"))
+    met = common.stored(met_lines(known_rows.select("order", "row", F.explode("base").alias("line"))), "line-met")
+    own = met.groupBy("row").agg(F.collect_list("line").alias("shared"))
+    wider = met_lines(common.stored(window_votes(known_rows.join(own, "row")), "line-windows"))
+    with_first = met.unionByName(wider).filter(earlier("first")).select("row", F.col("first.row").alias("first_row"))
     # with two holders the other one is the first
-    few = met.filter(F.col("base") & (F.col("documents") > 2) & (F.col("documents") <= RARE_DOCUMENTS))
+    few = met.filter((F.col("documents") > 2) & (F.col("documents") <= RARE_DOCUMENTS))
     others = few.select("line", F.struct("order", "row").alias("other"))
     with_all = few.join(others, "line").filter(earlier("other")).select("row", F.col("other.row").alias("first_row"))
     return with_first.union(with_all).distinct()
@@ -261,8 +279,9 @@ def whole_pairs(known_rows: DataFrame) -> DataFrame:
 
 def whole_deleted_lines(docs: DataFrame) -> DataFrame:
     """row and ``gone`` of the rows that lose any line, without a bound on how common a shared line is."""
-    known = common.stored(profiles(docs), "line-profiles").dropDuplicates(["row"])
-    known = common.stored(known, "line-rows")
+    known = common.stored(profiles(docs), "line-profiles")
+    if not common.ids_are_unique(docs):
+        known = common.stored(known.dropDuplicates(["row"]), "line-rows")
     return aligned(common.stored(whole_pairs(known), "line-pairs"), known, "words", whole_blocks)
 
 
