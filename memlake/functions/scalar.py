@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -83,7 +84,9 @@ def secret_kinds(text: Column) -> Column:
 
 
 def privacy_tier(text: Column) -> Column:
-    return F.when(redact(text) != text, "secret_risk").when(text.rlike(ascii_bounds(SENSITIVE)), "sensitive").otherwise("normal")
+    lower = F.lower(text)
+    some = reduce(lambda x, y: x | y, [F.contains(lower, F.lit(w)) for w in re.findall("[a-z]+", SENSITIVE.split("(?:")[1])])
+    return F.when(redact(text) != text, "secret_risk").when(some & text.rlike(ascii_bounds(SENSITIVE)), "sensitive").otherwise("normal")
 
 
 def weighted_rules(text: Column, rules: list[tuple[str, float]], base: float = 0.0) -> Column:

@@ -25,16 +25,23 @@ POOL_STOP_WORDS = (
 QUERY_BLOCK, ROW_BLOCK, SCORED = 4096, 8192, 256
 
 
+def listed_terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, terms, dl. Texts are dealt by key before they are cut, as postings take more room than the texts they come
+    from; what counts terms of a document then needs no further exchange, and several readers share this one."""
+    dealt = docs.select(key, F.col(text).alias("text")).repartition(F.col(key))
+    return dealt.select(key, tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
+
+
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, term, tf and dl (length of the document in tokens)."""
-    listed = docs.select(key, tokens(F.col(text)).alias("terms")).withColumn("dl", F.size("terms"))
-    return listed.select(key, "dl", F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    terms = listed_terms(docs, key, text).select(key, "dl", F.explode("terms").alias("term"))
+    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: str = "text", query_text: str = "text", k: int = 10) -> DataFrame:
     """The k best documents of each query, with score and rank. Only postings of query terms are joined."""
     asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    sizes = docs.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    sizes = listed_terms(docs, key, text).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
     wanted = postings(docs, key, text).join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # one row of totals
