@@ -127,24 +127,26 @@ def links(distinct: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> Data
     return found
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, row, fp and component_id (the smallest doc_id reachable) of every row of ``docs``."""
+def grouped(docs: DataFrame, radius: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows; and fp, first (smallest doc_id) and component (one of its fingerprints) of each distinct one."""
     rows = common.stored(fingerprints(docs, width), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    nodes = common.stored(nodes, "fingerprint-nodes")
+    nodes = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
     found = components(links(nodes.select("fp"), radius))
-    grouped = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    return rows.join(grouped.join(smallest, "component").select("fp", "component_id"), "fp")
+    return rows, nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, row, fp and component_id (the smallest doc_id reachable) of every row of ``docs``."""
+    rows, groups = grouped(docs, radius, width)
+    smallest = groups.groupBy("component").agg(F.min("first").alias("component_id"))
+    return rows.join(groups.join(smallest, "component").select("fp", "component_id"), "fp")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns as they are, one of each group of near-duplicates: the smallest doc_id."""
-    groups = near_duplicates(docs, radius, width)
-    order = F.coalesce("doc_id", F.lit(common.MAX_LONG))
-    # rows without any doc_id in their group have the fingerprint's group all the same
-    first = groups.groupBy(F.coalesce(F.col("component_id"), F.col("fp")).alias("group"), F.col("component_id").isNull().alias("unnamed")).agg(F.min(order).alias("order"))
-    named = groups.select(order.alias("order"), "row", F.coalesce(F.col("component_id"), F.col("fp")).alias("group"), F.col("component_id").isNull().alias("unnamed"))
-    chosen = named.join(first, ["group", "unnamed", "order"]).groupBy("group", "unnamed").agg(F.min("row").alias("row")).select("row")
+    rows, groups = grouped(docs, radius, width)
+    # by component, not by its smallest doc_id, which two components share where ids repeat
+    named = rows.join(groups.select("fp", "component"), "fp").select("component", F.struct(F.coalesce("doc_id", F.lit(common.MAX_LONG)).alias("order"), "row").alias("own"))
+    chosen = named.groupBy("component").agg(F.min("own").alias("first")).select("first.row")
     keyed = docs.select(F.struct("*").alias("d"), common.row_key(docs).alias("row"))
     return keyed.join(chosen, "row").dropDuplicates(["row"]).select("d.*")
