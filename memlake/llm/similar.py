@@ -92,11 +92,11 @@ def digits(least: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """order (doc_id, null: last), row, node (digest of the shingle set), fp, n (shingles), code, bands and the sorted set."""
+    """order (doc_id, null: last), row, node (digest of the shingle set), fp, n (shingles), code and bands."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches):
-            node, fp, n, code, bands, sets = [], [], [], [], [], []
+            node, fp, n, code, bands = [], [], [], [], []
             for t in batch.column("text"):
                 hashes = shingle_hashes(t.as_py())
                 own = np.unique(hashes)
@@ -106,13 +106,25 @@ def profiles(docs: DataFrame) -> DataFrame:
                 n.append(len(own))
                 code.append(digits(least))
                 bands.append(band_keys(least).view(np.int64))
-                sets.append(own.view(np.int64))
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            arrays = [batch.column("order"), batch.column("row"), longs(node), longs(fp), pa.array(n, pa.int64()), pa.array(code, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["order", "row", "node", "fp", "n", "code", "bands", "shingles"])
+            arrays = [batch.column("order"), batch.column("row"), longs(node), longs(fp), pa.array(n, pa.int64()), pa.array(code, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["order", "row", "node", "fp", "n", "code", "bands"])
 
     rows = common.keyed(docs).select(F.coalesce("doc_id", F.lit(common.MAX_LONG)).alias("order"), "row", "text")
-    return rows.mapInArrow(each, "order long, row long, node long, fp long, n long, code binary, bands array<long>, shingles array<long>")
+    return rows.mapInArrow(each, "order long, row long, node long, fp long, n long, code binary, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """node and its sorted shingles, from the texts of the chosen rows (node, row): most texts meet no other, so sets are
+    taken again where they are needed instead of being kept."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in words.slices(batches):
+            sets = [np.unique(shingle_hashes(t.as_py())).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    texts = common.keyed(docs).select("row", "text").join(chosen, "row").select("node", "text")
+    return texts.mapInArrow(each, "node long, shingles array<long>")
 
 
 def alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -218,8 +230,9 @@ def groups(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     members = members.groupBy("nodes").agg(F.count(F.lit(1)).alias("bands")).select(F.monotonically_increasing_id().alias("bucket"), "nodes")
     members = common.stored(members.select("bucket", F.explode("nodes").alias("node")), "similar-members")
     met = members.select("node").distinct()
-    chosen = known.groupBy("node").agg(F.min("row").alias("row")).join(met, "node", "left_semi")
-    sets = common.stored(known.join(chosen, ["node", "row"]).dropDuplicates(["node"]).select("node", "fp", "n", "code", "shingles"), "similar-sets")
+    chosen = common.stored(nodes.select("node", "row").join(met, "node", "left_semi"), "similar-chosen")
+    codes = known.join(chosen, ["node", "row"]).select("node", "fp", "n", "code").dropDuplicates(["node"])
+    sets = common.stored(codes.join(shingle_sets(docs, chosen).dropDuplicates(["node"]), "node"), "similar-sets")
     # rows of their own, so that Spark can split a large bucket's join
     members = common.stored(members.join(sets.select("node", "fp", "n", "code"), "node"), "similar-members")
     # as many partitions as the session has, though their rows are few: the work is in comparing them
