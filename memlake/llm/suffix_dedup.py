@@ -8,6 +8,9 @@ range minimum. Columns lie transposed in one external file that is read once, ba
 and common prefixes of a round are a file that the next round reads from front to back. After a hundred rounds,
 neighbours with a common prefix of 100 or more are occurrences of one string.
 
+A bucket's key is what all windows of half a super-window share, some 62 bytes around the anchor, so texts that have a
+short phrase in common do not meet over it.
+
 Whole documents can't be inserted symbol by symbol here: it takes as many rounds over a growing BWT as the longest one
 has bytes. Cutting at anchors bounds the rounds by 176 and lets buckets work in parallel, and loses no occurrence.
 
@@ -34,18 +37,43 @@ GRAM = 24
 NONE = np.uint64((1 << 64) - 1)
 
 
+def _halves(found: repeats.SuperWindows, cut: int) -> tuple[repeats.SuperWindows, np.ndarray]:
+    """Super-windows split by how far before their anchor windows begin: ``cut`` or more (early), or less.
+
+    The windows of a half share about 62 bytes in place of the anchor's 24, so a phrase that many documents have in
+    other surroundings no longer brings all of them together.
+    """
+    n_early = np.clip(found.anchor - cut + 1 - found.start, 0, found.count)
+    parts = np.stack([n_early, found.count - n_early], axis=1).reshape(-1)
+    both = found.take(np.repeat(np.arange(len(found.key)), 2))
+    early = np.tile([True, False], len(found.key))
+    both.start = both.start + np.where(early, 0, np.repeat(n_early, 2))
+    both.count = parts
+    some = parts > 0
+    return both.take(some), early[some]
+
+
 def _scan(width: int, gram: int):
     def scan(data: np.ndarray, offsets: np.ndarray):
         n = len(data)
         if n < width:
             none = np.zeros(0, np.int64)
             return repeats.SuperWindows(none.astype(np.uint64), none, none, none, none), (data, offsets)
-        symbols = words.byte_hashes(data).all_of(gram)
+        hashes = words.byte_hashes(data)
+        symbols = hashes.all_of(gram)
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         place = np.arange(n - width + 1)
         at = doc[: len(place)]
         valid = offsets[at + 1] - place >= width
-        return repeats.super_windows(symbols, valid, 0, width - gram + 1, at, place - offsets[at]), (data, offsets)
+        found = repeats.super_windows(symbols, valid, 0, width - gram + 1, at, place - offsets[at])
+        found, early = _halves(found, (width - gram + 1) // 2)
+        # what all windows of a half share: from its last start to the end of its first window
+        anchor = found.anchor + offsets[found.doc]
+        cut = (width - gram + 1) // 2
+        begin = np.where(early, anchor - cut, anchor)
+        end = np.where(early, anchor + gram, anchor - cut + 1 + width)
+        found.context(hashes(begin, end) + early.astype(np.uint64))
+        return found, (data, offsets)
 
     return scan
 
