@@ -43,6 +43,46 @@ def similar_names(names: DataFrame, key: str, name: str, most: int = 1) -> DataF
     return near.withColumn("distance", F.levenshtein("name_a", "name_b"))
 
 
+def name_likeness(a: Column, b: Column) -> Column:
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+
+
+def alike_names(names: DataFrame, scope: str, name: str, least: float = 0.6) -> DataFrame:
+    """scope, name_a, name_b, lexical: different names of one scope with a likeness of ``least`` (over one half) or more.
+
+    An edit changes two of a name's letter pairs at most (counted with their repeats, both ends marked), so alike names
+    of length up to n have n * (2 * least - 1) + 1 in common. Each name is therefore sent under its rarest pairs only, as
+    many as it can lack and one more: an equi-join that misses nothing and leaves the common pairs out.
+    """
+    if not 0.5 < least <= 1:
+        raise ValueError("likeness over one half, up to 1")
+    own = names.select(scope, F.col(name).alias("n")).filter("n is not null").distinct()
+    marked = F.concat(F.lit("\x01"), "n", F.lit("\x02"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("n") + 1), lambda i: F.substring(marked, i, F.lit(2)))
+    nth = lambda g, i: F.concat(g, F.size(F.filter(F.slice("pairs", F.lit(1), i + 1), lambda x: x == g)).cast("string"))
+    grams = own.withColumn("pairs", pairs).select(scope, "n", F.explode(F.transform("pairs", nth)).alias("gram"))
+    common = grams.groupBy(scope, "gram").agg(F.count(F.lit(1)).alias("names"))
+    rarest = Window.partitionBy(scope, "n").orderBy("names", "gram")
+    # rounding down what two names must share is safe against errors of the product
+    needed = F.greatest(F.lit(1), F.ceil(F.length("n") * F.lit(2 * least - 1) + 1 - 1e-9))
+    sent = grams.join(common, [scope, "gram"]).withColumn("nth", F.row_number().over(rarest)).filter(F.col("nth") <= F.length("n") + 2 - needed)
+    left, right = (sent.select(scope, "gram", F.col("n").alias(f"name_{side}")) for side in "ab")
+    met = left.join(right, [scope, "gram"]).filter("name_a < name_b").select(scope, "name_a", "name_b").distinct()
+    return met.withColumn("lexical", name_likeness(F.col("name_a"), F.col("name_b"))).filter(F.col("lexical") >= least)
+
+
+def with_shared(pairs: DataFrame, edges: DataFrame, node: str, neighbour: str, predicate: str) -> DataFrame:
+    """Pairs (a, b) with the number of neighbours that both have and whether one of these has the same predicate to both.
+
+    The edges of the given pairs meet, not all nodes of a neighbour, so a neighbour of many costs nothing more.
+    """
+    own = edges.groupBy(node, neighbour).agg(F.collect_set(predicate).alias("predicates"))
+    a, b = (own.select(F.col(node).alias(side), F.col(neighbour).alias("neighbour"), F.col("predicates").alias(f"predicates_{side}")) for side in "ab")
+    met = pairs.select("a", "b").join(a, "a").join(b, ["b", "neighbour"])
+    shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.arrays_overlap("predicates_a", "predicates_b")).alias("same_predicate"))
+    return pairs.join(shared, ["a", "b"], "left").withColumns({"shared": F.coalesce("shared", F.lit(0)), "same_predicate": F.coalesce("same_predicate", F.lit(False))})
+
+
 def conflict_confidence(lexical: Column, shared: Column, shared_predicate: Column, profile: Column) -> Column:
     graph = F.least(F.lit(0.4), 0.16 * shared + F.when(shared_predicate, 0.08).otherwise(0.0))
     return F.round(F.least(F.lit(0.99), 0.68 * lexical + graph + 0.1 * profile), 4)

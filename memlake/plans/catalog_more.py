@@ -277,16 +277,30 @@ def m19_recovery_state(spark, d):
     return read(spark, d, "events").select("event_id", state.alias("state"))
 
 
-@query("""WITH c AS (SELECT x.c_custkey AS q, y.c_custkey AS cand, round(1 - levenshtein(x.c_name, y.c_name) / greatest(length(x.c_name), length(y.c_name)), 4) AS nm, (x.c_mktsegment = y.c_mktsegment)::INT AS ks FROM customer x JOIN customer y ON x.c_nationkey = y.c_nationkey AND floor(x.c_acctbal / 1000) = floor(y.c_acctbal / 1000) AND x.c_custkey <> y.c_custkey), s AS (SELECT *, round(0.42 * nm + 0.18 * ks + 0.16 * 0.5 + 0.10 + 0.08 * 0.5 + 0.06 * 0.5, 4) AS sc FROM c), k AS (SELECT *, (nm >= 0.55 OR sc >= 0.55) AS kept FROM s), r AS (SELECT *, row_number() OVER w AS rn, lead(CASE WHEN kept THEN sc END) OVER w AS nx FROM k WINDOW w AS (PARTITION BY q ORDER BY kept DESC, sc DESC, cand))
-SELECT q, CASE WHEN kept THEN cand END AS candidate, CASE WHEN NOT kept THEN 'create' WHEN nx IS NOT NULL AND sc - nx < 0.12 THEN 'choose' WHEN sc >= 0.9 AND ks = 1 THEN 'attach' ELSE 'merge_prompt' END AS decision FROM r WHERE rn = 1""")
+@query("""WITH e AS (SELECT p_type, p_name, min(p_partkey) AS id, min(p_retailprice) AS price, string_split(p_name, ' ')[-1] AS head FROM part GROUP BY 1, 2), g AS (SELECT DISTINCT id, p_brand, p_size FROM part JOIN e USING (p_type, p_name)), n AS (SELECT DISTINCT id, p_brand FROM g), dg AS (SELECT id, count(*) AS degree FROM n GROUP BY 1),
+sh AS (SELECT x.id AS q, y.id AS cand, count(*) AS shared FROM n x JOIN n y ON x.p_brand = y.p_brand AND x.id <> y.id GROUP BY 1, 2), sp AS (SELECT DISTINCT x.id AS q, y.id AS cand, 1 AS pred FROM g x JOIN g y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.id <> y.id),
+c AS (SELECT x.id AS q, y.id AS cand, round(1 - levenshtein(x.p_name, y.p_name) / greatest(length(x.p_name), length(y.p_name)), 4) AS nm, x.head = y.head AS ks, x.price AS price_q, y.price AS price_c FROM e x JOIN e y ON x.p_type = y.p_type AND x.p_name <> y.p_name),
+s AS (SELECT q, cand, nm, ks, round(0.42 * nm + 0.18 + 0.16 * coalesce(shared, 0) / (a.degree + b.degree - coalesce(shared, 0)) + 0.10 * coalesce(pred, 0) + 0.08 * ks::INT + 0.06 * (least(price_q, price_c) / greatest(price_q, price_c)), 4) AS sc FROM c JOIN dg a ON a.id = q JOIN dg b ON b.id = cand LEFT JOIN sh USING (q, cand) LEFT JOIN sp USING (q, cand) WHERE nm >= 0.55),
+r AS (SELECT *, row_number() OVER w AS rn, lead(sc) OVER w AS nx FROM s WINDOW w AS (PARTITION BY q ORDER BY sc DESC, cand))
+SELECT e.id AS q, cand AS candidate, CASE WHEN cand IS NULL THEN 'create' WHEN nx IS NOT NULL AND sc - nx < 0.12 THEN 'choose' WHEN sc >= 0.9 AND ks THEN 'attach' ELSE 'merge_prompt' END AS decision FROM e LEFT JOIN (FROM r WHERE rn = 1) k ON k.q = e.id""")
 def m28_resolution(spark, d):
-    c = read(spark, d, "customer").withColumn("band", F.floor(F.col("c_acctbal") / 1000))
-    x = c.select(F.col("c_custkey").alias("q"), F.col("c_name").alias("n1"), F.col("c_mktsegment").alias("s1"), "c_nationkey", "band")
-    y = c.select(F.col("c_custkey").alias("cand"), F.col("c_name").alias("n2"), F.col("c_mktsegment").alias("s2"), "c_nationkey", "band")
-    pairs = x.join(y, ["c_nationkey", "band"]).filter("q != cand").withColumn("nm", F.round(1 - F.levenshtein("n1", "n2") / F.greatest(F.length("n1"), F.length("n2")), 4)).withColumn("same", F.col("s1") == F.col("s2"))
-    half = F.lit(0.5)
-    pairs = pairs.withColumn("sc", F.round(identity.candidate_score(F.col("nm"), F.col("same").cast("int"), half, F.lit(1.0), half, half), 4))
-    return identity.decide(pairs, "q", "sc", "nm", "same", "cand")
+    """Names of a part type against each other: brands are the neighbours, a size under a brand the place, the last word the key, prices the time."""
+    parts = read(spark, d, "part")
+    entities = parts.groupBy("p_type", "p_name").agg(F.min("p_partkey").alias("id"), F.min("p_retailprice").alias("price")).withColumn("head", F.element_at(F.split("p_name", " "), -1))
+    edges = parts.join(entities.select("p_type", "p_name", "id"), ["p_type", "p_name"])
+    entities = entities.join(edges.groupBy("id").agg(F.countDistinct("p_brand").alias("degree")), "id")
+    # the likeness is rounded to four places before it is compared
+    alike = identity.alike_names(entities, "p_type", "p_name", 0.5499)
+    a, b = (entities.select("p_type", *[F.col(c).alias(f"{n}_{side}") for c, n in (("p_name", "name"), ("price", "price"), ("head", "head"), ("degree", "degree"))], F.col("id").alias(side)) for side in "ab")
+    pairs = identity.with_shared(alike.join(a, ["p_type", "name_a"]).join(b, ["p_type", "name_b"]), edges, "id", "p_brand", "p_size")
+    price = F.least("price_a", "price_b") / F.greatest("price_a", "price_b")
+    pairs = pairs.withColumns({"nm": F.round("lexical", 4), "same": F.col("head_a") == F.col("head_b")}).filter("nm >= 0.55")
+    near = F.col("shared") / (F.col("degree_a") + F.col("degree_b") - F.col("shared"))
+    score = identity.candidate_score(F.col("nm"), F.lit(1), near, F.col("same_predicate").cast("int"), F.col("same").cast("int"), price)
+    pairs = pairs.withColumn("sc", F.round(score, 4))
+    both = pairs.select(F.col("a").alias("q"), F.col("b").alias("cand"), "nm", "same", "sc").union(pairs.select("b", "a", "nm", "same", "sc"))
+    decided = identity.decide(both, "q", "sc", "nm", "same", "cand")
+    return entities.select(F.col("id").alias("q")).join(decided, "q", "left").select("q", "candidate", F.coalesce("decision", F.lit("create")).alias("decision"))
 
 
 @query("""WITH w AS (SELECT event_id, user_id, event_type, ts FROM events), l AS (SELECT user_id, event_type, max(ts) AS locked FROM events WHERE event_id % 50 = 0 GROUP BY 1, 2) SELECT event_id FROM w LEFT JOIN l USING (user_id, event_type) WHERE locked IS NULL OR ts > locked""")

@@ -287,15 +287,23 @@ def e3_role_conflicts(spark, d):
     return identity.role_conflicts(read(spark, d, "documents"), "source", "lang")
 
 
-@query("""WITH p AS (SELECT x.c_custkey AS a, y.c_custkey AS b, 1 - levenshtein(x.c_name, y.c_name) / greatest(length(x.c_name), length(y.c_name)) AS lex, (x.c_nationkey = y.c_nationkey)::INT AS shared, x.c_mktsegment = y.c_mktsegment AS pred FROM customer x JOIN customer y ON x.c_nationkey = y.c_nationkey AND floor(x.c_acctbal / 1000) = floor(y.c_acctbal / 1000) AND x.c_custkey < y.c_custkey), s AS (SELECT *, round(least(0.99, 0.68 * lex + least(0.4, 0.16 * shared + CASE WHEN pred THEN 0.08 ELSE 0 END) + 0.05), 4)::DOUBLE AS confidence FROM p)
-SELECT a, b, confidence FROM s WHERE (lex >= 0.84 OR (lex >= 0.72 AND shared >= 1) OR (lex >= 0.6 AND shared >= 2)) AND confidence >= 0.72""")
+@query("""WITH e AS (SELECT p_type, p_name, min(p_partkey) AS id FROM part GROUP BY 1, 2), g AS (SELECT DISTINCT id, p_brand, p_size FROM part JOIN e USING (p_type, p_name)), n AS (SELECT DISTINCT id, p_brand FROM g),
+sh AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM n x JOIN n y ON x.p_brand = y.p_brand AND x.id <> y.id GROUP BY 1, 2), sp AS (SELECT DISTINCT x.id AS a, y.id AS b, TRUE AS pred FROM g x JOIN g y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.id <> y.id),
+p AS (SELECT x.id AS a, y.id AS b, 1 - levenshtein(x.p_name, y.p_name) / greatest(length(x.p_name), length(y.p_name)) AS lex, len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' '))) / len(list_distinct(list_concat(string_split(x.p_name, ' '), string_split(y.p_name, ' ')))) AS profile FROM e x JOIN e y ON x.p_type = y.p_type AND x.p_name < y.p_name),
+s AS (SELECT a, b, lex, coalesce(shared, 0) AS shared, round(least(0.99, 0.68 * lex + least(0.4, 0.16 * coalesce(shared, 0) + CASE WHEN pred THEN 0.08 ELSE 0 END) + 0.1 * profile), 4)::DOUBLE AS confidence FROM p LEFT JOIN sh USING (a, b) LEFT JOIN sp USING (a, b))
+SELECT a, b, shared::BIGINT AS shared, confidence FROM s WHERE (lex >= 0.84 OR (lex >= 0.72 AND shared >= 1) OR (lex >= 0.6 AND shared >= 2)) AND confidence >= 0.72""")
 def e6_identity_conflicts(spark, d):
-    c = read(spark, d, "customer")
-    x, y = (c.select(*[F.col(k).alias(f"{k}_{s}") for k in c.columns], F.col("c_nationkey").alias("nation"), F.floor(F.col("c_acctbal") / 1000).alias("band")) for s in ("a", "b"))
-    lex = 1 - F.levenshtein("c_name_a", "c_name_b") / F.greatest(F.length("c_name_a"), F.length("c_name_b"))
-    pairs = x.join(y, ["nation", "band"]).filter("c_custkey_a < c_custkey_b").withColumns({"lex": lex, "shared": F.lit(1)})
-    pairs = pairs.withColumn("confidence", identity.conflict_confidence(F.col("lex"), F.col("shared"), F.col("c_mktsegment_a") == F.col("c_mktsegment_b"), F.lit(0.5)))
-    return pairs.filter(identity.is_conflict(F.col("lex"), F.col("shared"), F.col("confidence"))).select(F.col("c_custkey_a").alias("a"), F.col("c_custkey_b").alias("b"), "confidence")
+    """Entities are the names of a part type, their neighbours the brands, a predicate the size under a brand."""
+    parts = read(spark, d, "part")
+    entities = parts.groupBy("p_type", "p_name").agg(F.min("p_partkey").alias("id"))
+    alike = identity.alike_names(entities, "p_type", "p_name", 0.6)
+    a, b = (entities.select("p_type", F.col("p_name").alias(f"name_{side}"), F.col("id").alias(side)) for side in "ab")
+    pairs = alike.join(a, ["p_type", "name_a"]).join(b, ["p_type", "name_b"])
+    pairs = identity.with_shared(pairs, parts.join(entities, ["p_type", "p_name"]), "id", "p_brand", "p_size")
+    x, y = F.split("name_a", " "), F.split("name_b", " ")
+    profile = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    scored = pairs.withColumn("confidence", identity.conflict_confidence(F.col("lexical"), F.col("shared"), F.col("same_predicate"), profile))
+    return scored.filter(identity.is_conflict(F.col("lexical"), F.col("shared"), F.col("confidence"))).select("a", "b", "shared", "confidence")
 
 
 @query("""SELECT user_id, count(*) AS n_mentions, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, CASE WHEN count(*) >= 2 THEN 'established' ELSE 'tentative' END AS status FROM events WHERE event_type = 'signup' GROUP BY 1""")

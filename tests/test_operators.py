@@ -18,6 +18,36 @@ from memlake.streaming import streams
 NOW = datetime(2026, 3, 11, 15, 30)
 
 
+def test_plan_limits_weights_and_variants():
+    """Limits by intent, weights by scope of time, variants of terms."""
+    timed, vague, plain = (planner.plan(q, NOW) for q in ("Who was I with in Chiang Mai in 2026?", "who came to dinner back then", "OpenClaw ingestion movies"))
+    assert (timed.intent, timed.layers, timed.candidates, timed.summary_weight, timed.limits.below) == ("complex", ("year", "month", "week", "day"), 6, 1.3, {"day": 8, "week": 4, "month": 2})
+    assert (vague.intent, vague.layers, vague.candidates, vague.row_weight, vague.limits.support) == ("hybrid", ("week", "day"), 5, 1.2, 6)
+    assert (plain.intent, plain.layers, plain.candidates, plain.limits.tokens) == ("simple", (), 4, 80)
+    assert plain.terms == ["OpenClaw", "ingestion", "movie", "film"]
+    assert planner.query_terms("habits goals skills of NASA v1.2", planner.Window()) == ["v1.2", "NASA", "routine", "routines", "habit", "habits"]
+    assert planner.plan("why did it fail", NOW).hierarchy_rows == 6
+    assert planner.plan("June 12 2025", NOW).row_weight == 1.35
+
+
+def test_alike_names_equal_all_pairs(spark):
+    """Names that meet by their rarest letter pairs are those that a comparison of all finds; empty and null names too."""
+    pick = random.Random(5)
+    names = sorted({"".join(pick.choice("aab bc") for _ in range(pick.randint(0, 12))) for _ in range(300)})
+    rows = spark.createDataFrame([(pick.randint(0, 1), n) for n in names] + [(0, None), (0, names[3])], "s int, n string")
+    every = rows.distinct().select("s", F.col("n").alias("x")).join(rows.distinct().select("s", F.col("n").alias("y")), "s").filter("x < y")
+    for least in (0.55, 0.84):
+        want = {tuple(r) for r in every.filter(identity.name_likeness(F.col("x"), F.col("y")) >= least).collect()}
+        got = [tuple(r) for r in identity.alike_names(rows, "s", "n", least).select("s", "name_a", "name_b").collect()]
+        assert want and sorted(got) == sorted(want)
+
+
+def test_shared_neighbours_of_given_pairs(spark):
+    edges = spark.createDataFrame([(1, "x", "likes"), (1, "y", "knows"), (2, "x", "likes"), (2, "y", "owns"), (3, "z", "owns"), (2, "x", "owns")], "id int, n string, p string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a int, b int")
+    assert sorted(map(tuple, identity.with_shared(pairs, edges, "id", "n", "p").collect())) == [(1, 2, 2, True), (1, 3, 0, False)]
+
+
 @pytest.mark.parametrize(
     ("question", "start", "end", "granularity"),
     [
