@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.functions import scalar
+from memlake.functions import phrases, scalar
 from memlake.operators import identity, lifecycle, relational, retrieval, text
 from memlake.plans.catalog import query, read, stamp
 from memlake.plans.catalog_text import BM25, _rankings
@@ -225,3 +225,26 @@ def k10_tenant_rebuild(spark, d):
     build = lambda df: df.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
     tenants = read(spark, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
     return lifecycle.replaced_scopes(build(customers.filter("c_acctbal > 0")), build(customers.join(tenants, "c_nationkey", "left_semi")), "c_nationkey", tenants).select("c_nationkey", "c_mktsegment", "n", "total")
+
+
+# --- time phrases -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT event_id, event_type AS t, ts::DATE AS d, extract(hour FROM ts) AS h, extract(day FROM ts) AS n FROM events) SELECT event_id,
+CASE t WHEN 'click' THEN 'exact_date' WHEN 'view' THEN 'month_year' WHEN 'purchase' THEN 'recency' WHEN 'signup' THEN 'exact_date' ELSE 'duration' END AS kind,
+strftime(CASE t WHEN 'click' THEN d WHEN 'view' THEN date_trunc('month', d) WHEN 'purchase' THEN d - 7 * n::INT WHEN 'signup' THEN d - 1 END, '%Y-%m-%d') AS first_day,
+strftime(CASE t WHEN 'click' THEN d WHEN 'view' THEN last_day(d) WHEN 'purchase' THEN d - 7 * n::INT WHEN 'signup' THEN d - 1 END, '%Y-%m-%d') AS last_day,
+CASE t WHEN 'click' THEN strftime(d, '%Y-%m-%d') WHEN 'view' THEN lower(strftime(d, '%B %Y')) WHEN 'purchase' THEN n || ' weeks ago' WHEN 'signup' THEN 'yesterday' ELSE 'PT' || h || 'H' END AS value,
+CASE t WHEN 'click' THEN 'when' WHEN 'view' THEN 'when,date_range' WHEN 'purchase' THEN 'when,recency' WHEN 'signup' THEN 'when' ELSE 'duration' END AS shapes FROM p""")
+def m26_time_semantics(spark, d):
+    kind = F.col("event_type")
+    phrase = (
+        F.when(kind == "click", F.concat(F.lit("Seen on "), F.date_format("ts", "yyyy-MM-dd")))
+        .when(kind == "view", F.concat(F.lit("In "), F.date_format("ts", "MMMM yyyy")))
+        .when(kind == "purchase", F.concat(F.dayofmonth("ts").cast("string"), F.lit(" weeks ago")))
+        .when(kind == "signup", "yesterday at noon")
+        .otherwise(F.concat(F.lit("for "), F.hour("ts").cast("string"), F.lit(" hours")))
+    )
+    m = read(spark, d, "events").select("event_id", phrases.time_meaning(phrase, F.col("ts")).alias("m"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return m.select("event_id", "m.kind", day("m.first_day").alias("first_day"), day("m.last_day").alias("last_day"), "m.value", F.array_join("m.shapes", ",").alias("shapes"))
