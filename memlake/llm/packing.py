@@ -15,8 +15,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,13 +101,15 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 4096
     cut = common.stored(pieces(docs, tokenizer, size, separator), "pieces")
     groups = cut.count() // GROUP_PIECES + 1
 
-    def place(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], ignore_index=True)
-        windows, offsets = best_fit_decreasing(pdf["length"].tolist(), size)
-        return pdf.drop(columns="group").assign(sequence_id=np.asarray(windows, np.int64) + (int(group[0]) << 32), offset=np.asarray(offsets, np.int64))
+    def place(group: tuple, rows: pa.Table) -> pa.Table:
+        # Arrow throughout: pandas would make doubles of ids that a null stands beside
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])).drop_columns("group")
+        windows, offsets = best_fit_decreasing(rows.column("length").to_pylist(), size)
+        rows = rows.append_column("sequence_id", pa.array(np.asarray(windows, np.int64) + (int(group[0].as_py()) << 32)))
+        return rows.append_column("offset", pa.array(np.asarray(offsets, np.int64)))
 
     # a piece's place in the table tells equal pieces apart, so that repeated rows are dealt to all groups
     dealt = cut.withColumn("place", F.monotonically_increasing_id()).withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "place"), F.lit(groups))).drop("place")
-    return dealt.groupBy("group").applyInPandas(place, f"{PIECE}, sequence_id long, offset long").select(
+    return dealt.groupBy("group").applyInArrow(place, f"{PIECE}, sequence_id long, offset long").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )

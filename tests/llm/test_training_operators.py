@@ -276,8 +276,10 @@ def test_mixing_meets_targets(spark, docs, shard_words):
 def test_apportion_is_sainte_lague(spark):
     rng = random.Random(4)
     votes = [(f"s{i}", 0, float(rng.randrange(1, 1000)), float(rng.randrange(20, 200))) for i in range(25)]
+    scale = 300 / sum(v for _, _, v, _ in votes)  # as many seats as votes
+    votes = [(s, n, v * scale, most) for s, n, v, most in votes]
     shards = spark.createDataFrame(votes, "source_key string, shard long, votes double, most double")
-    got = {r.source_key: r.quota for r in mixing.apportion(shards, F.lit(300.0)).collect()}
+    got = {r.source_key: r.quota for r in mixing.apportion(shards).collect()}
     seats: Counter = Counter()
     for _ in range(300):
         seats[min((-v / (2 * seats[s] + 1), s) for s, _, v, most in votes if seats[s] < most)[1]] += 1
@@ -511,3 +513,9 @@ def test_simhash_odd_inputs(spark, odd, empty):
     # the two texts of doc_id 1 are groups of their own, though their smallest doc_id is the same
     rows, groups = simhash.grouped(odd, simhash.RADIUS, simhash.SHINGLE_WORDS)
     assert kept.columns == odd.columns and kept.count() == groups.select("component").distinct().count() == len({r.component_id for r in simhash.near_duplicates(odd).collect()}) + 1
+
+
+def test_packing_keeps_large_ids_beside_a_null(spark):
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None]
+    docs = spark.createDataFrame([(i, "some words", "en", "s", 10) for i in ids], SCHEMA)
+    assert {r.doc_id for r in packing.pack(docs).collect()} == set(ids)
