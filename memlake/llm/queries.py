@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import ann, common, line_dedup, mixing, oracles, packing, quality_rules, recompression, simhash, suffix_dedup, token_counts, toxicity
+from memlake.llm import ann, common, hard_negatives, line_dedup, mixing, oracles, packing, quality_rules, recompression, simhash, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -69,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op8_recompression": op8_recompression,
         "op9_quality_rules": op9_quality_rules,
         "op10_simhash": op10_simhash,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 

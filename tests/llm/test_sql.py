@@ -13,7 +13,8 @@ FOLDER = "/root/testdata/sf0.001"
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     df = queries.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
     got = sorted(map(tuple, df.select(*columns).collect()))
