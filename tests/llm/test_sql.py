@@ -17,5 +17,5 @@ def test_query_equals_sql(spark, name):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     df = queries.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
-    got = sorted(map(tuple, df.select(*columns).collect()))
-    assert got == sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({oracles.SQL[name]})").fetchall())
+    got = sorted(map(tuple, df.select(*columns).collect()), key=repr)
+    assert got == sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({oracles.SQL[name]})").fetchall(), key=repr)
