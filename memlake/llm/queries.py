@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import ann, common, hard_negatives, line_dedup, mixing, oracles, packing, quality_rules, recompression, simhash, spelling, suffix_dedup, token_counts, toxicity
+from memlake.llm import ann, common, hard_negatives, line_dedup, mixing, oracles, packing, quality_rules, recompression, secret_scan, simhash, spelling, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find(common.table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(common.table(spark, sf_dir, "documents")))
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Query]:
         "op8_recompression": op8_recompression,
         "op9_quality_rules": op9_quality_rules,
         "op10_simhash": op10_simhash,
+        "op11_secret_scan": op11_secret_scan,
         "op12_spelling_variants": op12_spelling_variants,
         "op13_hard_negatives": op13_hard_negatives,
     }
