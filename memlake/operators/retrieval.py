@@ -182,6 +182,12 @@ def lexical_search(units: DataFrame, asked: DataFrame, key: str, query_key: str,
     met = needed.join(posted, "term").groupBy(query_key, "alternative", key).agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("found"), F.sum("tf").alias("tf"), F.first("dl").alias("dl")).filter("found = n")
     without = wanted.select(query_key, "alternative", F.explode("nots").alias("term")).join(posted, "term").select(query_key, "alternative", key).distinct()
     met = met.join(without, [query_key, "alternative", key], "left_anti")
+    return best_hits(units, asked, met, wanted, key, query_key, text, owner, hints, k)
+
+
+def best_hits(units: DataFrame, asked: DataFrame, met: DataFrame, wanted: DataFrame, key: str, query_key: str, text: str, owner: str | None, hints: str | None, k: int) -> DataFrame:
+    """The k best of ``met`` (query, alternative, key, tf, dl: units with all terms of an alternative) that have its phrases, and of
+    the units owned by a query's hints."""
     phrased = wanted.filter(F.size("phrases") > 0).select(query_key, "alternative", "phrases")
     spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     read_again = met.join(phrased, [query_key, "alternative"]).join(units.select(key, F.col(text).alias("unit text")), key)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memlake.functions import phrases, scalar
 from memlake.operators import identity, lifecycle, relational, retrieval, text
 from memlake.plans.catalog import query, read, stamp
-from memlake.plans.catalog_text import BM25, _rankings
+from memlake.plans.catalog_text import BM25, _index, _rankings
 from memlake.sources import tables
 
 # --- ingest -----------------------------------------------------------------------------------------------------------
@@ -102,14 +102,20 @@ def _asked(spark, d):
 
 @query(f"{SEARCH.format(''' OR source = 'src7' ''')} SELECT * FROM r WHERE rank <= 20")
 def r1_lexical_search(spark, d):
-    return retrieval.lexical_search(read(spark, d, "documents"), _asked(spark, d), "doc_id", "item_id", query_text="said", owner="source", hints="hints", k=20)
+    docs = read(spark, d, "documents")
+    return _index(spark, d).search(docs, _asked(spark, d), "item_id", query_text="said", owner="source", hints="hints", k=20)
 
 
-@query(f"{SEARCH.format('')}, {BM25[5:]} SELECT item_id, doc_id, score, rank, 'primary' AS provider FROM r WHERE rank <= 10 UNION ALL SELECT item_id, doc_id, score, rank, 'fallback' FROM lexical WHERE rank <= 10 AND item_id NOT IN (SELECT item_id FROM r)".replace(", p AS (SELECT doc_id, regexp", ", p2 AS (SELECT doc_id, regexp").replace("s AS (SELECT count(*) AS n, avg(len(t)) AS avg_dl FROM p)", "s AS (SELECT count(*) AS n, avg(len(t)) AS avg_dl FROM p2)").replace("unnest(t) AS term FROM p)", "unnest(t) AS term FROM p2)").replace(", r AS (SELECT item_id, doc_id, round(sum", ", r2 AS (SELECT item_id, doc_id, round(sum").replace("r AS (SELECT item_id, doc_id, round(sum", "r2 AS (SELECT item_id, doc_id, round(sum").replace("AS rank FROM r) SELECT", "AS rank FROM r2) SELECT"))
+@query(rf"""{SEARCH.format('')}, w AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM p), tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM w GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT count(*) AS n, avg(len(t)) AS avg_dl FROM p), a AS (SELECT item_id, unnest(list_distinct(q)) AS term FROM b),
+e AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 6) AS score FROM a JOIN tf USING (term) JOIN df USING (term), s GROUP BY 1, 2),
+f AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM e WHERE item_id NOT IN (SELECT item_id FROM r))
+SELECT item_id, doc_id, score, rank, 'primary' AS provider FROM r WHERE rank <= 10 UNION ALL SELECT item_id, doc_id, score, rank, 'fallback' FROM f WHERE rank <= 10""")
 def r3_provider_fallback(spark, d):
     docs, asked = read(spark, d, "documents"), read(spark, d, "benchmark")
-    primary = retrieval.lexical_search(docs, _asked(spark, d), "doc_id", "item_id", query_text="said")
-    return retrieval.with_fallback(primary, retrieval.bm25(docs, asked, "doc_id", "item_id"), "item_id")
+    index = _index(spark, d)
+    primary = index.search(docs, _asked(spark, d), "item_id", query_text="said")
+    return retrieval.with_fallback(primary, index.bm25(asked, "item_id"), "item_id")
 
 
 STOP = ", ".join(f"'{w}'" for w in retrieval.POOL_STOP_WORDS)

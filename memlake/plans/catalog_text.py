@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from memlake.functions import scalar
 from memlake.operators import evaluation, graph, identity, lifecycle, relational, retrieval, temporal, text
+from memlake.operators.lexical import LexicalIndex
 from memlake.plans.catalog import query, read, stamp
+from memlake.sources import tables
 
 # --- texts ------------------------------------------------------------------------------------------------------------
 
@@ -136,9 +138,13 @@ r AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf
 lexical AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM r)"""
 
 
+def _index(spark, d):
+    return LexicalIndex.of(read(spark, d, "documents"), "doc_id", version=tables.version(spark, d, "documents"))
+
+
 @query(f"{BM25} SELECT * FROM lexical WHERE rank <= 10")
 def r2_bm25(spark, d):
-    return retrieval.bm25(read(spark, d, "documents"), read(spark, d, "benchmark"), "doc_id", "item_id")
+    return _index(spark, d).bm25(read(spark, d, "benchmark"), "item_id")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE query_id <> vec_id)
@@ -156,7 +162,7 @@ u AS (SELECT item_id, doc_id, round(sum(1 / (60 + rank)), 9) AS rrf_score FROM (
 
 def _rankings(spark, d):
     docs, asked = read(spark, d, "documents"), read(spark, d, "benchmark")
-    lexical = retrieval.bm25(docs, asked, "doc_id", "item_id", k=20)
+    lexical = _index(spark, d).bm25(asked, "item_id", k=20)
     terms = lambda df, key, name: df.select(key, F.array_distinct(scalar.tokens(F.col("text"))).alias(name))
     share = lexical.join(terms(asked, "item_id", "q"), "item_id").join(terms(docs, "doc_id", "t"), "doc_id").withColumn("share", F.round(scalar.overlap_share(F.col("q"), F.col("t")), 9))
     return lexical, retrieval.ranked_window(share.select("item_id", "doc_id", "share"), "item_id", [F.desc("share"), F.asc("doc_id")])

@@ -1,6 +1,8 @@
-"""Session defaults: UTC, adaptive execution, Arrow."""
+"""Session defaults (UTC, adaptive execution, Arrow) and the folder that driver and executors share."""
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "memlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -11,3 +13,23 @@ def session(app: str = "memlake", master: str | None = None, **conf: str) -> Spa
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or the context's checkpoint folder. Where neither is set, a local session (tests) gets a
+    folder of this machine; on a cluster that is an error."""
+    folder, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not folder and context._jsc.sc().getCheckpointDir().isDefined():
+        folder = context._jsc.sc().getCheckpointDir().get()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "/tmp/memlake-shared"
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: cuts lineage, survives lost executors, and has a known size."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,16 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def version(spark: SparkSession, folder: str, name: str) -> str:
+    """A digest of a table's files: their names, lengths and times. No data is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    files, seen = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:32]
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a stated schema; unreadable lines keep their text in ``_corrupt_record``."""
     return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)

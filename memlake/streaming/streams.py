@@ -14,10 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``, or one set here where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/memlake-shared").rstrip("/")
+from memlake.session import shared_dir
 
 
 def source(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
