@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the stateful operators: idempotent intake, event-time rollups, scoped rebuilds, versions.
+"""Structured Streaming forms of the stateful operators: idempotent intake, event-time rollups, late rows, merged tables.
 
 Each takes a streaming DataFrame and leaves source, sink and trigger to the caller; ``drain`` runs one to the end of
 what its source has, for batch-like use and tests.
@@ -7,14 +7,18 @@ what its source has, for batch-like use and tests.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from memlake.session import shared_dir
+from memlake.session import shared_dir, stored
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def source(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -45,28 +49,77 @@ def sessions(rows: DataFrame, user: str, ts: str, gap: str = "30 minutes") -> Da
     return found.select(user, F.col("s.start").alias("session_start"), "n_events")
 
 
-def status_versions(stream: DataFrame, key: str, state: str, ts: str) -> DataFrame:
-    """SCD-2 on a stream: a row for every change of a key's state, with its version. State per key: last value, version.
+def split_late(stream: DataFrame, ts: str, late: str, path: str) -> None:
+    """Runs a stream into two tables below ``path``: ``on_time``, and ``late`` for rows that are older than the newest row of
+    the batches before by more than ``late``. No row is dropped.
 
-    Rows of a micro-batch are ordered by time; a row older than the state is late and ignored.
+    Each batch writes folders of its own, also the newest time that it has seen, so a batch that is run again after a
+    failure finds the same mark and overwrites what it wrote: every row is in one of the tables exactly once.
     """
+    spark = stream.sparkSession
+    marks = "epoch long, high timestamp"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        try:
+            known = spark.read.schema(marks).parquet(f"{path}/marks/*").filter(F.col("epoch") < epoch)
+            high = known.agg(F.max("high")).first()[0]
+        except AnalysisException:  # there is no batch before
+            high = None
+        moment = F.col(ts).cast("timestamp")
+        is_late = F.lit(False) if high is None else F.coalesce(moment < F.lit(high) - F.expr(f"INTERVAL {late}"), F.lit(False))
+        batch.persist()
+        batch.filter(~is_late).write.mode("overwrite").parquet(f"{path}/on_time/epoch={epoch}")
+        batch.filter(is_late).write.mode("overwrite").parquet(f"{path}/late/epoch={epoch}")
+        newest = batch.agg(F.max(moment).alias("high")).select(F.lit(epoch).cast("long").alias("epoch"), F.coalesce(F.greatest("high", F.lit(high).cast("timestamp")), "high").alias("high"))
+        newest.write.mode("overwrite").parquet(f"{path}/marks/{epoch}")
+        batch.unpersist()
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
 
-    def advance(k: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        last, version, at = group.get if group.exists else (None, 0, pd.Timestamp.min.value)
-        out = []
-        for row in pd.concat(list(batches)).sort_values(["at"]).itertuples():
-            moment = pd.Timestamp(row.at).value
-            if moment >= at:
-                at = moment
-                if row.state != last:
-                    last, version = row.state, version + 1
-                    out.append((k[0], row.state, version, row.at))
-        group.update((last, version, at))
-        yield pd.DataFrame(out, columns=["key", "state", "version", "valid_from"])
 
-    rows = stream.select(F.col(key).alias("key"), F.col(state).alias("state"), F.col(ts).cast("timestamp").alias("at"))
-    out = "key long, state string, version int, valid_from timestamp"
-    return rows.groupBy("key").applyInPandasWithState(advance, out, "state string, version int, at long", "append", GroupStateTimeout.NoTimeout)
+def replayed(results: DataFrame, late: DataFrame, read_again: DataFrame, keys: list[str], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``results`` with the groups that late rows belong to built anew by ``build`` from ``read_again``, all rows of an overlap
+    that holds these groups. Groups without a late row are not computed again."""
+    touched = late.select(*keys).distinct()
+    rebuilt = build(read_again.join(touched, keys, "left_semi"))
+    return results.join(touched, keys, "left_anti").unionByName(rebuilt)
+
+
+def file_feed(df: DataFrame, n: int, order: Column) -> DataFrame:
+    """``df`` as a stream of n batches, dealt by ``order`` modulo n: what a feed looks like whose rows come out of order."""
+    path = f"{shared_dir(df.sparkSession)}/feed-{uuid.uuid4().hex}"
+    for i in range(n):
+        df.filter(F.pmod(order, F.lit(n)) == i).coalesce(1).write.mode("append").parquet(path)
+    return source(df.sparkSession, path, 1)
+
+
+def merge_changes(table: str, changes: DataFrame, key: str, change: str, at: str, buckets: int = 16) -> None:
+    """Merges new, changed and deleted keys into a table that is partitioned by ``bucket`` (of the key), rewriting only the buckets
+    that have changes. The last change of a key counts; merging the same changes again changes nothing, so a batch
+    that is run again after a failure leaves the table as one run does."""
+    spark = changes.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at), F.when(F.col(change) == "deleted", 0).otherwise(1).desc()))
+    last = stored(changes.withColumn("newest", newest).filter("newest = 1").drop("newest").withColumn("bucket", bucket), "changes")
+    kept = last.filter(F.col(change) != "deleted").drop(change)
+    try:
+        was = spark.read.schema(kept.schema).option("basePath", table).parquet(table)
+        touched = last.select("bucket").distinct()
+        kept = was.join(touched, "bucket", "left_semi").join(last.select(key), key, "left_anti").unionByName(kept)
+    except AnalysisException:  # the first batch
+        touched = None
+    # written aside first: a table can't be read while it is overwritten
+    kept = stored(kept, "merged")
+    if touched is not None:  # a bucket whose last key is deleted keeps a row without a key, which readers skip
+        emptied = touched.join(kept.select("bucket").distinct(), "bucket", "left_anti").select(*[F.col(c) if c == "bucket" else F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in kept.columns])
+        kept = kept.unionByName(emptied)
+    kept.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+
+
+def merged_table(spark: SparkSession, table: str, key: str) -> DataFrame:
+    """The rows of a table that ``merge_changes`` keeps."""
+    return spark.read.parquet(table).filter(F.col(key).isNotNull()).drop("bucket")
 
 
 def drain(stream: DataFrame, mode: str = "append", sink: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
@@ -86,5 +139,7 @@ def drain(stream: DataFrame, mode: str = "append", sink: Callable[[DataFrame, st
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    if sink:  # what it wrote is the sink's to read
+        return stream.sparkSession.createDataFrame([], "epoch long") if not _exists(spark, out) else spark.read.parquet(out)
     got = spark.read.parquet(out)
     return got.drop("epoch") if "epoch" in got.columns else got
