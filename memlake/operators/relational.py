@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.session import stored
+
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group; ``rank`` keeps the place in that column. Spark prunes before its shuffle."""
@@ -104,3 +106,36 @@ def ranked_with_total(df: DataFrame, order: list[Column], limit: int) -> DataFra
 def best_scored(df: DataFrame, score: str, at: str, kind: str, key: str, limit: int) -> DataFrame:
     """The best rows: by score, then the later ones, then kind and key as text."""
     return df.orderBy(F.desc(score), F.desc_nulls_last(at), F.concat_ws(":", kind, F.col(key).cast("string"))).limit(limit)
+
+
+def numbered_changes(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
+    """``df`` with ``before`` (the value of the row before, in its group), ``is_change`` (first, or another value) and ``version`` (changes
+    so far), without putting a group into one task.
+
+    Rows are range-partitioned by group and order, which together name a row, and looked at inside their part. A group that goes on in the
+    next part hands over its last value and its changes; that is one row for each part.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(df.repartitionByRange(n, *group, *order).withColumn("part", F.spark_partition_id()), "changes")
+    inside = Window.partitionBy("part", *group).orderBy(*order)
+    seen = placed.select("*", F.lag(value).over(inside).alias("before"), (F.row_number().over(inside) == 1).alias("opens"))
+    whole = F.struct(*group)
+    # the last row of each part, and the group that its first row belongs to
+    ends = seen.groupBy("part").agg(F.min(whole).alias("first group"), F.max(whole).alias("last group"), F.max_by(F.struct(value), F.struct(*group, *order)).alias("last"))
+    along = Window.orderBy("part")  # a row for each part
+    handed = ends.withColumns({"earlier group": F.lag("last group").over(along), "earlier": F.lag("last").over(along)})
+    handed = handed.filter(F.col("earlier group") == F.col("first group")).select("part", *[F.col("first group")[g].alias(g) for g in group], F.col("earlier")[value].alias("handed"), F.lit(True).alias("goes on"))
+    seen = seen.join(F.broadcast(handed), ["part", *group], "left").withColumn("goes on", F.coalesce("goes on", F.lit(False)) & F.col("opens"))
+    before = F.when(F.col("goes on"), F.col("handed")).otherwise(F.col("before"))
+    first = F.col("opens") & ~F.col("goes on")
+    seen = seen.withColumn("before", before).withColumn("is_change", first | ~F.col(value).eqNullSafe(F.col("before"))).drop("opens", "goes on", "handed")
+    counted = seen.withColumn("version", F.count_if("is_change").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # of each part's last group, which may go on, the changes up to the end of the part
+    totals = counted.groupBy("part", *group).agg(F.max("version").alias("n")).join(F.broadcast(ends.select("part", *[F.col("last group")[g].alias(g) for g in group])), ["part", *group])
+    upto = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = totals.withColumn("offset", F.sum("n").over(upto)).select("part", *group, "offset")
+    following = ends.withColumn("from", F.lag("part").over(along)).select("part", "from", *[F.col("first group")[g].alias(g) for g in group])
+    offsets = following.join(offsets.withColumnRenamed("part", "from"), ["from", *group]).select("part", *group, "offset")
+    out = counted.join(F.broadcast(offsets), ["part", *group], "left")
+    return out.withColumn("version", (F.col("version") + F.coalesce("offset", F.lit(0))).cast("int")).drop("part", "offset")
