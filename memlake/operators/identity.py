@@ -43,6 +43,34 @@ def similar_names(names: DataFrame, key: str, name: str, most: int = 1) -> DataF
     return near.withColumn("distance", F.levenshtein("name_a", "name_b"))
 
 
+def names_within(names: DataFrame, key: str, name: str, most: int) -> DataFrame:
+    """a, b, name_a, name_b, distance of all pairs of names within ``most`` edits that begin with the same letter.
+
+    A name cut into ``most + 1`` segments keeps one of them whole in every name within ``most`` edits, near its old place; so
+    names meet by segment, number and length. Which places a segment can have moved to follows from how many edits can
+    lie on either side of it. Names too short to be cut meet by their first letter. Exact: every pair is measured.
+    """
+    own = names.select(F.col(key).alias("id"), F.lower(F.col(name)).alias("n")).distinct().withColumn("l", F.length("n")).filter("l > 0")
+    parts, first = most + 1, F.substring("n", 1, 1).alias("first")
+    # of a name of length l: where segment i starts and how long it is; the last ones are longer where l does not divide
+    width, start = f"(l div {parts} + if(i >= {parts} - l % {parts}, 1, 0))", f"(i * (l div {parts}) + greatest(0, i - ({parts} - l % {parts})))"
+    index = own.filter(F.col("l") >= parts).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    index = index.select("id", "n", "l", "i", first, F.expr(f"substring(n, {start} + 1, {width})").alias("segment"))
+    probe = own.filter(F.col("l") >= parts).withColumnRenamed("l", "own").withColumn("l", F.explode(F.expr(f"sequence(greatest({parts}, own - {most}), own)"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    probe = probe.withColumns({"from": F.expr(f"greatest(0, {start} - i, {start} + own - l - ({most} - i))"), "to": F.expr(f"least(own - {width}, {start} + i, {start} + own - l + ({most} - i))"), "width": F.expr(width)})
+    probe = probe.filter(F.col("from") <= F.col("to")).withColumn("at", F.explode(F.sequence("from", "to"))).select("id", "n", "l", "i", first, F.expr("substring(n, at + 1, width)").alias("segment")).distinct()
+    keys = ["l", "i", "first", "segment"]
+    left = index.select(F.col("id").alias("a"), F.col("n").alias("name_a"), *keys)
+    met = left.join(probe.select(F.col("id").alias("b"), F.col("n").alias("name_b"), *keys), keys).select("a", "name_a", "b", "name_b")
+    short = own.filter(F.col("l") <= most).select(F.col("id").alias("a"), F.col("n").alias("name_a"), first)
+    near_short = own.filter(F.col("l") <= 2 * most).select(F.col("id").alias("b"), F.col("n").alias("name_b"), first)
+    met = met.union(short.join(near_short, "first").select("a", "name_a", "b", "name_b")).filter("a <> b")
+    one, other = F.struct("a", "name_a"), F.struct(F.col("b").alias("a"), F.col("name_b").alias("name_a"))
+    pairs = met.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).distinct()
+    pairs = pairs.select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.name_a").alias("name_a"), F.col("y.name_a").alias("name_b"))
+    return pairs.withColumn("distance", F.levenshtein("name_a", "name_b")).filter(F.col("distance") <= most)
+
+
 def name_likeness(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 

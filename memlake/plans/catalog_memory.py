@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from memlake.operators import consolidation, projections
+from memlake.operators import consolidation, identity, projections, spans
 from memlake.plans.catalog import query, read, stamp
 from memlake.session import shared_dir
 
@@ -78,3 +78,61 @@ def k11_projection_rebuild(spark, d):
     projections.rebuild(events.filter(F.col("ts") < F.lit(BEFORE).cast("timestamp_ntz")), "user_id", build, path)
     projections.rebuild(events, "user_id", build, path)
     return projections.current(spark, path, "user_id").select("user_id", "support", "latest", "fulfilled", "completeness", "truth", "version")
+
+
+# --- lanes, spans, names ----------------------------------------------------------------------------------------------
+
+
+def _told(spark, d):
+    """Turns of conversations, each with what its speaker tells besides; what is told follows from the turn's place."""
+    c, t = F.col("conv_id") % 5, F.col("turn") % 10
+    told = F.concat(
+        F.col("text"), F.lit(" I love tea "), c, F.lit(". We watched Film "), F.col("turn"), F.lit("; Ann Lee called Bob on 2024-01-1"), t,
+        F.when(t % 3 == 0, ", then visited Paris on 12 May 2024").otherwise(" and Cy lives in Rome since 2019"), F.lit("."),
+    )
+    return read(spark, d, "conversations").select("conv_id", "turn", "role", told.alias("told"))
+
+
+TOLD = """s AS (SELECT conv_id, turn, length(text) AS n, ' I love tea ' || conv_id % 5 AS p1, '. We watched Film ' || turn AS p2, '; Ann Lee called Bob on 2024-01-1' || turn % 10 AS p3, CASE WHEN turn % 10 % 3 = 0 THEN ', then visited Paris on 12 May 2024' ELSE ' and Cy lives in Rome since 2019' END AS p4, turn % 10 % 3 = 0 AS trip, text FROM conversations),
+o AS (SELECT *, n + length(p1) AS o2, n + length(p1) + length(p2) AS o3, n + length(p1) + length(p2) + length(p3) AS o4 FROM s)"""
+
+
+@query(f"""WITH {TOLD} SELECT conv_id, turn, 'preference' AS lane, 'likes' AS predicate, NULL AS subject, 'tea ' || conv_id % 5 AS object, NULL AS time_hint, (n + 1)::INT AS starts, o2::INT AS ends FROM o
+UNION ALL SELECT conv_id, turn, 'media', 'watched', NULL, 'Film ' || turn, NULL, (o2 + 5)::INT, o3::INT FROM o UNION ALL SELECT conv_id, turn, 'person_time', 'called', 'Ann Lee', 'Bob', '2024-01-1' || turn % 10, (o3 + 10)::INT, o4::INT FROM o
+UNION ALL SELECT conv_id, turn, 'person_time', 'visited', NULL, 'Paris', '12 May 2024', (o4 + 7)::INT, (o4 + length(p4))::INT FROM o WHERE trip""")
+def t26_typed_lanes(spark, d):
+    return spans.typed_lanes(_told(spark, d), ["conv_id", "turn"], "told")
+
+
+@query(rf"""WITH {TOLD}, f AS (SELECT *, text || p1 || p2 || p3 || p4 || '.' AS told FROM o), m AS (SELECT conv_id, turn, told, unnest(regexp_extract_all(told, '[^.!?
+]+(?:[.!?]+|
+|$)')) AS sentence FROM f)
+SELECT conv_id, turn, 'turn' AS kind, told AS said, 1.0::DOUBLE AS sure FROM f UNION ALL SELECT conv_id, turn, 'sentence', trim(sentence, ' ' || chr(10) || chr(9) || chr(13)), 0.7 FROM m WHERE trim(sentence, ' ' || chr(10) || chr(9) || chr(13)) <> ''
+UNION ALL SELECT conv_id, turn, 'date', '2024-01-1' || turn % 10, 0.78 FROM f UNION ALL SELECT conv_id, turn, 'date', CASE WHEN trip THEN '12 May 2024' ELSE '2019' END, 0.78 FROM f
+UNION ALL SELECT conv_id, turn, CASE WHEN trip THEN 'event' ELSE 'fact' END, CASE WHEN trip THEN substr(p4, 3) ELSE substr(p3, 3) || p4 END, CASE WHEN trip THEN 0.76 ELSE 0.74 END FROM f""")
+def t13_answerable_spans(spark, d):
+    """Spans of five kinds, as the offsets cut them out of the text."""
+    told = _told(spark, d)
+    found = spans.answerable_spans(told, ["conv_id", "turn"], "told").join(told, ["conv_id", "turn"])
+    return found.select("conv_id", "turn", "kind", F.expr("substring(told, starts + 1, ends - starts)").alias("said"), "sure")
+
+
+def _names(spark, d):
+    """Capitalised words of the conversations, as names with numbers that follow from their letters."""
+    words = read(spark, d, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{2,})"), F.lit(1))).alias("name")).distinct()
+    return words.select("name", F.sha2(F.col("name").cast("binary"), 256).alias("id"))
+
+
+def _within(most: int) -> str:
+    return f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]{{2,}}')) AS name FROM conversations), n AS (SELECT sha256(name) AS id, lower(name) AS name FROM w)
+SELECT a.name AS name_a, b.name AS name_b, levenshtein(a.name, b.name)::INT AS distance FROM n a JOIN n b ON a.id < b.id AND left(a.name, 1) = left(b.name, 1) AND abs(length(a.name) - length(b.name)) <= {most} WHERE levenshtein(a.name, b.name) <= {most}"""
+
+
+@query(_within(2))
+def e5_names_within_2(spark, d):
+    return identity.names_within(_names(spark, d), "id", "name", 2).select("name_a", "name_b", "distance")
+
+
+@query(_within(3))
+def e5_names_within_3(spark, d):
+    return identity.names_within(_names(spark, d), "id", "name", 3).select("name_a", "name_b", "distance")
