@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.operators.relational import mirrored, outer_merge, pairs_within, top_per_group
+from memlake.session import stored
 
 
 def climb(edges: DataFrame, child: str, parent: str, hops: int = 6) -> DataFrame:
@@ -103,3 +104,24 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
         frontier = frontier.join(out.select("seed", "node"), ["seed", "node"], "left_anti")
         out = out.unionByName(frontier)
     return out
+
+
+def expand_down(edges: DataFrame, seeds: DataFrame, parent: str, child: str, budget: int, levels: int = 16) -> DataFrame:
+    """seed, node, distance of what lies below each seed of a graph of summaries, nearest first, up to ``budget`` nodes a seed.
+
+    Level by level: the frontier meets the edges, what a seed has seen already (a shared descendant, a cycle) is left out, and of
+    a level that the budget cannot hold the first nodes stay. seeds: seed (the seed is not counted itself).
+    """
+    step = edges.select(F.col(parent).alias("node"), F.col(child).alias("next")).filter("node is not null and next is not null").distinct()
+    seen = stored(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct(), "expanded")
+    frontier = seen
+    for distance in range(1, levels + 1):
+        reached = frontier.join(step, "node").select("seed", F.col("next").alias("node")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        used = seen.groupBy("seed").agg((F.count(F.lit(1)) - 1).alias("used"))
+        nth = F.row_number().over(Window.partitionBy("seed").orderBy("node"))
+        kept = top_per_group(reached, ["seed"], [F.asc("node")], budget).withColumn("nth", nth).join(used, "seed").filter(F.col("nth") + F.col("used") <= budget)
+        frontier = stored(kept.select("seed", "node", F.lit(distance).alias("distance")), "frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.filter("distance > 0")

@@ -17,11 +17,33 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int =
     return out if rank else out.drop(name)
 
 
-def pairs_within(df: DataFrame, group: str, member: str) -> DataFrame:
-    """Distinct unordered member pairs of each group with ``a < b``, by one equi-join on the group."""
-    one = df.select(group, member).distinct()
-    left, right = one.select(group, F.col(member).alias("a")), one.select(group, F.col(member).alias("b"))
-    return left.join(right, group).filter("a < b")
+#: Members of a group that are paired in one task: larger groups are cut into tiles.
+TILE = 2048
+
+
+def pairs_within(df: DataFrame, group: str, member: str, tile: int | None = None) -> DataFrame:
+    """Distinct unordered member pairs of each group with ``a < b``.
+
+    Groups of up to ``tile`` members are one equi-join on the group. The members of larger ones are dealt to tiles of
+    that size, and every two tiles of a group meet under a key of their own, so no task pairs more than ``tile`` with ``tile`` members.
+    """
+    tile = tile or TILE
+    one = stored(df.select(group, member).filter(F.col(group).isNotNull()).distinct(), "members")
+    # a row for each group that is too large for one task
+    large = stored(one.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile).select(group, F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "large-groups")
+    small = one
+    if not large.isEmpty():
+        small = one.join(large, group, "left_anti")
+    left, right = small.select(group, F.col(member).alias("a")), small.select(group, F.col(member).alias("b"))
+    pairs = left.join(right, group).filter("a < b")
+    if large.isEmpty():
+        return pairs
+    dealt = one.join(large, group).withColumn("own", F.pmod(F.xxhash64(member), "tiles").cast("int"))
+    # a pair of tiles is named by the lower and the upper one
+    upper = dealt.select(group, F.col(member).alias("a"), F.col("own").alias("low"), F.explode(F.expr("sequence(own, tiles - 1)")).alias("high"))
+    lower = dealt.select(group, F.col(member).alias("b"), F.explode(F.expr("sequence(0, own)")).alias("low"), F.col("own").alias("high"))
+    met = upper.join(lower, [group, "low", "high"]).filter(F.col("a") != F.col("b")).filter((F.col("low") < F.col("high")) | (F.col("a") < F.col("b")))
+    return pairs.unionByName(met.select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def mirrored(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -76,10 +98,26 @@ def either_side(df: DataFrame, left: str, right: str, ids: DataFrame, id_column:
     return one.unionByName(other)
 
 
+def running_total(df: DataFrame, group: list[str], order: list[Column], size: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``size`` over each group's rows up to this one, in a total order, without putting a group into one task.
+
+    Rows are range-partitioned by group and order and summed inside their part; a group that began in earlier parts starts from
+    its totals there, which is a row for each part at most.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(df.withColumn("own size", size).repartitionByRange(n, *group, *order).withColumn("part", F.spark_partition_id()), "running")
+    totals = placed.groupBy("part", *group).agg(F.sum("own size").alias("total"))
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.withColumn("start", F.sum("total").over(before)).filter("start is not null").select("part", *[F.col(g).alias(f"group {g}") for g in group], "start")
+    same = [placed["part"] == starts["part"], *[placed[g].eqNullSafe(starts[f"group {g}"]) for g in group]]
+    inside = Window.partitionBy(placed["part"], *[placed[g] for g in group]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(F.broadcast(starts), same, "left")
+    return joined.select(*[placed[c] for c in df.columns], (F.sum("own size").over(inside) + F.coalesce("start", F.lit(0))).alias(name))
+
+
 def within_budget(df: DataFrame, group: list[str], order: list[Column], size: Column, budget: int) -> DataFrame:
     """Rows of each group, in order, while their running size stays within the budget."""
-    running = F.sum(size).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("running_size", running).filter(F.col("running_size") <= budget)
+    return running_total(df, group, order, size, "running_size").filter(F.col("running_size") <= budget)
 
 
 def merge_ranked(primary: DataFrame, secondary: DataFrame, key: str, order: list[Column], limit: int) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from memlake.operators import consolidation, identity, projections, spans
+from memlake.operators import consolidation, graph, identity, projections, spans
 from memlake.plans.catalog import query, read, stamp
 from memlake.session import shared_dir
 
@@ -136,3 +136,39 @@ def e5_names_within_2(spark, d):
 @query(_within(3))
 def e5_names_within_3(spark, d):
     return identity.names_within(_names(spark, d), "id", "name", 3).select("name_a", "name_b", "distance")
+
+
+# --- summaries --------------------------------------------------------------------------------------------------------
+
+#: A graph of summaries: all, languages and sources, documents. Documents lie below both, sources below each language that
+#: they have, and one source leads back to the top.
+SUMMARIES = """x AS (SELECT 'all' AS parent, 'lang:' || lang AS child FROM documents UNION SELECT 'all', 'source:' || source FROM documents UNION SELECT 'lang:' || lang, 'source:' || source FROM documents
+UNION SELECT 'lang:' || lang, 'doc:' || doc_id FROM documents UNION SELECT 'source:' || source, 'doc:' || doc_id FROM documents UNION SELECT 'source:' || min(source), 'all' FROM documents),
+s AS (SELECT DISTINCT parent AS seed FROM x), r AS (SELECT seed, seed AS node, 0 AS distance FROM s UNION SELECT r.seed, x.child, distance + 1 FROM r JOIN x ON r.node = x.parent WHERE distance < 6),
+m AS (SELECT seed, node, min(distance)::INT AS distance FROM r GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS nth FROM m WHERE distance > 0)"""
+
+
+def _summaries(spark, d):
+    docs = read(spark, d, "documents")
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    top = F.lit("all")
+    links = [(top, name("lang", "lang")), (top, name("source", "source")), (name("lang", "lang"), name("source", "source")), (name("lang", "lang"), name("doc", "doc_id")), (name("source", "source"), name("doc", "doc_id"))]
+    edges = docs.groupBy().agg(F.concat(F.lit("source:"), F.min("source")).alias("parent")).withColumn("child", top)
+    for parent, child in links:
+        edges = edges.unionByName(docs.select(parent.alias("parent"), child.alias("child")))
+    return edges.distinct()
+
+
+@query(f"WITH RECURSIVE {SUMMARIES} SELECT seed, node, distance FROM k WHERE nth <= 100")
+def r18_deep_read(spark, d):
+    """What a read of each summary opens: nearest first, a hundred nodes, each once though several summaries lead to it."""
+    edges = _summaries(spark, d)
+    return graph.expand_down(edges, edges.select(F.col("parent").alias("seed")).distinct(), "parent", "child", 100)
+
+
+@query(f"WITH RECURSIVE {SUMMARIES} SELECT seed, count(*) AS nodes, count(*) FILTER (WHERE starts_with(node, 'doc:')) AS windows, max(distance)::INT AS depth FROM k GROUP BY 1")
+def r18_source_windows(spark, d):
+    """How many nodes and source windows lie below each summary, and how deep, without a budget that cuts."""
+    edges = _summaries(spark, d)
+    below = graph.expand_down(edges, edges.select(F.col("parent").alias("seed")).distinct(), "parent", "child", 1 << 40)
+    return below.groupBy("seed").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("node").startswith("doc:")).alias("windows"), F.max("distance").alias("depth"))

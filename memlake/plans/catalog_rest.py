@@ -144,8 +144,9 @@ def s2_benchmark_overlap(spark, d):
 
 @query("""WITH s AS (SELECT doc_id, n_chars, source FROM documents), g AS (SELECT source, avg(n_chars) AS mean, stddev_samp(n_chars) AS sd FROM s GROUP BY 1) SELECT doc_id, round((n_chars - mean) / sd, 4) AS z FROM s JOIN g USING (source) WHERE sd > 0 AND abs(n_chars - mean) > 2 * sd""")
 def a15_outliers(spark, d):
-    w = Window.partitionBy("source")
-    s = read(spark, d, "documents").withColumns({"mean": F.avg("n_chars").over(w), "sd": F.stddev_samp("n_chars").over(w)})
+    docs = read(spark, d, "documents").select("doc_id", "source", "n_chars")
+    of_source = docs.groupBy("source").agg(F.avg("n_chars").alias("mean"), F.stddev_samp("n_chars").alias("sd"))
+    s = docs.join(of_source, "source")
     return s.filter("sd > 0 and abs(n_chars - mean) > 2 * sd").select("doc_id", F.round((F.col("n_chars") - F.col("mean")) / F.col("sd"), 4).alias("z"))
 
 
