@@ -1,7 +1,7 @@
 """Operator 5: token counts through a digest cache.
 
 Normalised contents and the tokenizer's version are digested, joined to stored counts, and only distinct contents
-without a count are encoded and appended to the cache. Text is shuffled once, to its row's key, which is never skewed;
+without a count are encoded and appended to the cache. Text is shuffled once, to its row's key; of rows that repeat each task sends one;
 what meets at a hot digest are rows of 50 bytes, in a join that Spark can split.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; rows that repeat are each returned; an empty table gives
@@ -41,7 +41,10 @@ def count_tokens(docs: DataFrame, cache_dir: str, tokenizer: str = "word_bpe_49k
     )
     distinct = digests.groupBy("digest").agg(F.min("row").alias("row"))
     misses = distinct.join(read_cache(spark, cache_dir, version), "digest", "left_anti").hint("shuffle_hash")
-    new = rows.select("row", "text").join(misses, "row").select("digest", "text")
+    texts = rows.select("row", "text")
+    if not common.ids_are_unique(docs):  # rows that repeat have one key, and their text is wanted once
+        texts = texts.groupBy("row").agg(F.first("text").alias("text"))
+    new = texts.join(misses, "row").select("digest", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer)

@@ -519,3 +519,19 @@ def test_packing_keeps_large_ids_beside_a_null(spark):
     ids = [(1 << 60) + 1, (1 << 60) + 3, None]
     docs = spark.createDataFrame([(i, "some words", "en", "s", 10) for i in ids], SCHEMA)
     assert {r.doc_id for r in packing.pack(docs).collect()} == set(ids)
+
+
+def test_each_content_is_encoded_once(spark, library, tmp_path):
+    cache = str(tmp_path / "cache")
+    docs = spark.createDataFrame([(1, "the same row again", "en", "s", 1)] * 500 + [(2, "another", "en", "s", 1), (3, "the same  row again", "en", "s", 1)], SCHEMA).repartition(4)
+    assert {(r.doc_id, r.n_tokens) for r in token_counts.count_tokens(docs, cache).collect()} == {(1, len(library("the same row again"))), (2, len(library("another"))), (3, len(library("the same row again")))}
+    assert spark.read.parquet(cache).count() == 2
+
+
+def test_another_split_pattern_is_left_to_the_library(tmp_path):
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    assert tokens.splits_at_spaces(path)
+    other = tmp_path / "other.json"
+    with open(path, encoding="utf-8") as f:
+        other.write_text(f.read().replace("'s|'t|", "'t|'s|", 1), encoding="utf-8")
+    assert not tokens.splits_at_spaces(str(other))
