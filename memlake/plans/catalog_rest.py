@@ -128,8 +128,12 @@ def s16_artifact_detail(spark, d):
 
 @query(r"""SELECT conv_id, turn, regexp_extract(text, '^\s*(\S+)', 1) AS first_word, CASE WHEN regexp_matches(text, '^\s*(?:[-*]|\d+\.)\s') THEN 'task' WHEN regexp_matches(text, '\b(?:19|20)[0-9]{2}\b') THEN 'dated' ELSE 'note' END AS kind FROM conversations""")
 def t16_task_lines(spark, d):
+    return task_lines(read(spark, d, "conversations"))
+
+
+def task_lines(turns):
     kind = F.when(F.col("text").rlike(r"^\s*(?:[-*]|\d+\.)\s"), "task").when(F.col("text").rlike(scalar.ascii_bounds(r"\b(?:19|20)[0-9]{2}\b")), "dated").otherwise("note")
-    return read(spark, d, "conversations").select("conv_id", "turn", F.regexp_extract("text", r"^\s*(\S+)", 1).alias("first_word"), kind.alias("kind"))
+    return turns.select("conv_id", "turn", F.regexp_extract("text", r"^\s*(\S+)", 1).alias("first_word"), kind.alias("kind"))
 
 
 @query("""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
