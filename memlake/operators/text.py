@@ -12,7 +12,7 @@ from memlake.functions.scalar import ascii_bounds, collapse, sentences
 
 # Cues and stop words that results must share.
 METADATA_LINE = r"^(?i:Captured|Namespace intent|Source channel)\s*:"
-SURPRISE_CUE = r"(?i)\b(?:by the way|anyway|actually|speaking of|on another note)\b"
+SURPRISE_CUE = r"(?i)\b(?:actually|anyway|but|changed|decided|however|instead|later|meanwhile|suddenly|surprised|turns out|unexpectedly)\b"
 NAME_STOP_WORDS = (
     "What", "When", "Where", "Why", "How", "Which", "Who",
     "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memlake.functions import phrases, scalar
 from memlake.operators import identity, lifecycle, relational, retrieval, text
 from memlake.plans.catalog import query, read, stamp
-from memlake.plans.catalog_text import BM25, _index, _rankings
+from memlake.plans.catalog_text import BM25, MMR, _index, _rankings
 from memlake.sources import tables
 
 # --- ingest -----------------------------------------------------------------------------------------------------------
@@ -141,7 +141,7 @@ def r9_pool_fusion(spark, d):
     return _pool(spark, d).select("item_id", "doc_id", "fused", "relevance", "place")
 
 
-@query()
+@query(f"WITH RECURSIVE {POOL.removeprefix('WITH ')}, m AS (SELECT item_id, doc_id, round(fused + structured + overlap, 9)::DOUBLE AS relevance, t AS terms FROM f), {MMR}")
 def r9_pool_rank(spark, d):
     terms = F.array_distinct(F.filter(scalar.tokens(F.col("text"), "[a-z0-9+]+"), lambda t: F.length(t) > 1))
     return retrieval.mmr(_pool(spark, d).withColumn("terms", terms), "item_id", "doc_id", "relevance", "terms")

@@ -76,7 +76,13 @@ def t25_statements(spark, d):
     return extract.statements(read(spark, d, "documents"), "doc_id")
 
 
-@query()
+@query(rf"""WITH RECURSIVE s AS (SELECT doc_id, list_transform({SENTENCES.format('text')}, lambda x: length(x)) AS ls FROM documents),
+c AS (SELECT doc_id, ls, 0 AS i, 0 AS unit, 0 AS first, 0::BIGINT AS size, false AS over, 0 AS u1, 0 AS f1, 0::BIGINT AS s1, false AS fills, 0 AS u2, 0 AS f2, 0::BIGINT AS s2 FROM s WHERE len(ls) > 0 UNION ALL
+SELECT doc_id, ls, i + 1, u2 + fills::INT, CASE WHEN fills THEN i + 1 ELSE f2 END, CASE WHEN fills THEN 0 ELSE s2 END, over, unit, first, size, fills, u2, f2, s2
+FROM (SELECT *, s2 >= 1296 AS fills FROM (SELECT doc_id, ls, i, unit, first, size, over, unit + over::INT AS u2, CASE WHEN over THEN i ELSE first END AS f2, CASE WHEN over THEN ls[i + 1] ELSE grown END AS s2
+FROM (SELECT *, size > 0 AND grown > 1800 AS over FROM (SELECT doc_id, ls, i, unit, first, size, size + (size > 0)::INT + ls[i + 1] AS grown FROM c WHERE i < len(ls)))))),
+e AS (SELECT doc_id, u1 AS unit, f1 AS first_sentence, i - 2 AS last_sentence, s1 AS n_chars FROM c WHERE over UNION ALL SELECT doc_id, u2, f2, i - 1, s2 FROM c WHERE fills UNION ALL SELECT doc_id, unit, first, len(ls) - 1, size FROM c WHERE i = len(ls) AND size > 0)
+SELECT doc_id, unit, first_sentence, last_sentence::INT AS last_sentence, n_chars::INT AS n_chars FROM e""")
 def m25_packed_units(spark, d):
     return text.pack_sentences(read(spark, d, "documents"), "doc_id")
 
@@ -212,7 +218,12 @@ def r17_session_log_score(spark, d):
     return read(spark, d, "events").select("event_id", F.round(readmodels.session_log_score(kind, F.col("value") / 100, F.col("event_id") % 4), 8).alias("score"))
 
 
-@query()
+@query("""WITH b AS (SELECT layer, date_trunc(layer, ts)::DATE AS s, count(*) AS n FROM events, (SELECT unnest(['day', 'week', 'month', 'year']) AS layer) GROUP BY 1, 2),
+n AS (SELECT layer || ':' || strftime(s, '%Y-%m-%d') AS node_id, layer, n AS n_events, s, CASE layer WHEN 'day' THEN s WHEN 'week' THEN (s + INTERVAL 6 DAY)::DATE WHEN 'month' THEN last_day(s) ELSE make_date(year(s), 12, 31) END AS e, CASE layer WHEN 'day' THEN 'week' WHEN 'week' THEN 'month' WHEN 'month' THEN 'year' END AS up FROM b),
+p AS (SELECT n.*, (SELECT q.node_id FROM n q WHERE q.layer = n.up AND q.s <= n.s AND q.e >= n.e ORDER BY q.s DESC, q.e, q.node_id LIMIT 1) AS parent_id FROM n),
+y AS (SELECT * FROM p WHERE layer = 'year' ORDER BY n_events DESC, node_id LIMIT 1), m AS (SELECT * FROM p WHERE layer = 'month' AND parent_id IN (SELECT node_id FROM y) ORDER BY n_events DESC, node_id LIMIT 2), ym AS (SELECT * FROM y UNION ALL SELECT * FROM m),
+w AS (SELECT * FROM p WHERE layer = 'week' AND parent_id IN (SELECT node_id FROM m) AND (SELECT count(*) FROM ym) < 8 ORDER BY n_events DESC, node_id LIMIT 3), ymw AS (SELECT * FROM ym UNION ALL SELECT * FROM w),
+d AS (SELECT * FROM p WHERE layer = 'day' AND parent_id IN (SELECT node_id FROM w) AND (SELECT count(*) FROM ymw) < 8 ORDER BY n_events DESC, node_id LIMIT 4) SELECT node_id, layer, n_events FROM ymw UNION ALL SELECT node_id, layer, n_events FROM d""")
 def r19_summary_descent(spark, d):
     e = read(spark, d, "events")
     tree = temporal.nodes(e, "ts")

@@ -37,7 +37,17 @@ def t3_fragments(spark, d):
     return found.select("doc_id", "scene", "fragment", F.sha2(F.col("fragment_text").cast("binary"), 256).alias("digest"))
 
 
-@query()
+#: White space that ends are trimmed of.
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: A cursor over each trimmed text: the last blank of the next 1200 characters, if beyond 720 of them, else the limit.
+_OVERSIZED = f"""SELECT *, CASE WHEN ltrim(piece, {_WS}) <> '' THEN pos + length(piece) - length(ltrim(piece, {_WS})) END AS a, CASE WHEN ltrim(piece, {_WS}) <> '' THEN pos + length(rtrim(piece, {_WS})) END AS b
+FROM (SELECT *, substring(t, pos + 1, e - pos) AS piece FROM (SELECT *, CASE WHEN hard < n AND blank > pos + 720 THEN blank ELSE hard END AS e
+FROM (SELECT *, pos + length(part) - CASE WHEN contains(part, ' ') THEN strpos(reverse(part), ' ') ELSE length(part) + 1 END AS blank FROM (SELECT *, least(n, pos + 1200) AS hard, substring(t, pos + 1, least(n, pos + 1200) - pos + 1) AS part FROM {{}}))))"""
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, trim(coalesce(text, '')) AS t, length(trim(coalesce(text, '')))::BIGINT AS n, 0::BIGINT AS pos FROM documents),
+c AS ({_OVERSIZED.format("d WHERE n > 0")} UNION ALL {_OVERSIZED.format("(SELECT doc_id, t, n, following AS pos FROM (SELECT *, CASE WHEN b IS NULL THEN e + 1 ELSE n - length(ltrim(substring(t, b + 1), " + _WS + ")) END AS following FROM c) WHERE following < n)")})
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS part, a::INT AS char_start, b::INT AS char_end FROM c WHERE a IS NOT NULL""")
 def t4_oversized_parts(spark, d):
     return text.oversized_parts(read(spark, d, "documents"), "doc_id")
 
@@ -49,7 +59,12 @@ def t9_conversation_units(spark, d):
     return text.conversation_units(read(spark, d, "conversations"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE o AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z0-9][a-z0-9''-]{{2,}})', 1), lambda x: length(x) >= 4)) AS own, regexp_matches(text, '{text.SURPRISE_CUE}') AS cue FROM conversations),
+c AS (SELECT conv_id, i, 0 AS k, turn AS first, turn AS last, 1 AS n, own AS terms, [role] AS who, false AS cut, NULL::BIGINT AS f, NULL::BIGINT AS l, NULL::INT AS m, NULL::VARCHAR[] AS w, NULL::INT AS q FROM o WHERE i = 1 UNION ALL
+SELECT conv_id, i, k + cut::INT, CASE WHEN cut THEN turn ELSE first END, turn, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN own ELSE list_distinct(list_concat(terms, own)) END, CASE WHEN cut THEN [role] ELSE list_distinct(list_append(who, role)) END, cut, first, last, n, who, len(terms)::INT
+FROM (SELECT o.*, c.k, c.first, c.last, c.n, c.terms, c.who, c.n >= 2 AND ((len(c.terms) > 0 AND len(o.own) > 0 AND NOT list_has_any(c.terms, o.own)) OR o.cue) AS cut FROM c JOIN o ON c.conv_id = o.conv_id AND o.i = c.i + 1)),
+z AS (SELECT conv_id, max(i) AS i FROM o GROUP BY 1), e AS (SELECT conv_id, k - 1 AS segment, f AS first_turn, l AS last_turn, m AS n_turns, w, q AS n_terms FROM c WHERE cut UNION ALL SELECT conv_id, k, first, last, n, who, len(terms)::INT FROM c JOIN z USING (conv_id, i) WHERE n >= 2)
+SELECT conv_id, segment, first_turn, last_turn, n_turns, array_to_string(list_sort(w), ',') AS speakers, n_terms FROM e""")
 def t10_topic_segments(spark, d):
     return text.topic_segments(read(spark, d, "conversations"))
 
@@ -181,7 +196,17 @@ def r6_hybrid_score(spark, d):
     return both.select("item_id", "doc_id", F.round(score, 6).alias("score"))
 
 
-@query()
+#: Greedy choice from pools m (item_id, doc_id, relevance, terms): each candidate's likeness to all others as a list, and in each
+#: step the one that gains most beside those chosen.
+MMR = """o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY relevance DESC, doc_id) AS i FROM m),
+h AS (SELECT a.item_id, a.i, a.doc_id, a.relevance, list(CASE WHEN len(a.terms) = 0 OR len(b.terms) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.terms, b.terms))::DOUBLE / len(list_distinct(list_concat(a.terms, b.terms))) END ORDER BY b.i) AS near FROM o a JOIN o b ON a.item_id = b.item_id GROUP BY 1, 2, 3, 4),
+c AS (SELECT item_id, 1 AS rank, [1::BIGINT] AS chosen FROM h WHERE i = 1 UNION ALL
+SELECT item_id, rank + 1, list_append(any_value(chosen), arg_max(i, struct_pack(s := score, n := -i))) FROM (SELECT c.item_id, c.rank, c.chosen, h.i, 0.68::DOUBLE * h.relevance - (1 - 0.68::DOUBLE) * greatest(0.0::DOUBLE, list_max(list_transform(c.chosen, lambda j: h.near[j]))) AS score FROM c JOIN h ON c.item_id = h.item_id AND NOT list_contains(c.chosen, h.i) WHERE c.rank < 10) GROUP BY item_id, rank),
+u AS (SELECT item_id, arg_max(chosen, rank) AS chosen FROM c GROUP BY 1), z AS (SELECT item_id, unnest(chosen) AS i, unnest(range(1, len(chosen) + 1)) AS rank FROM u)
+SELECT z.item_id, h.doc_id, z.rank::INT AS rank FROM z JOIN h ON z.item_id = h.item_id AND z.i = h.i"""
+
+
+@query(f"WITH RECURSIVE {BM25.removeprefix('WITH ')}, m AS (SELECT item_id, doc_id, score AS relevance, list_distinct(t) AS terms FROM lexical JOIN p USING (doc_id) WHERE rank <= 20), {MMR}")
 def r7_mmr(spark, d):
     lexical, _ = _rankings(spark, d)
     pool = lexical.join(read(spark, d, "documents").select("doc_id", F.array_distinct(scalar.tokens(F.col("text"))).alias("terms")), "doc_id")
