@@ -180,10 +180,31 @@ def pack_sentences(docs: DataFrame, key: str, text: str = "text", most: int = 18
             yield pd.DataFrame(rows, columns=[key, "unit", "first_sentence", "last_sentence", "n_chars"])
 
     kind = docs.schema[key].dataType.simpleString()
-    lengths = docs.select(key, F.transform(sentences(F.col(text)), lambda s: F.length(s)).alias("s"))
+    lengths = docs.select(key, F.transform(sentences(F.coalesce(F.col(text), F.lit(""))), lambda s: F.length(s)).alias("s"))
     return lengths.mapInPandas(pack, f"{key} {kind}, unit int, first_sentence int, last_sentence int, n_chars int")
 
 
+def extraction_units(docs: DataFrame, key: str, text: str = "text", most: int = 1800, enough: float = 0.72, overlap: int = 1) -> DataFrame:
+    """key, unit, first_sentence, last_sentence, n_chars, status and content: consecutive sentences up to ``enough`` of ``most`` characters, or
+    before passing it; the next unit begins ``overlap`` sentences before the end. A longer sentence is a unit to be looked at."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, own in zip(pdf[key], pdf["s"], strict=True):
+                first, unit = 0, 0
+                while first < len(own):
+                    size, end = len(own[first]), first + 1
+                    while size < int(most * enough) and end < len(own) and size + 1 + len(own[end]) <= most:
+                        size, end = size + 1 + len(own[end]), end + 1
+                    rows.append((k, unit, first, end - 1, size, "needs_split_review" if size > most else "ready", " ".join(own[first:end])))
+                    first, unit = max(end - overlap, first + 1), unit + 1
+            yield pd.DataFrame(rows, columns=[key, "unit", "first_sentence", "last_sentence", "n_chars", "status", "content"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, sentences(F.coalesce(F.col(text), F.lit(""))).alias("s")).mapInPandas(pack, f"{key} {kind}, unit int, first_sentence int, last_sentence int, n_chars int, status string, content string")
+
+
 def conversation_units(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", size: int = 4, stride: int = 2) -> DataFrame:
     """Windows of ``size`` turns every ``stride``, with at least three turns and two speakers."""
     listed = turns.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(speaker).alias("s")))).alias("all")).filter(F.size("all") >= 3)
