@@ -10,7 +10,7 @@ import re
 from pyspark.sql import functions as F
 
 from memlake.functions import scalar
-from memlake.operators import extract, identity, text
+from memlake.operators import extract, identity, ingest, text
 from memlake.plans import catalog_deep, catalog_more, catalog_rest, catalog_text  # noqa: F401  (their SQL)
 from memlake.plans.catalog import SQL, query, read
 
@@ -99,3 +99,44 @@ def f10_told_questions(spark, d):
 @query(_over("pages", "url", URL, SQL["t28_source_kind"]))
 def t28_told_kinds(spark, d):
     return _told(spark, d, "pages", "url", URL).select("page_id", text.source_kind(F.col("url")).alias("kind"))
+
+
+# --- ingest -----------------------------------------------------------------------------------------------------------
+
+DATED = "coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN ' Seen on 2024-01-1' || (doc_id % 10) || ', and on 2024-02-03.' WHEN 1 THEN chr(10) || chr(10) || 'Nothing dated, but long: ' || repeat('word ', 300) || 'end.' ELSE '' END"
+CAPTURED = "2024-02-01 00:00:00"
+
+
+@query(_over("documents", "text", DATED, f"""WITH f AS (SELECT doc_id, scene, {catalog_text.SENTENCES.format('scene_text')} AS s FROM ({catalog_text.SCENES})), g AS (SELECT doc_id, scene, s, unnest(range(0, ceil(len(s) / 3)::BIGINT)) AS i FROM f), c AS (SELECT doc_id, array_to_string(s[3 * i + 1:3 * i + 3], ' ') AS content FROM g),
+n AS (SELECT doc_id, content, list_min(list_concat(regexp_extract_all(content, '\\b((?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}})\\b'), []::VARCHAR[])) AS day FROM c),
+d AS (SELECT doc_id, count(*) FILTER (WHERE length(content) <= 1200) AS whole, count(*) FILTER (WHERE day IS NOT NULL) AS dated, min(coalesce(day::TIMESTAMP, TIMESTAMP '{CAPTURED}')) AS first_at FROM n GROUP BY 1)
+SELECT t.doc_id, CASE WHEN doc_id % 4 = 1 THEN 4 ELSE 1 END::INT AS version, coalesce(whole, 0) AS whole, coalesce(dated, 0) AS dated, strftime(first_at, '%Y-%m-%d') AS first_day FROM documents t LEFT JOIN d USING (doc_id) WHERE doc_id % 4 <> 0"""))
+def s2_ingest_chain(spark, d):
+    """Documents as files: a quarter is known already, a quarter has an older content. What each new content becomes."""
+    files = _told(spark, d, "documents", "text", DATED).withColumn("uri", F.col("doc_id").cast("string"))
+    same = F.sha2(F.col("text").cast("binary"), 256)
+    ledger = files.filter("doc_id % 4 < 2").select("uri", F.when(F.col("doc_id") % 4 == 0, same).otherwise("older").alias("checksum"), F.when(F.col("doc_id") % 4 == 0, 1).otherwise(3).alias("version"))
+    artifacts, found = ingest.ingested(files, ledger, "uri", "text", F.lit(CAPTURED).cast("timestamp_ntz"))
+    per = found.groupBy("uri", "version").agg(F.count_if((F.col("part") == 0) & ~F.col("split")).alias("whole"), F.count_if("dated").alias("dated"), F.min("occurred_at").alias("first_at"))
+    return artifacts.join(per, ["uri", "version"], "left").select(F.col("uri").cast("long").alias("doc_id"), "version", F.coalesce("whole", F.lit(0)).alias("whole"), F.coalesce("dated", F.lit(0)).alias("dated"), F.date_format("first_at", "yyyy-MM-dd").alias("first_day"))
+
+
+# --- whole tables where the others read a part -----------------------------------------------------------------------
+
+
+@query(rf"SELECT doc_id, unnest(list_distinct(list_transform(list_filter(regexp_extract_all(text, '(\b[A-Z][a-z]+\b)', 1), lambda x: x NOT IN ({catalog_text.STOP})), lambda x: lower(x)))) AS name FROM documents")
+def t20_all_names(spark, d):
+    """Capitalised names of the documents of every language."""
+    return read(spark, d, "documents").select("doc_id", F.explode(text.capitalized_names(F.col("text"))).alias("name"))
+
+
+SPOKEN = r"trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))"
+
+
+@query(rf"""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS nth, upper(left(role, 1)) || substr(role, 2) AS speaker, length({SPOKEN})::INT AS n_chars, sha256({SPOKEN}) AS digest FROM conversations WHERE {SPOKEN} <> ''""")
+def t8_whole_turns(spark, d):
+    """Turns read back from a script of each conversation, with all that was said."""
+    said = F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " "))
+    lines = read(spark, d, "conversations").withColumn("line", F.concat(F.initcap("role"), F.lit(": "), said)).filter(F.length(said) > 0)
+    scripts = lines.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x.line), "\n").alias("text"))
+    return extract.speaker_turns(scripts, "conv_id").select("conv_id", F.col("turn").alias("nth"), "speaker", F.length("text").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
