@@ -159,5 +159,6 @@ class LexicalIndex:
     def search(self, units: DataFrame, asked: DataFrame, query_key: str, text: str = "text", query_text: str = "text", owner: str | None = None, hints: str | None = None, k: int = 10) -> DataFrame:
         """What ``retrieval.lexical_search`` gives for web-style queries over the indexed units."""
         wanted = retrieval.alternatives(asked, query_key, query_text).withColumnRenamed(query_key, "query")
-        met = self.having_all(wanted).withColumnRenamed("key", self.key).withColumnRenamed("query", query_key)
+        # read twice below: by what needs a look at the texts, and by what does not
+        met = stored(self.having_all(wanted), "met").withColumnRenamed("key", self.key).withColumnRenamed("query", query_key)
         return retrieval.best_hits(units, asked, met, wanted.withColumnRenamed("query", query_key), self.key, query_key, text, owner, hints, k)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import scalar
 from memlake.operators import extract, identity, ingest, text
-from memlake.plans import catalog_deep, catalog_more, catalog_rest, catalog_text  # noqa: F401  (their SQL)
+from memlake.plans import catalog_deep, catalog_more, catalog_rest, catalog_text, planner  # noqa: F401  (their SQL)
 from memlake.plans.catalog import SQL, query, read
 
 DOCUMENT = """CASE doc_id % 12
@@ -140,3 +140,29 @@ def t8_whole_turns(spark, d):
     lines = read(spark, d, "conversations").withColumn("line", F.concat(F.initcap("role"), F.lit(": "), said)).filter(F.length(said) > 0)
     scripts = lines.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x.line), "\n").alias("text"))
     return extract.speaker_turns(scripts, "conv_id").select("conv_id", F.col("turn").alias("nth"), "speaker", F.length("text").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+# --- plans ------------------------------------------------------------------------------------------------------------
+
+QUESTIONS = (
+    "What happened yesterday?", "What did we do last week?", "Where was I in March 2024?", "Notes two weeks after January 5, 2024", "What happened since 2023?", "Why did the build fail?",
+    "Who is connected to Anna?", "When was the parser released?", "three months ago", "last weekend plans", "what was I doing around then", "favourite editor",
+)
+#: Of each question: start, end, granularity, class, intent, hops, candidates, weights, layers, terms.
+PLANS = """(0, d - 1, d, 'day', 'temporal_summary', 'complex', 1, 4, 1.35, 1.05, 'day,week,month', ''), (1, w - 7, w, 'broad', 'temporal_summary', 'complex', 1, 6, 1.05, 1.3, 'year,month,week,day', ''),
+(2, DATE '2024-03-01', DATE '2024-04-01', 'month', 'temporal_summary', 'complex', 1, 4, 1.35, 1.05, 'month,week,day', ''), (3, DATE '2024-01-19', DATE '2024-01-20', 'day', 'temporal_summary', 'complex', 1, 4, 1.35, 1.05, 'day,week,month', 'Notes'),
+(4, DATE '2023-01-01', ts, 'broad', 'temporal_summary', 'complex', 1, 6, 1.05, 1.3, 'year,month,week,day', ''), (5, NULL, NULL, 'none', 'causal', 'complex', 2, 4, 1.0, 1.0, 'week,day', 'build,fail'),
+(6, NULL, NULL, 'none', 'graph_multi_hop', 'complex', 3, 4, 1.0, 1.0, 'week,day', 'Anna,connected'), (7, NULL, NULL, 'none', 'temporal_detail', 'complex', 1, 4, 1.0, 1.0, 'week,day', 'parser,released'),
+(8, date_trunc('month', d - INTERVAL 3 MONTH), date_trunc('month', d - INTERVAL 3 MONTH) + INTERVAL 1 MONTH, 'month', 'temporal_summary', 'complex', 1, 4, 1.35, 1.05, 'month,week,day', ''),
+(9, w - 2, w, 'broad', 'temporal_summary', 'complex', 1, 6, 1.05, 1.3, 'year,month,week,day', 'plan,plans,planning,going to,will'), (10, NULL, NULL, 'none', 'direct_fact', 'hybrid', 1, 5, 1.2, 1.15, 'week,day', 'doing,around,then'),
+(11, NULL, NULL, 'none', 'direct_fact', 'simple', 1, 4, 1.0, 1.0, '', 'favourite,editor')"""
+
+
+@query(f"""WITH e AS (SELECT event_id, ts, ts::DATE AS d, date_trunc('week', ts)::DATE AS w FROM events) SELECT event_id, strftime(p.s::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS starts, strftime(p.e::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS ends, granularity, kind, intent, hops::INT AS hops, candidates::INT AS candidates, row_weight::DOUBLE AS row_weight, summary_weight::DOUBLE AS summary_weight, layers, terms
+FROM e, LATERAL (SELECT * FROM (VALUES {PLANS}) AS v(n, s, e, granularity, kind, intent, hops, candidates, row_weight, summary_weight, layers, terms) WHERE n = event_id % 12) p""")
+def p1_planned_questions(spark, d):
+    """A question for each event, asked when it happened: its time window, class, intent, limits and terms."""
+    asked = read(spark, d, "events").withColumn("question", F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.col("event_id") % 12 + 1).cast("int")))
+    made = planner.planned(asked, ["event_id"], "question", "ts")
+    moment = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return made.select("event_id", moment("starts"), moment("ends"), "granularity", "kind", "intent", "hops", "candidates", "row_weight", "summary_weight", F.array_join("layers", ",").alias("layers"), F.array_join("terms", ",").alias("terms"))
