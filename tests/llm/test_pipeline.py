@@ -39,4 +39,4 @@ def test_stages_take_effect(spark, stages):
 
 
 def test_queries_are_registered(spark):
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
