@@ -40,13 +40,18 @@ def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, "section", F.nullif(F.trim(heading), F.lit("")).alias("heading"), F.length(F.regexp_extract("part", "^#{0,6}", 0)).alias("level"), F.trim(F.regexp_replace("part", r"^#{1,6} [^\n]*\n?", "")).alias("body"))
 
 
-def explicit_dates(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """ISO dates and month-day-year dates of a text, as dates; what is no day is dropped."""
+def dates_in(text: Column) -> Column:
+    """Array of the ISO dates and month-day-year dates of a text; what is no day is dropped."""
     iso = F.regexp_extract_all(text, F.lit(ascii_bounds(r"\b((?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})\b")), F.lit(1))
     named = F.regexp_extract_all(F.lower(text), F.lit(ascii_bounds(rf"\b((?:{MONTH_NAMES}) [0-9]{{1,2}},? (?:19|20)[0-9]{{2}})\b")), F.lit(1))
     iso_day = F.transform(iso, lambda x: F.try_to_timestamp(x, F.lit("yyyy-MM-dd")).cast("date"))
     named_day = F.transform(named, lambda x: F.try_to_timestamp(F.initcap(F.regexp_replace(x, ",", "")), F.lit("MMMM d yyyy")).cast("date"))
-    return docs.select(key, F.explode(F.array_distinct(F.array_compact(F.concat(iso_day, named_day)))).alias("day"))
+    return F.array_distinct(F.array_compact(F.concat(iso_day, named_day)))
+
+
+def explicit_dates(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """A row for each date that a text names (see ``dates_in``)."""
+    return docs.select(key, F.explode(dates_in(F.col(text))).alias("day"))
 
 
 def statements(docs: DataFrame, key: str, text: str = "text", families: dict[str, str] = STATEMENTS) -> DataFrame:

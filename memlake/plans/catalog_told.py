@@ -117,7 +117,9 @@ def s2_ingest_chain(spark, d):
     same = F.sha2(F.col("text").cast("binary"), 256)
     ledger = files.filter("doc_id % 4 < 2").select("uri", F.when(F.col("doc_id") % 4 == 0, same).otherwise("older").alias("checksum"), F.when(F.col("doc_id") % 4 == 0, 1).otherwise(3).alias("version"))
     artifacts, found = ingest.ingested(files, ledger, "uri", "text", F.lit(CAPTURED).cast("timestamp_ntz"))
-    per = found.groupBy("uri", "version").agg(F.count_if((F.col("part") == 0) & ~F.col("split")).alias("whole"), F.count_if("dated").alias("dated"), F.min("occurred_at").alias("first_at"))
+    # parts of a fragment share its day; each fragment has one first part
+    first = F.min(F.coalesce(F.col("fragment_day").cast("timestamp_ntz"), F.col("occurred_at")))
+    per = found.groupBy("uri", "version").agg(F.count_if((F.col("part") == 0) & ~F.col("split")).alias("whole"), F.count_if((F.col("part") == 0) & F.col("dated")).alias("dated"), first.alias("first_at"))
     return artifacts.join(per, ["uri", "version"], "left").select(F.col("uri").cast("long").alias("doc_id"), "version", F.coalesce("whole", F.lit(0)).alias("whole"), F.coalesce("dated", F.lit(0)).alias("dated"), F.date_format("first_at", "yyyy-MM-dd").alias("first_day"))
 
 

@@ -28,3 +28,11 @@ def test_words_beside_letters_with_marks(spark, tmp_path, name):
 def test_licences_beside_letters_with_marks(spark, tmp_path):
     got, want = both(spark, tmp_path, "f4_regex_words", "documents", [(1, "élicense"), (2, "sublicense"), (3, "copyrightö")], "doc_id long, text string")
     assert got == want == [(1,), (3,)]
+
+
+def test_dates_in_both_parts_of_a_cut_fragment(spark, tmp_path):
+    """Both dates that the query adds fall into different parts, a cut parts a date, and a file is dated after its capture only."""
+    rows = [(3, "word " * 236 + "end"), (6, "w" * 1187), (2, "On 2024-05-06 it was. " + "word " * 400), (9, "Short.")]
+    rows = [(i, t, "en", "s", len(t)) for i, t in rows]
+    got, want = both(spark, tmp_path, "s2_ingest_chain", "documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert got == want
