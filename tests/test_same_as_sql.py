@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__  # noqa: F401  (registers the queries)
+from memlake.operators import text
 from memlake.plans import catalog
 
 
@@ -36,3 +37,10 @@ def test_dates_in_both_parts_of_a_cut_fragment(spark, tmp_path):
     rows = [(i, t, "en", "s", len(t)) for i, t in rows]
     got, want = both(spark, tmp_path, "s2_ingest_chain", "documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert got == want
+
+
+def test_budget_parts_keep_their_letters(spark):
+    """The SQL of t5_budget_parts takes the letter v for a blank (DuckDB knows no escape of that letter); the query must not."""
+    docs = spark.createDataFrame([(1, "vec " * 400), (2, "\v\vvv\v")], "id long, text string")
+    got = {(r.id, r.part): (r.char_start, r.char_end) for r in text.budget_parts(docs, "id", most=1200).collect()}
+    assert got == {(1, 0): (0, 1199), (1, 1): (1200, 1599), (2, 0): (2, 4)}
