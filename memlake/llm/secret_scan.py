@@ -2,9 +2,10 @@
 
 One pass over the texts applies the base rules and cuts out the candidates: runs of eight and more value characters that hold
 a digit, change from lower to upper case or have twenty characters, each with the characters around it. What the base rules
-found labels the candidates that it overlaps; distinct candidates of a bounded sample train the network (embedded characters that know
+found labels the candidates that it overlaps; the distinct candidates of two folds of three train the network (embedded characters that know
 whether they lie inside the candidate, one convolution, the largest and the mean of each filter, a logistic output),
-once with and once without their context. Another fold calibrates its output (Platt) and gives each shape of candidate the
+once with and once without their context. They are dealt to shards; in each round every shard trains the network on all of its own, and the
+shards' networks are averaged. The third fold, counted whole by output, calibrates it (Platt) and gives each shape of candidate the
 threshold that still finds ``recall`` of the labelled secrets, one half at most. Every candidate of every document is scored over its whole
 length; those at or over the threshold that no base span overlaps are added as kind ``model``. Base spans stay whatever the network says.
 
@@ -21,14 +22,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import common, words
 
-#: Distinct labelled candidates of either label that each fold uses at most.
+#: Distinct labelled candidates of either label that one task trains on; more are more tasks, and none is left out.
 SAMPLE = 3000
+#: Times that the shards' networks are averaged; training steps in all are ``_STEPS`` at least.
+ROUNDS, _STEPS = 4, 240
+#: Calibration counts candidates by output in steps of this fraction, from -_FAR to _FAR.
+_FINE, _FAR = 1000, 60
+#: Parameters are averaged as multiples of this fraction, so that their sum has no order.
+_GRID = 1 << 32
 #: Share of the labelled secrets that a threshold must keep.
 RECALL = 0.98
 #: Characters of context on either side.
@@ -139,7 +147,15 @@ class Network:
         return np.concatenate([most, total / np.array([max(1, len(r)) for r in regions]).reshape(-1, 1)], axis=1)
 
     def logits(self, regions: list[np.ndarray]) -> np.ndarray:
-        return self.pooled(regions) @ self.out + self.shift if regions else np.zeros(0)
+        # rounded, so that it does not depend on what else is in the batch
+        return np.round(self.pooled(regions) @ self.out + self.shift, 9) if regions else np.zeros(0)
+
+    def values(self) -> list[np.ndarray]:
+        return [self.embed, self.filters, self.bias, self.out, self.shift]
+
+    def with_values(self, flat: np.ndarray) -> Network:
+        ends = np.cumsum([v.size for v in self.values()])
+        return Network(*[part.reshape(v.shape) for part, v in zip(np.split(flat, ends[:-1]), self.values(), strict=True)])
 
     def chances(self, regions: list[np.ndarray]) -> np.ndarray:
         a, b = self.calibration
@@ -174,40 +190,43 @@ class Network:
         return [d_embed, (x.T @ d).reshape(self.filters.shape), d.sum(axis=0), pooled.T @ error, error.sum(keepdims=True)]
 
 
-def train(regions: list[np.ndarray], labels: np.ndarray, steps: int = 240, batch: int = 128, rate: float = 0.01, seed: int = 12) -> Network:
-    """A network fitted by Adam on batches that hold as many secrets as others."""
-    net, rng = Network.new(), np.random.default_rng(seed)
+def train(net: Network, regions: list[np.ndarray], labels: np.ndarray, least: int, batch: int = 128, rate: float = 0.01, seed: int = 12) -> None:
+    """Fits the network by Adam on batches that hold as many secrets as others; every region is used, once or more."""
+    rng, half = np.random.default_rng(seed), batch // 2
     regions = [r[:_TRAINED] for r in regions]
     of = [np.flatnonzero(labels == 0), np.flatnonzero(labels == 1)]
-    values = [net.embed, net.filters, net.bias, net.out, net.shift]
+    steps = max(least, *[-(-len(x) // half) for x in of])
+    order = [np.concatenate([rng.permutation(x) for _ in range(-(-steps * half // len(x)))]) for x in of]
+    values = net.values()
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     for step in range(1, steps + 1):
-        some = np.concatenate([rng.choice(x, batch // 2) for x in of])
+        some = np.concatenate([x[(step - 1) * half : step * half] for x in order])
         for v, g, m, s in zip(values, net.gradients([regions[i] for i in some], labels[some], np.full(len(some), 1 / len(some))), first, second, strict=True):
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
             v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return net
 
 
-def calibrated(net: Network, regions: list[np.ndarray], labels: np.ndarray, shapes: np.ndarray, recall: float) -> Network:
-    """Platt's line through the logits, by Newton's steps, and the thresholds."""
-    logit, line = net.logits(regions), np.zeros(2)
+def calibrated(net: Network, logit: np.ndarray, counts: np.ndarray, labels: np.ndarray, shapes: np.ndarray, recall: float) -> Network:
+    """Platt's line through the logits, by Newton's steps, and the thresholds; a row stands for ``counts`` candidates."""
+    line = np.zeros(2)
     x = np.stack([logit, np.ones(len(logit))], axis=1)
-    n1 = labels.sum()
-    wanted = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (len(labels) - n1 + 2))
+    n1, n = counts[labels == 1].sum(), counts.sum()
+    wanted = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n - n1 + 2))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ line, -60, 60)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - wanted))
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (counts * (p - wanted)))
         line -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
     net.calibration = (float(line[0]), float(line[1]))
-    chance = net.chances(regions)
+    chance = 1 / (1 + np.exp(-np.clip(x @ line, -60, 60)))
 
     def keeps(which: np.ndarray) -> float:
-        own = np.sort(chance[which & (labels == 1)])
-        return float(min(0.5, own[int((1 - recall) * len(own))])) if len(own) else 1.1
+        own = np.flatnonzero(which & (labels == 1))
+        own = own[np.argsort(chance[own], kind="stable")]
+        upto = np.cumsum(counts[own])
+        return float(min(0.5, chance[own[np.searchsorted(upto, int((1 - recall) * upto[-1]), "right")]])) if len(own) else 1.1
 
     overall = keeps(np.ones(len(labels), bool))
     # a shape of which no secret is known has the threshold of all
@@ -237,29 +256,77 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).mapInArrow(work, _SCANNED)
 
 
-def fitted(scanned: DataFrame, sample: int, recall: float) -> Network | None:
-    """The network trained and calibrated on distinct labelled candidates; None where a fold lacks either label."""
+def labelled(scanned: DataFrame) -> DataFrame:
+    """region, lead, size, secret, fold (0 and 1 train, 2 calibrates) of the distinct candidates."""
     c = scanned.select(F.explode("candidates").alias("c")).select("c.region", "c.lead", (F.col("c.end") - F.col("c.start")).alias("size"), "c.secret").distinct()
-    folded = c.withColumn("order", F.xxhash64("region", "lead", "size", F.lit(21))).withColumn("fold", F.pmod(F.xxhash64("region", F.lit(22)), F.lit(3)))
-    found = []
-    for own in ("fold < 2", "fold = 2"):
-        rows = [r for secret in (False, True) for r in folded.filter(own).filter(F.col("secret") == secret).orderBy("order", "region", "lead", "size").limit(sample).collect()]
-        if len({r.secret for r in rows}) < 2:
-            return None
-        found.append(rows)
-    whole = lambda rows: [symbols(r.region, r.lead, r.size) for r in rows]
-    # once more with a context of unknown characters
-    bare = lambda rows: [np.where(s > _OTHER, s, _OTHER) for s in whole(rows)]
-    labels = lambda rows: np.array([float(r.secret) for r in rows])
-    net = train(whole(found[0]) + bare(found[0]), np.tile(labels(found[0]), 2))
-    shapes = np.array([shape_of(r.region[r.lead : r.lead + r.size]) for r in found[1]])
-    return calibrated(net, whole(found[1]), labels(found[1]), shapes, recall)
-
-
-def find(docs: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+    return c.withColumn("fold", F.pmod(F.xxhash64("region", F.lit(22)), F.lit(3)).cast("int"))
+
+
+def dealt(rows: DataFrame, n: dict[bool, int], shard: int) -> DataFrame:
+    """Each label's candidates in parts of about ``shard``; every part of the more frequent label meets one of the other, and no part is left out."""
+    parts = {secret: -(-many // shard) for secret, many in n.items()}
+    own = F.when(F.col("secret"), parts[True]).otherwise(parts[False])
+    first = F.pmod(F.xxhash64("region", "lead", "size", F.lit(21)), own)
+    placed = rows.select("*", F.explode(F.sequence(first, F.lit(max(parts.values()) - 1).cast("long"), own.cast("long"))).alias("shard"))
+    # training looks at no more of a region
+    return placed.withColumn("region", F.substring("region", 1, _TRAINED))
+
+
+def _numbers(region: list[str], lead: list[int], size: list[int]) -> list[np.ndarray]:
+    return [symbols(r, at, n) for r, at, n in zip(region, lead, size, strict=True)]
+
+
+def trained(shards: DataFrame) -> Network:
+    """The network after all rounds. A task holds one shard; a row for each parameter comes back."""
+    net = Network.new()
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["secret", "region", "lead", "size"])
+        labels = pdf["secret"].to_numpy(float)
+        if 0 < labels.sum() < len(labels):
+            own = Network(*[v.copy() for v in net.values()])
+            whole = _numbers(pdf["region"], pdf["lead"], pdf["size"])
+            # once more with a context of unknown characters
+            train(own, whole + [np.where(s > _OTHER, s, _OTHER) for s in whole], np.tile(labels, 2), -(-_STEPS // ROUNDS), seed=12 + at)
+            flat = np.concatenate([v.reshape(-1) for v in own.values()])
+            return pd.DataFrame({"place": np.arange(len(flat)), "value": np.round(flat * _GRID).astype(np.int64)})
+        return pd.DataFrame({"place": np.zeros(0, np.int64), "value": np.zeros(0, np.int64)})
+
+    for at in range(ROUNDS):
+        found = shards.groupBy("shard").applyInPandas(work, "place long, value long").groupBy("place").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n")).sort("place").collect()
+        if found:
+            net = net.with_values(np.array([r.value / r.n / _GRID for r in found]))
+    return net
+
+
+def counted(rows: DataFrame, net: Network) -> DataFrame:
+    """output (in steps of 1 / _FINE), shape, secret and n of the candidates: a bounded table, however many there are."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            logit = np.clip(net.logits(_numbers(pdf["region"], pdf["lead"], pdf["size"])), -_FAR, _FAR)
+            shapes = [shape_of(r[at : at + n]) for r, at, n in zip(pdf["region"], pdf["lead"], pdf["size"], strict=True)]
+            yield pd.DataFrame({"output": np.floor(logit * _FINE).astype(np.int64), "shape": np.array(shapes, np.int64), "secret": pdf["secret"]})
+
+    return rows.mapInPandas(work, "output long, shape long, secret boolean").groupBy("output", "shape", "secret").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fitted(scanned: DataFrame, shard: int, recall: float) -> Network | None:
+    """The network trained and calibrated on all distinct labelled candidates; None where a fold lacks either label."""
+    c = common.stored(labelled(scanned), "secrets-labelled")
+    n = {(r.training, r.secret): r.n for r in c.groupBy((F.col("fold") < 2).alias("training"), "secret").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 4:
+        return None
+    net = trained(dealt(c.filter("fold < 2"), {secret: n[True, secret] for secret in (False, True)}, shard))
+    bins = counted(c.filter("fold = 2"), net).sort("output", "shape", "secret").collect()
+    column = lambda name: np.array([r[name] for r in bins], float)
+    return calibrated(net, column("output") / _FINE, column("n"), column("secret"), column("shape"), recall)
+
+
+def find(docs: DataFrame, shard: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_model of every document."""
     scanned = common.stored(scan(docs), "secrets-scanned")
-    net = fitted(scanned, sample, recall)
+    net = fitted(scanned, shard, recall)
     shared = scanned.sparkSession.sparkContext.broadcast(net)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
