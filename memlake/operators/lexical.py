@@ -38,19 +38,23 @@ def build(docs: DataFrame, key: str, text: str, path: str) -> None:
     stats: n_docs, avg_dl. ``part`` is BM25's weight without the term's idf. A null text has no terms.
     """
     spark = docs.sparkSession
-    listed = retrieval.listed_terms(docs, key, text)
-    size = listed.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    # counted where the texts lie: totals need no exchange
+    size = docs.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
     total = size.first()
-    one = retrieval.postings(docs, key, text)
-    # documents whose most frequent word is the same, then those of similar length, lie side by side
-    like = one.groupBy(key).agg(F.max_by("term", F.struct("tf", "term")).alias("lead"), F.first("dl").alias("dl"))
-    ordered = like.repartitionByRange("lead", "dl", key).sortWithinPartitions("lead", "dl", key).select(key, F.monotonically_increasing_id().alias("place"))
-    # stored, as a place must not change when a task runs again
-    placed = one.join(stored(ordered, "lexical-places"), key)
-    block = F.floor(F.col("place") / BLOCK)
+    # a row for each document until blocks are made: its terms travel together
+    one = retrieval.postings(docs, key, text).groupBy(key).agg(
+        F.max_by("term", F.struct("tf", "term")).alias("lead"), F.first("dl").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("terms")
+    )
+    one = stored(one, "lexical-documents")
+    # documents whose most frequent word is the same, then those of similar length, lie side by side; a part holds whole blocks, and
+    # what is written is read again, as a place must not change when a task runs again
+    ordered = one.repartitionByRange("lead", "dl", key).sortWithinPartitions("lead", "dl", key)
+    placed = stored(ordered.select(key, "dl", F.monotonically_increasing_id().alias("place"), "terms"), "lexical-places")
+    placed = placed.select(key, "dl", F.floor(F.col("place") / BLOCK).alias("block"), F.explode("terms").alias("t")).select(key, "dl", "block", "t.term", "t.tf")
     length = 1 - retrieval.BM25_B + retrieval.BM25_B * F.col("dl") / F.lit(float(total.avg_dl or 1))
     part = F.col("tf") * (retrieval.BM25_K1 + 1) / (F.col("tf") + retrieval.BM25_K1 * length)
-    grouped = placed.withColumn("block", block).withColumn("part", part).groupBy("term", "block").agg(
+    # a block's documents are in one part, so most of its lists are whole before they are exchanged
+    grouped = placed.withColumn("part", part).groupBy("term", "block").agg(
         F.count(F.lit(1)).alias("n"), F.max("part").alias("bound"), F.collect_list(F.struct(F.col(key).alias("key"), "tf", "dl", "part")).alias("postings")
     )
     # terms side by side in a file, so that its statistics tell which terms it holds
@@ -62,7 +66,7 @@ def build(docs: DataFrame, key: str, text: str, path: str) -> None:
     frequent = spark.read.parquet(f"{path}/terms").filter(F.col("df") > CHAMPIONS).select("term")
     each = blocks.join(frequent, "term", "left_semi").select("term", F.explode("postings").alias("p")).select("term", "p.key", "p.part")
     top_per_group(each, ["term"], [F.desc("part"), F.asc("key")], CHAMPIONS).sort("term").write.parquet(f"{path}/champions")
-    size.write.parquet(f"{path}/stats")
+    spark.createDataFrame([total], size.schema).write.parquet(f"{path}/stats")  # one row
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -123,7 +127,7 @@ class LexicalIndex:
         # what the terms that can't reach the threshold together may add to a document that has another term
         rest = F.coalesce(F.max(F.when(F.col("upto") < F.col("least"), F.col("upto"))).over(Window.partitionBy("query")), F.lit(0.0))
         needed = known.withColumn("rest", rest).filter(F.col("upto") >= F.col("least")).select("query", "term", "idf", "least", "rest")
-        met = needed.join(self.blocks.select("term", "block", "bound"), "term")
+        met = needed.join(self.blocks.select("term", "block", "bound").join(asked.select("term"), "term", "left_semi"), "term")
         reach = met.groupBy("query", "block").agg(F.sum(F.col("idf") * F.col("bound")).alias("reach"), F.first("least").alias("least"), F.first("rest").alias("rest"))
         return reach.filter(F.col("reach") + F.col("rest") >= F.col("least")).select("query", "block")
 
@@ -131,10 +135,13 @@ class LexicalIndex:
         """The k best documents of each query, with score and rank; k is at most CHAMPIONS for blocks to be skipped."""
         asked = self.asked(queries, query_key, query_text)
         wanted = stored(self.candidates(asked, k), "candidates").join(asked.select("query", "term", "idf"), "query")
-        met = wanted.join(self.blocks.select("term", "block", "postings"), ["term", "block"]).select("query", "idf", F.explode("postings").alias("p"))
+        # only blocks of asked terms are exchanged
+        blocks = self.blocks.select("term", "block", "postings").join(asked.select("term"), "term", "left_semi")
+        met = wanted.join(blocks, ["term", "block"]).select("query", "idf", F.explode("postings").alias("p"))
         scored = met.groupBy("query", F.col("p.key").alias("key")).agg(F.round(F.sum(F.col("idf") * F.col("p.part")), 6).alias("score"))
         best = top_per_group(scored, ["query"], [F.desc("score"), F.asc("key")], k, "rank")
-        return best.select(F.col("query").alias(query_key), F.col("key").alias(self.key), "score", "rank")
+        # a ranking is read more than once, and joined to whole tables: of known size, it is broadcast where it is small
+        return stored(best.select(F.col("query").alias(query_key), F.col("key").alias(self.key), "score", "rank"), "ranked")
 
     def having_all(self, wanted: DataFrame) -> DataFrame:
         """query, alternative, key, tf, dl of the documents with all of an alternative's ``must`` terms and none of its ``nots``.
@@ -149,11 +156,13 @@ class LexicalIndex:
         lead = must.filter("nth = 1").join(self.blocks.select("term", "block", "postings"), "term").select("query", "alternative", "n", "block", "postings")
         pairs = lead.select("query", "alternative", "block", F.transform("postings", lambda p: p.key).alias("keys"))
         among = lambda postings: F.filter(postings, lambda p: F.array_contains(F.col("keys"), p.key))
-        others = must.filter("nth > 1").join(pairs, ["query", "alternative"]).join(self.blocks.select("term", "block", "postings"), ["term", "block"])
+        blocks = self.blocks.select("term", "block", "postings")
+        # only blocks of asked terms are exchanged
+        others = must.filter("nth > 1").join(pairs, ["query", "alternative"]).join(blocks.join(must.select("term"), "term", "left_semi"), ["term", "block"])
         rows = lead.select("query", "alternative", "n", F.explode("postings").alias("p")).union(others.select("query", "alternative", "n", F.explode(among(F.col("postings")))))
         met = rows.groupBy("query", "alternative", F.col("p.key").alias("key")).agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("found"), F.sum("p.tf").alias("tf"), F.first("p.dl").alias("dl"))
-        without = stored(wanted.select("query", "alternative", F.explode("nots").alias("term")), "nots").join(pairs, ["query", "alternative"])
-        without = without.join(self.blocks.select("term", "block", "postings"), ["term", "block"]).select("query", "alternative", F.explode(among(F.col("postings"))).alias("p"))
+        nots = stored(wanted.select("query", "alternative", F.explode("nots").alias("term")), "nots")
+        without = nots.join(pairs, ["query", "alternative"]).join(blocks.join(nots.select("term"), "term", "left_semi"), ["term", "block"]).select("query", "alternative", F.explode(among(F.col("postings"))).alias("p"))
         return met.filter("found = n").join(without.select("query", "alternative", "p.key"), ["query", "alternative", "key"], "left_anti").select("query", "alternative", "key", "tf", "dl")
 
     def search(self, units: DataFrame, asked: DataFrame, query_key: str, text: str = "text", query_text: str = "text", owner: str | None = None, hints: str | None = None, k: int = 10) -> DataFrame:
