@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.operators.relational import mirrored, outer_merge, pairs_within, top_per_group
+from memlake.operators.relational import mirrored, pair_counts, pairs_within, top_per_group
 from memlake.session import stored
 
 
@@ -57,14 +57,10 @@ def correlation(accepted: Column, events: Column, scenes: Column) -> Column:
     return F.least(F.lit(1.0), F.round(exact, 3).cast("double"))
 
 
-def priors(event_members: DataFrame, scene_pairs: DataFrame, accepted_pairs: DataFrame, event: str, member: str) -> DataFrame:
-    """Co-occurrence evidence of each pair from three sources, with its correlation. The pair frames have a < b."""
-    a_b = ["a", "b"]
-    events = pairs_within(event_members, event, member).groupBy(*a_b).agg(F.count(F.lit(1)).alias("events"))
-    scenes = scene_pairs.groupBy(*a_b).agg(F.countDistinct("scene").alias("scenes"))
-    accepted = accepted_pairs.groupBy(*a_b).agg(F.count(F.lit(1)).alias("accepted"))
-    merged = outer_merge([events, scenes, accepted], a_b).na.fill(0, ["events", "scenes", "accepted"])
-    return merged.withColumn("correlation", correlation(F.col("accepted"), F.col("events"), F.col("scenes")))
+def priors(events: tuple[DataFrame, str, str], scenes: tuple[DataFrame, str, str], accepted: tuple[DataFrame, str, str]) -> DataFrame:
+    """Co-occurrence evidence of each pair from three sources, with its correlation. A source: rows, group column, member column."""
+    found = pair_counts(events=events, scenes=scenes, accepted=accepted)
+    return found.withColumn("correlation", correlation(F.col("accepted"), F.col("events"), F.col("scenes")))
 
 
 def strongest_neighbours(edges: DataFrame, weight: str, n: int = 5) -> DataFrame:

@@ -54,3 +54,22 @@ def test_expansion_counts_shared_nodes_once_and_keeps_its_budget(spark):
             expected |= {(seed, n, d) for n, d in seen.items() if d}
         got = graph.expand_down(spark.createDataFrame(edges, "p long, c long"), spark.range(10).withColumnRenamed("id", "seed"), "p", "c", budget, 60)
         assert set(map(tuple, got.collect())) == expected
+
+
+def test_pairs_are_counted_once_for_all_sources_and_by_a_growing_number_of_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = {name: [(rng.choice([None, 0, 0, *range(1, 40)]), rng.choice([None, *range(150)])) for _ in range(1500)] for name in ("one", "two")}
+    expected: dict = {}
+    for name, found in rows.items():
+        groups: dict = {}
+        for g, m in found:
+            if g is not None and m is not None:
+                groups.setdefault(g, set()).add(m)
+        for ms in groups.values():
+            for p in combinations(sorted(ms), 2):
+                expected.setdefault(p, Counter())[name] += 1
+    monkeypatch.setattr(relational, "PAIRS", 500)
+    for tile in (9, 2048):
+        got = relational.pair_counts(tile, **{name: (spark.createDataFrame(found, "g long, m long"), "g", "m") for name, found in rows.items()})
+        assert {(r.a, r.b): Counter({k: n for k, n in (("one", r.one), ("two", r.two)) if n}) for r in got.collect()} == expected
+        assert got.rdd.getNumPartitions() > 30
