@@ -36,7 +36,7 @@ def test_scores_by_many_tasks(spark, monkeypatch):
     assert {(r.item_id, r["rank"]): (r.doc_id, pytest.approx(r.score, abs=1e-6)) for r in got.collect()} == expected
 
 
-@pytest.mark.parametrize("name", ["r2_bm25", "r5_rank_fusion"])
+@pytest.mark.parametrize("name", ["r2_bm25", "r3_provider_fallback", "r5_rank_fusion"])
 def test_no_index_is_built_for_one_search(spark, tmp_path, monkeypatch, name):
     def build(*_):
         raise AssertionError("an index of all postings for a few questions")
