@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,60 +29,53 @@ class Versions(StatefulProcessor):
         self.rows = handle.getListState("rows", "at long, nth long, state string")
         self.summary = handle.getValueState("summary", "version int, state string, since long, revision int")
 
-    def _before(self) -> tuple[int, str | None, int | None, int]:
-        return self.summary.get() if self.summary.exists() else (0, None, None, 0)
-
-    def _versions(self, rows: pd.DataFrame) -> pd.DataFrame:
+    @staticmethod
+    def _versions(summary: tuple, rows: list[tuple]) -> list[tuple]:
         """version, state, valid_from, valid_until of rows in order, after the summary's last version."""
-        version, state, since, _ = self._before()
-        if version:
-            rows = pd.concat([pd.DataFrame({"at": [since], "nth": [0], "state": [state]}), rows], ignore_index=True)
-        was, now = rows["state"].shift(), rows["state"]
-        same = (was == now) | (was.isna() & now.isna())
-        same.iloc[:1] = False
-        out = rows[~same].reset_index(drop=True)
-        return pd.DataFrame({"version": out.index + max(version, 1), "state": out["state"], "valid_from": out["at"], "valid_until": out["at"].shift(-1).astype("Int64")})
-
-    def _kept(self) -> pd.DataFrame:
-        return pd.DataFrame(list(self.rows.get()) if self.rows.exists() else [], columns=["at", "nth", "state"]).astype({"at": "int64", "nth": "int64", "state": object})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  (names of the interface)
-        kept = self._kept()
-        before = self._versions(kept)
-        every = pd.concat([kept, *(r[["at", "nth", "state"]] for r in rows)], ignore_index=True).sort_values(["at", "nth"], kind="stable", ignore_index=True)
-        after = self._versions(every)
-        self.rows.put(list(every.itertuples(index=False, name=None)))
-        version, state, since, revision = self._before()
+        version, state, since, _ = summary
+        out = [(version, state, since)] if version else []
+        for at, _, now in rows:
+            if not out or out[-1][1] != now:
+                out.append((out[-1][0] + 1 if out else 1, now, at))
+        return [(*v, after[2] if after else None) for v, after in zip(out, [*out[1:], None], strict=False)]
+
+    def _kept(self) -> list[tuple]:
+        return [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  (names of the interface)
+        # each call of the state goes to the store and back, so a key that is new makes as few as can be
+        known = self.summary.get()
+        summary, kept = known or (0, None, None, 0), self._kept() if known else []
+        before = set(self._versions(summary, kept))
+        every = sorted([*kept, *((r["at"], r["nth"], r["state"]) for r in rows)], key=lambda r: r[:2])
+        self.rows.put(every)
+        version, state, since, revision = summary
         self.summary.update((version, state, since, revision + 1))
-        for old in self.handle.listTimers():
+        timer = every[0][0] // 1000 + 1
+        timers = set(self.handle.listTimers()) if known else set()
+        for old in timers - {timer}:
             self.handle.deleteTimer(old)
-        self.handle.registerTimer(int(every["at"].iloc[0] // 1000) + 1)
-        text = lambda df: df.astype(object).where(df.notna(), None).apply(tuple, axis=1)
-        new = after[~text(after).isin(set(text(before)))] if len(before) else after
-        yield self._out(key, new, revision + 1)
+        if timer not in timers:
+            self.handle.registerTimer(timer)
+        for v in self._versions(summary, every):
+            if v not in before:
+                yield Row(key=key[0], version=v[0], state=v[1], valid_from=v[2], valid_until=v[3], revision=revision + 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         kept, passed = self._kept(), timerValues.getCurrentWatermarkInMs() * 1000
-        old = kept["at"] < passed
+        summary = self.summary.get() or (0, None, None, 0)
         # the last version that has begun before the watermark stays open in the summary
-        found = self._versions(kept[old])
-        if len(found):
-            last = found.iloc[-1]
-            self.summary.update((int(last["version"]), last["state"], int(last["valid_from"]), self._before()[3]))
-        rest = kept[~old]
-        if len(rest):
-            self.rows.put(list(rest.itertuples(index=False, name=None)))
-            self.handle.registerTimer(int(rest["at"].iloc[0] // 1000) + 1)
+        found = self._versions(summary, [r for r in kept if r[0] < passed])
+        if found:
+            self.summary.update((*found[-1][:3], summary[3]))
+        rest = [r for r in kept if r[0] >= passed]
+        if rest:
+            self.rows.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
         else:
             self.rows.clear()
         return iter(())
 
-    @staticmethod
-    def _out(key, versions: pd.DataFrame, revision: int) -> pd.DataFrame:
-        versions = versions.reset_index(drop=True)
-        moment = lambda c: pd.to_datetime(versions[c].astype("Int64"), unit="us")
-        return pd.DataFrame({"key": pd.Series([key[0]] * len(versions), dtype=object), "version": versions["version"].astype("int32"), "state": versions["state"].astype(object), "valid_from": moment("valid_from"), "valid_until": moment("valid_until"), "revision": pd.Series([revision] * len(versions), dtype="int32")})
-
     def close(self) -> None:
         pass
 
@@ -99,8 +91,9 @@ def status_versions(stream: DataFrame, key: str, state: str, ts: str, order: str
     at = F.col(ts).cast("timestamp")
     rows = stream.select(F.col(key).alias("key"), F.unix_micros(at).alias("at"), F.col(order).cast("long").alias("nth"), F.col(state).alias("state"), at.alias("moment")).withWatermark("moment", late)
     kind = rows.schema["key"].dataType.simpleString()
-    out = f"key {kind}, version int, state string, valid_from timestamp, valid_until timestamp, revision int"
-    return rows.groupBy("key").transformWithStateInPandas(Versions(), out, "Update", "EventTime")
+    out = f"key {kind}, version int, state string, valid_from long, valid_until long, revision int"
+    found = rows.groupBy("key").transformWithState(Versions(), out, "Update", "EventTime")
+    return found.select("key", "version", "state", F.timestamp_micros("valid_from").alias("valid_from"), F.timestamp_micros("valid_until").alias("valid_until"), "revision")
 
 
 def latest_versions(changes: DataFrame) -> DataFrame:
@@ -120,12 +113,17 @@ class FileLedger(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "seen long, checksum string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        seen, checksum = self.last.get() if self.last.exists() else (None, None)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known = self.last.get()
+        seen, checksum = known or (None, None)
         # a path's scans in one batch, few; several rows of one scan count as its last by checksum
-        scans = pd.concat(list(rows)).sort_values(["at", "checksum"]).drop_duplicates("at", keep="last")
+        scans: dict = {}
+        for r in rows:
+            scans.setdefault(r["at"], []).append(r["checksum"])
         out = []
-        for at, now in zip(scans["at"].tolist(), scans["checksum"].tolist(), strict=True):
+        for at in sorted(scans):
+            # a null checksum comes last
+            now = None if None in scans[at] else max(scans[at])
             if seen is not None and at <= seen:
                 continue  # a scan that was read before
             if seen is not None and at - seen > self.period:
@@ -135,21 +133,19 @@ class FileLedger(StatefulProcessor):
                 out.append((at, "new" if seen is None else "changed", now))
             seen, checksum = at, now
         self.last.update((seen, checksum))
-        for old in self.handle.listTimers():
+        for old in self.handle.listTimers() if known else ():
             self.handle.deleteTimer(old)
         self.handle.registerTimer(seen + self.period)
-        yield self._out(key, out)
+        return self._out(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         seen, checksum = self.last.get()
         self.last.clear()
-        yield self._out(key, [(seen + self.period, "deleted", checksum)])
+        return self._out(key, [(seen + self.period, "deleted", checksum)])
 
     @staticmethod
-    def _out(key, rows: list[tuple]) -> pd.DataFrame:
-        at = pd.Series([r[0] for r in rows], dtype="int64")
-        plain = lambda values: pd.Series(values, dtype=object)  # noqa: E731  (strings that pandas keeps in Arrow itself can't be sent here)
-        return pd.DataFrame({"path": plain([key[0]] * len(rows)), "change": plain([r[1] for r in rows]), "checksum": plain([r[2] for r in rows]), "scanned_at": pd.to_datetime(at, unit="ms")})
+    def _out(key, rows: list[tuple]) -> Iterator[Row]:
+        return iter([Row(path=key[0], change=change, checksum=checksum, scanned_at=at) for at, change, checksum in rows])
 
     def close(self) -> None:
         pass
@@ -163,4 +159,5 @@ def file_changes(scans: DataFrame, path: str, checksum: str, ts: str, period_sec
     scans.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     moment = F.col(ts).cast("timestamp")
     rows = scans.select(F.col(path).alias("path"), F.col(checksum).alias("checksum"), F.unix_millis(moment).alias("at"), moment.alias("moment")).withWatermark("moment", "0 seconds")
-    return rows.groupBy("path").transformWithStateInPandas(FileLedger(period_seconds * 1000), "path string, change string, checksum string, scanned_at timestamp", "Update", "EventTime")
+    found = rows.groupBy("path").transformWithState(FileLedger(period_seconds * 1000), "path string, change string, checksum string, scanned_at long", "Update", "EventTime")
+    return found.withColumn("scanned_at", F.timestamp_millis("scanned_at"))

@@ -86,12 +86,26 @@ def replayed(results: DataFrame, late: DataFrame, read_again: DataFrame, keys: l
     return results.join(touched, keys, "left_anti").unionByName(rebuilt)
 
 
+#: Rows of a feed's file, about.
+FEED_ROWS = 1_000_000
+
+
 def file_feed(df: DataFrame, n: int, order: Column) -> DataFrame:
-    """``df`` as a stream of n batches, dealt by ``order`` modulo n: what a feed looks like whose rows come out of order."""
-    path = f"{shared_dir(df.sparkSession)}/feed-{uuid.uuid4().hex}"
-    for i in range(n):
-        df.filter(F.pmod(order, F.lit(n)) == i).coalesce(1).write.mode("append").parquet(path)
-    return source(df.sparkSession, path, 1)
+    """``df`` as a stream of n batches, dealt by ``order`` modulo n: what a feed looks like whose rows come out of order.
+
+    A batch is as many files as its share of the rows fills, so one task writes no more of it where the table is larger. The source
+    takes that many files at a time; where a batch has too few rows to fill them, each batch is one file.
+    """
+    for files in sorted({1, df.count() // n // FEED_ROWS + 1}, reverse=True):
+        path = f"{shared_dir(df.sparkSession)}/feed-{uuid.uuid4().hex}"
+        for i in range(n):
+            batch = df.filter(F.pmod(order, F.lit(n)) == i)
+            (batch.coalesce(1) if files == 1 else batch.repartition(files)).write.mode("append").parquet(path)
+            if len(df.sparkSession.read.schema(df.schema).parquet(path).inputFiles()) != files * (i + 1):
+                break
+        else:
+            break
+    return source(df.sparkSession, path, files)
 
 
 def merge_changes(table: str, changes: DataFrame, key: str, change: str, at: str, buckets: int = 16) -> None:
