@@ -13,7 +13,7 @@ from memlake.operators.relational import top_per_group
 from memlake.session import stored
 
 #: ``names_within``: names of a block (of up to ``LETTERS`` letters; fewer of longer ones), pairs of a task, pairs looked at together.
-SIDE, LETTERS, PAIRS, CHUNK = 8192, 64, 1 << 24, 1 << 18
+SIDE, LETTERS, PAIRS, CHUNK = 16384, 64, 1 << 26, 1 << 18
 
 
 def name_key(name: Column) -> Column:
@@ -56,7 +56,7 @@ def names_within(names: DataFrame, key: str, name: str, most: int) -> DataFrame:
 
     Names of one first letter and length are dealt to blocks of about ``SIDE``, and every two blocks whose lengths differ by
     ``most`` at most meet in a tile of their own, so each pair meets once and no pair is shuffled. Exact: a pair is measured
-    unless its letters alone show that it is further apart. The work is a few nanoseconds for each pair of like length, the
+    unless its letters or their neighbours show that it is further apart. The work is a few nanoseconds for each pair of like length, the
     memory of a task that of one tile, and tasks are one for about ``PAIRS`` pairs.
     """
     own = names.select(F.col(key).alias("id"), F.lower(F.col(name)).alias("n")).filter("id is not null and length(n) > 0").distinct()
@@ -87,18 +87,11 @@ def _near_in_tile(most: int):
         alone = l == m and i == j
         xs, ys = np.flatnonzero(at_left), np.flatnonzero(at_left if alone else ~at_left)
         texts = names.to_pylist()
+        x_codes, y_codes = (np.array([texts[k] for k in at], f"U{n}").view(np.uint32).reshape(len(at), n) for at, n in ((xs, l), (ys, m)))
         # all begin with the same letter, which costs no edit
-        x_codes, y_codes = (np.array([texts[k] for k in at], f"U{n}").view(np.uint32).reshape(len(at), n)[:, 1:] for at, n in ((xs, l), (ys, m)))
-        x_letters, y_letters = _letters(x_codes), _letters(y_codes)
-        x_codes, y_codes = (np.ascontiguousarray(c.T) for c in _small(x_codes, y_codes))
-        step = max(1, CHUNK // max(1, len(ys)))
-        for begin in range(0, len(xs), step):
-            # an edit in place changes two letters' counts, any other one
-            alike = np.bitwise_count(x_letters[begin : begin + step, None] ^ y_letters[None, :]) <= 2 * most - (m - l)
-            x, y = np.nonzero(alike)
-            x += begin
-            if alone:
-                x, y = x[x < y], y[x < y]
+        x_signs, y_signs = ((_letters(c[:, 1:]), _neighbours(c)) for c in (x_codes, y_codes))
+        x_codes, y_codes = (np.ascontiguousarray(c.T) for c in _small(x_codes[:, 1:], y_codes[:, 1:]))
+        for x, y in _alike(x_signs, y_signs, most, m - l, alone):
             distance = _distances(x_codes, y_codes, x, y, most)
             close = np.flatnonzero(distance <= most)
             x, y = xs[x[close]], ys[y[close]]
@@ -108,6 +101,36 @@ def _near_in_tile(most: int):
     return near
 
 
+def _alike(x_signs: tuple[np.ndarray, ...], y_signs: tuple[np.ndarray, ...], most: int, longer: int, alone: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs, by their numbers at either side, whose letters and neighbours don't show that they are further apart than ``most``, about ``CHUNK`` at a time. alone: x < y."""
+    (x_letters, x_neighbours), (y_letters, y_neighbours) = x_signs, y_signs
+    if not len(y_letters):
+        return
+    # an edit in place changes two letters' counts, any other one; and four or three of the neighbours
+    most_letters, most_neighbours = min(64, 2 * most - longer), min(64, 4 * most - longer)
+    step = max(1, CHUNK // len(y_letters))
+    room = step * len(y_letters) + 7
+    differ, count, few, held = np.empty(room, np.uint64), np.empty(room, np.uint8), np.empty(room, bool), []
+    for begin in range(0, len(x_letters), step):
+        rows, first = x_letters[begin : begin + step, None], begin if alone else 0
+        wide = len(y_letters) - first
+        size = len(rows) * wide
+        whole = -(-size // 8) * 8
+        np.bitwise_xor(rows, y_letters[first:], out=differ[:size].reshape(len(rows), wide))
+        np.less_equal(np.bitwise_count(differ[:size], out=count[:size]), most_letters, out=few[:size])
+        few[size:whole] = False
+        eights = np.flatnonzero(few[:whole].view(np.uint64))  # most pairs are passed over eight at a time
+        at = np.flatnonzero(few[:whole].reshape(-1, 8)[eights])
+        x, y = np.divmod(eights[at >> 3] * 8 + (at & 7), wide)
+        x, y = x + begin, y + first
+        near = np.bitwise_count(x_neighbours[x] ^ y_neighbours[y]) <= most_neighbours
+        near = np.flatnonzero(near & (x < y) if alone else near)
+        held.append((x[near], y[near]))
+        if begin + step >= len(x_letters) or sum(len(x) for x, _ in held) >= CHUNK:
+            yield tuple(np.concatenate(side) for side in zip(*held, strict=True))
+            held = []
+
+
 def _letters(codes: np.ndarray) -> np.ndarray:
     """64 bits of each name: of 32 classes of letters whether the name has one and whether it has two."""
     bits = np.zeros(len(codes), np.uint64)
@@ -117,6 +140,15 @@ def _letters(codes: np.ndarray) -> np.ndarray:
     return bits
 
 
+def _neighbours(codes: np.ndarray) -> np.ndarray:
+    """64 bits of each name: of 64 classes of two letters side by side, the last letter and the end among them, whether the name has one."""
+    bits = np.zeros(len(codes), np.uint64)
+    following = np.concatenate([codes[:, 1:], np.zeros((len(codes), 1), codes.dtype)], axis=1)
+    for column, after in zip(codes.T.astype(np.uint64), following.T.astype(np.uint64), strict=True):
+        bits |= np.uint64(1) << ((column * np.uint64(31) + after) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58))
+    return bits
+
+
 def _small(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The letters of both sides by their number among those that occur."""
     known, numbers = np.unique(np.concatenate([x.ravel(), y.ravel()]), return_inverse=True)

@@ -120,7 +120,7 @@ def t13_answerable_spans(spark, d):
 def _names(spark, d):
     """Capitalised words of the conversations, as names with numbers that follow from their letters."""
     words = read(spark, d, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{2,})"), F.lit(1))).alias("name")).distinct()
-    return words.select("name", F.sha2(F.col("name").cast("binary"), 256).alias("id"))
+    return words.select("name", F.unhex(F.sha2(F.col("name").cast("binary"), 256)).alias("id"))
 
 
 def _within(most: int) -> str:

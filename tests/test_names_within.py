@@ -7,6 +7,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from memlake.operators import identity
@@ -74,3 +75,32 @@ def test_distances_near_the_diagonal(most):
         for i, j, d in zip(x, y, identity._distances(*codes, x, y, most), strict=True):
             want = distance(xs[i], ys[j])
             assert d == want if want <= most else d > most
+
+
+@pytest.mark.parametrize("chunk", [5, 1 << 18])
+@pytest.mark.parametrize("longer", [None, 0, 1, 2])
+def test_few_pairs_of_like_letters_are_measured(monkeypatch, chunk, longer):
+    """Anagrams agree in all letters: neighbours rule most of them out, in chunks of any size, and no near pair."""
+    rng, most, measured = random.Random(7), 2, [0]
+    xs = ["t" + "".join(rng.sample("abcdefghijkl", 12)) for _ in range(60)]
+    ys = [] if longer is None else [x + "q" * longer if longer else x[:5] + x[6:] + "q" for x in xs[:40]] + ["t" + "".join(rng.sample("abcdefghijkl", 12)) + "q" * longer for _ in range(40)]
+    xs += [x[:4] + x[5] + x[4] + x[6:] for x in xs[:30]]
+    table = pa.table({"id": list(range(len(xs + ys))), "n": xs + ys, "left": [True] * len(xs) + [False] * len(ys)})
+    exact = identity._distances
+
+    def counted(x_codes, y_codes, x, y, most):
+        measured[0] += len(x)
+        return exact(x_codes, y_codes, x, y, most)
+
+    monkeypatch.setattr(identity, "CHUNK", chunk)
+    monkeypatch.setattr(identity, "_distances", counted)
+    key = tuple(pa.scalar(v) for v in ("t", 13, 13 + (longer or 0), 0, 0 if longer is None else 1))
+    got = [(r["a"], r["b"], r["distance"]) for b in identity._near_in_tile(most)(key, iter(table.to_batches())) for r in b.to_pylist()]
+    pairs = list(combinations(range(len(xs)), 2)) if longer is None else [(i, len(xs) + j) for i in range(len(xs)) for j in range(len(ys))]
+    names = xs + ys
+    assert sorted(got) == [(i, j, d) for i, j in pairs if (d := distance(names[i], names[j])) <= most]
+    assert got and measured[0] < len(pairs) / 10
+
+
+def test_names_travel_with_ids_of_32_bytes(spark):
+    assert {len(r.id) for r in catalog_memory._names(spark, "/root/testdata/sf0.001").collect()} == {32}
