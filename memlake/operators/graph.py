@@ -71,7 +71,7 @@ def strongest_neighbours(edges: DataFrame, weight: str, n: int = 5) -> DataFrame
 
 def shared_neighbours(edges: DataFrame, node: str, neighbour: str, least: int = 2) -> DataFrame:
     """Node pairs with at least ``least`` common neighbours."""
-    return pair_counts(shared=(edges, neighbour, node)).filter(F.col("shared") >= least)
+    return pair_counts(shared=(stored(edges.select(neighbour, node), "edges"), neighbour, node)).filter(F.col("shared") >= least)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def upsert_weights(stored: DataFrame, new: DataFrame, low: float = 0.05, high: f
 
 def reinforce(retrieved: DataFrame, query: str, item: str, rank: str, top: int = 6, start: float = 0.55, step: float = 0.08, cap: float = 2.5) -> DataFrame:
     """Weights of edges between items retrieved together: a start weight and a step for each further query, capped."""
-    pairs = pair_counts(n=(retrieved.filter(F.col(rank) <= top), query, item))
+    pairs = pair_counts(n=(stored(retrieved.filter(F.col(rank) <= top).select(query, item), "retrieved"), query, item))
     return pairs.select("a", "b", F.round(F.least(F.lit(cap), start + step * (F.col("n") - 1)), 4).alias("weight"))
 
 

@@ -75,6 +75,46 @@ def test_pairs_are_counted_once_for_all_sources_and_by_a_growing_number_of_tasks
         assert got.rdd.getNumPartitions() > 30
 
 
+def _shuffled(plan):
+    """Bytes that all exchanges of an executed plan have sent, before compression."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+        return _shuffled(plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan())
+    own = plan.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(_shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_pairs_of_large_groups_are_not_sent_as_lists_of_partners(spark):
+    """Partners listed for each member take n * n / 2 numbers of a group of n members, whatever their encoding."""
+    n = 3000
+    rows = spark.range(2 * n).select((F.col("id") % 2).alias("g"), F.floor(F.col("id") / 2).alias("m"))
+    for tile in (None, 2 * n):
+        counts = relational.pair_counts(tile, one=(rows, "g", "m"), two=(rows.filter("g = 1"), "g", "m"))
+        at = counts.agg(F.count(F.lit(1)), F.min("one"), F.max("one"), F.min("two"), F.max("two"), F.max("b"))
+        assert tuple(at.collect()[0]) == (n * (n - 1) // 2, 2, 2, 1, 1, n - 1)
+        assert 50_000 < _shuffled(at._jdf.queryExecution().executedPlan()) < 3_000_000
+
+
+def test_pairs_of_members_of_any_kind(spark):
+    rng = random.Random(5)
+    kinds = {
+        "long": [rng.choice([-1, 1]) * rng.choice([7, 10**6, 2**61 + 5]) * rng.randrange(1, 3) for _ in range(20)] + [2**63 - 1, -(2**63)],
+        "int": [rng.randrange(-40, 40) for _ in range(30)],
+        "bigint": [96_000 * n for n in range(25)],
+        "string": ["é" * n for n in range(20)],
+    }
+    for kind, members in kinds.items():
+        rows = [(rng.randrange(6), rng.choice(members)) for _ in range(300)]
+        groups: dict = {}
+        for g, m in rows:
+            groups.setdefault(g, set()).add(m)
+        expected = Counter(p for ms in groups.values() for p in combinations(sorted(ms), 2))
+        for tile in (4, 2048):
+            got = relational.pair_counts(tile, n=(spark.createDataFrame(rows, f"g long, m {kind}"), "g", "m"))
+            assert {(r.a, r.b): r.n for r in got.collect()} == expected and got.schema["a"].dataType.simpleString() == kind.replace("long", "bigint")
+    assert relational.pair_counts(n=(spark.createDataFrame([], "g long, m long"), "g", "m")).count() == 0
+
+
 def test_mirrored_edges_are_made_in_one_pass(spark):
     edges = spark.createDataFrame([(1, 2, "x"), (None, 3, "y")], "a long, b long, w string")
     both = relational.mirrored(edges)
